@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "panel_queries",
     "window_queries",
+    "aggregate_queries",
 )
 
 
