@@ -6,6 +6,7 @@ MODULES = (
     "panel_queries",
     "window_queries",
     "aggregate_queries",
+    "join_queries",
 )
 
 
