@@ -7,6 +7,7 @@ MODULES = (
     "window_queries",
     "aggregate_queries",
     "join_queries",
+    "score_queries",
 )
 
 
