@@ -8,6 +8,7 @@ MODULES = (
     "aggregate_queries",
     "join_queries",
     "score_queries",
+    "blend_queries",
 )
 
 
