@@ -7,25 +7,40 @@ which counts a written table first. All other joins are left to statistics and a
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 128
 
 
+def _shared_root(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one on a local master and an error on a
+    cluster, whose executors share no local disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(spark.sparkContext.applicationId)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="panelforge-")
+        _LOCAL_ROOTS[spark.sparkContext.applicationId] = folder
+    return folder
+
+
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, for tables written on the way."""
+    return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by spark.checkpoint.dir; a temporary one only on a local master."""
+    """Reliable checkpoint in the shared folder: a lost executor costs a read, not the whole lineage."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="panelforge-ckpt-")
-        sc.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared_root(spark))
     return df.checkpoint()
 
 

@@ -9,6 +9,7 @@ MODULES = (
     "join_queries",
     "score_queries",
     "blend_queries",
+    "quality_queries",
 )
 
 
