@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,11 +45,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _bucket_of(df: DataFrame, value: str, bounds: str, buckets: int, out: str) -> DataFrame:
+    """Number of bounds below the value, by a coarse and a fine round of comparisons that stay inside codegen (a lambda
+    over the array would be interpreted)."""
+    fine = 1
+    while fine * fine < buckets:
+        fine *= 2
+    coarse = -(-buckets // fine)
+    v = F.col(value)
+
+    def below(i: Column | int) -> Column:
+        return F.coalesce((F.get(F.col(bounds), i if isinstance(i, Column) else F.lit(i)) < v).cast("int"), F.lit(0))
+
+    first = reduce(lambda x, y: x + y, [below(i * fine + fine - 1) for i in range(coarse)], F.lit(0))
+    start = F.col("_coarse") * fine
+    second = reduce(lambda x, y: x + y, [below(start + j) for j in range(fine - 1)], F.lit(0))
+    return df.withColumn("_coarse", first).withColumn(out, start + second).drop("_coarse", bounds)
+
+
 def value_positions(
     df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS
 ) -> DataFrame:
     """One row per (by, distinct value) with its sorted positions: `_lo` rows sort before it, `_hi - _lo` rows tie
-    with it and the group has `_total` rows.
+    with it and the group has `_total` rows. Rows with a NULL value or a NULL group key are left out.
 
     Equal values collapse in a map-side combine. The distinct values are cut into ranges by a mergeable sketch, ordered
     inside each range, and shifted by the ranges before it, so no task ever sorts a whole group. The bounds only steer
@@ -56,22 +75,21 @@ def value_positions(
     """
     by = list(by)
     probs = [i / buckets for i in range(1, buckets)]
+    rows = df.filter(F.col(value).isNotNull())
+    for k in by:
+        rows = rows.filter(F.col(k).isNotNull())
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("double").alias("_v"))
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        rows.select(*by, F.col(value).cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
-    sketch = F.percentile_approx("_v", probs, 2000)
+    sketch = F.percentile_approx("_v", probs, 10 * buckets)
     if by:
         bounds = counts.groupBy(*by).agg(sketch.alias("_bounds"))
-        ranged = _null_safe_join(counts, bounds, by, "left")
+        ranged = counts.join(bounds, by)
     else:
         ranged = counts.withColumn("_bounds", counts.agg(sketch.alias("b")).scalar())
-    ranged = ranged.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
+    ranged = _bucket_of(ranged, "_v", "_bounds", buckets, "_bucket")
 
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
-    inside_hi = F.sum("_n").over(inside)
     # at most `buckets` rows per group from here on
     per_range = ranged.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_range_n"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
@@ -81,9 +99,8 @@ def value_positions(
         (F.sum("_range_n").over(group.orderBy("_bucket")) - F.col("_range_n")).alias("_before"),
         F.sum("_range_n").over(group).alias("_total"),
     )
-    ranked = ranged.withColumn("_inside_hi", inside_hi)
-    out = _null_safe_join(ranked, before, [*by, "_bucket"], "inner")
-    return out.select(
+    ranked = ranged.withColumn("_inside_hi", F.sum("_n").over(inside))
+    return ranked.join(before, [*by, "_bucket"]).select(
         *by,
         F.col("_v").alias(value),
         (F.col("_before") + F.col("_inside_hi") - F.col("_n")).alias("_lo"),
@@ -92,16 +109,6 @@ def value_positions(
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -144,9 +151,8 @@ def average_rank(
     if pct:
         rank = rank / F.col("_total")
     ranks = pos.select(*by, F.col(value).alias("_rank_v"), rank.alias(out))
-    keyed = df.withColumn("_rank_v", F.col(value).cast("double"))
-    cond_keys = [*by, "_rank_v"]
-    return _null_safe_join(keyed, ranks, cond_keys, "left").drop("_rank_v")
+    # a value that fills much of the rows is one row on the right: adaptive execution splits the left partition
+    return df.withColumn("_rank_v", F.col(value).cast("double")).join(ranks, [*by, "_rank_v"], "left").drop("_rank_v")
 
 
 def salted_join(
@@ -162,20 +168,15 @@ def salted_join(
 
 
 def join_checked(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    max_rows: int = 500_000,
-    salts: int = 16,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", max_rows: int = 500_000
 ) -> DataFrame:
     """Joins a per-key table whose size depends on the data. The table is written once (it is an aggregate of `left` or
-    a dimension), counted, and broadcast only up to `max_rows`; beyond that the join is salted, so a key that holds
-    much of `left` is spread over several tasks."""
+    a dimension), counted, and broadcast only up to `max_rows`. Beyond that both sides are shuffled, and adaptive
+    execution splits the partitions of a hot key; salting would multiply a table already known to be large."""
     table = cut_lineage(right)
     if table.count() <= max_rows:
         return left.join(F.broadcast(table), list(keys), how)
-    return salted_join(left, table, keys, salts, how)
+    return left.join(table, list(keys), how)
 
 
 def day_table(df: DataFrame) -> DataFrame:

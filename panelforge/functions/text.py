@@ -22,17 +22,28 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _letters(x: Column, source: str, target: str) -> Column:
+    """Letter for letter. A chain of replaces scans bytes; translate() looks every character up in a map."""
+    for a, b in zip(source, target, strict=True):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
 def locale_lower(x: str | Column) -> Column:
     """Dotted capital I becomes i and dotless I becomes ı before lowering."""
-    return F.lower(F.translate(_c(x), "İI", "iı"))
+    return F.lower(_letters(_c(x), "İI", "iı"))
 
 
 def locale_upper(x: str | Column) -> Column:
-    return F.upper(F.translate(_c(x), "ıi", "Iİ"))
+    """The dotted letter first, or the capital made of the dotless one would be dotted again."""
+    return F.upper(_letters(_c(x), "iı", "İI"))
+
+
+_SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def _collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(x, _SPACES, " "))
 
 
 def join_key(x: str | Column) -> Column:
@@ -41,7 +52,7 @@ def join_key(x: str | Column) -> Column:
     text = locale_lower(x)
     for base, mark in DECOMPOSED:
         text = F.replace(text, F.lit(base + mark), F.lit(base))
-    return _collapse(F.translate(text, FOLD_FROM, FOLD_TO))
+    return _collapse(_letters(text, FOLD_FROM, FOLD_TO))
 
 
 def has_combining_dot(x: str | Column) -> Column:

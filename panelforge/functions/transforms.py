@@ -83,13 +83,16 @@ def soften_outliers(
     size; without a group the ceiling is global."""
     if not 0 <= blend <= 1 or iqr_factor < 0:
         raise ValueError("blend must be in [0, 1] and iqr_factor >= 0")
-    q = exact_quantiles(df, value, {"_q1": 0.25, "_q3": 0.75}, list(group))
+    # NULL is a group of its own here
+    keys = {f"_g{i}": F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for i, g in enumerate(group)}
+    df = df.withColumns(keys) if keys else df
+    q = exact_quantiles(df, value, {"_q1": 0.25, "_q3": 0.75}, list(keys))
     ceiling = F.col("_q3") + F.lit(iqr_factor) * (F.col("_q3") - F.col("_q1"))
     if group:
-        joined = join_checked(df, q.withColumn("_cap", ceiling).drop("_q1", "_q3"), list(group))
+        joined = join_checked(df, q.withColumn("_cap", ceiling).drop("_q1", "_q3"), list(keys))
     else:
         joined = df.withColumn("_cap", q.select(ceiling.alias("c")).scalar())
     y = F.col(value)
     return joined.withColumn(
         out, F.lit(1.0 - blend) * y + F.lit(blend) * F.when(y.isNotNull(), F.least(y, F.col("_cap")))
-    ).drop("_cap")
+    ).drop("_cap", *keys)

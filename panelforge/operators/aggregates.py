@@ -403,8 +403,8 @@ def load_transfer_study(
 
     One event per (location, first day of new entities). Settled members were there more than `window` days before;
     their mean levels in the `window` days before and after the event are summed, and the log ratio is compared with the
-    same ratio of the entities that exist since the first day. Events name the days they need, so rows meet them by an
-    equi join on (location, day): at most 2 * window events per row, whatever the size of the location.
+    same ratio of the entities that exist since the first day. Rows meet events through time slots as long as the window:
+    a row is paired with at most 3 * window event days, whatever the size of the location.
     """
     day = F.to_date(time)
     rows = df.filter(F.col(value).isNotNull()).groupBy(entity, location, day.alias("_day")).agg(F.sum(value).alias("_v"))
@@ -417,15 +417,17 @@ def load_transfer_study(
         .groupBy(location, F.col("_first").alias("birth_day"))
         .agg(F.count(F.lit(1)).alias("n_new"))
     )
-    need = births.select(
-        location, "birth_day", "n_new",
-        F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("_off"),
-    ).filter(F.col("_off") != 0)
-    need = need.withColumn("_day", F.date_add("birth_day", F.col("_off")))
-
-    members = rows.join(first, [entity, location])
-    met = salted_join(members, need, [location, "_day"], salts).filter(
-        F.col("_first") < F.date_sub("birth_day", window)
+    first_days = rows.join(first, [entity, location])
+    # a row meets the events of its own and the two neighbouring windows; rows of a crowded location are spread
+    slot = F.floor(F.datediff("_day", F.lit("1970-01-01").cast("date")) / window)
+    event_slot = F.floor(F.datediff("birth_day", F.lit("1970-01-01").cast("date")) / window)
+    asked = births.select(
+        location, "birth_day", "n_new", F.explode(F.sequence(event_slot - 1, event_slot + 1)).alias("_slot")
+    )
+    met = (
+        salted_join(first_days.withColumn("_slot", slot), asked, [location, "_slot"], salts)
+        .withColumn("_off", F.datediff("_day", "birth_day"))
+        .filter((F.abs("_off") <= window) & (F.col("_off") != 0) & (F.col("_first") < F.date_sub("birth_day", window)))
     )
     before, after = F.col("_off") < 0, F.col("_off") > 0
     per_member = met.groupBy(location, "birth_day", entity).agg(

@@ -81,7 +81,12 @@ def cross_validate(
     by: str = "rmse",
 ) -> tuple[DataFrame, DataFrame]:
     """Fits per fold on its training rows and predicts its validation rows. `split` holds (fold, train condition, valid
-    condition). Returns the out-of-fold rows (rows no fold validates are absent: that is the coverage) and the scores."""
+    condition). Returns the out-of-fold rows (rows no fold validates are absent: that is the coverage) and the scores. The
+    input is written once: every fold and every iteration of a fit reads it again."""
+    return _cross_validate(cut_lineage(df), features, label, split, model, out, proba, by)
+
+
+def _cross_validate(df, features, label, split, model=linear, out="oof", proba=False, by="rmse"):
     parts = []
     for name, train, valid in split:
         fitted = fit_model(df.filter(train), features, label, model())
@@ -115,6 +120,7 @@ def regime_experts(
 ) -> DataFrame:
     """Two models with their own rows and features; every test row is predicted by the model of its own regime only.
     `cold_train` picks the rows the cold model learns from (cold or masked rows)."""
+    train = cut_lineage(train)
     warm_model = fit_model(train.filter(F.col(cold) == 0), warm_features, label, model())
     cold_rows = train.filter(F.col(cold) == 1) if cold_train is None else train.filter(cold_train)
     cold_model = fit_model(cold_rows, cold_features, label, model())
@@ -132,6 +138,7 @@ def fit_hurdle(
     regressor: Stage = linear,
 ) -> DataFrame:
     """Classifier on y > 0 for all rows, regressor on positive rows; both predict every validation row out of fold."""
+    df = cut_lineage(df)
     parts = []
     for name, train, valid in split:
         rows = df.filter(train)
@@ -153,6 +160,7 @@ def multi_seed_refit(
 ) -> tuple[DataFrame, DataFrame]:
     """One full fit per seed on log1p targets, averaged in log space; also the mean disagreement between seeds (standard
     deviation of the log predictions, ddof 1)."""
+    train = cut_lineage(train)
     rows = test
     names = []
     for s in seeds:
@@ -225,12 +233,13 @@ def ablation_scores(
     by: str = "rmse",
 ) -> DataFrame:
     """Score per (dropped group, seed, fold), and of the full feature set under the name `none`."""
+    df = cut_lineage(df)
     everything = [f for fs in groups.values() for f in fs]
     parts = []
     for dropped in ("none", *groups):
         kept = [f for f in everything if dropped == "none" or f not in groups[dropped]]
         for s in seeds:
-            _, scores = cross_validate(df, kept, label, split, lambda s=s: model(s), by=by)
+            _, scores = _cross_validate(df, kept, label, split, lambda s=s: model(s), by=by)
             parts.append(
                 scores.select(F.lit(dropped).alias("dropped"), F.lit(s).alias("seed"), "fold", F.col(by).alias("score"))
             )

@@ -264,6 +264,8 @@ def rolling_origin_blocks(
     """All training blocks in one job: label rows with summaries from before the label window, profiles from everything
     outside it, group fallbacks, presence, horizon day and densities."""
     day = F.to_date(time)
+    # read below six times over, so the (cheap) panel is written once instead of being derived again
+    df = cut_lineage(df)
 
     def span(a: str, b: str) -> Column:
         return day.between(F.lit(a).cast("date"), F.lit(b).cast("date"))

@@ -155,13 +155,13 @@ def tuned(t: Tables) -> DataFrame:
     c AS (SELECT id, v, sum(w) OVER (PARTITION BY id ORDER BY v, i) AS c, row_number() OVER (PARTITION BY id ORDER BY v, i) AS r FROM l),
     f AS (SELECT id, min(r) FILTER (c >= 0.5 - 1e-12) AS r FROM c GROUP BY 1),
     x AS (SELECT c.id, max(c.v) FILTER (c.r = f.r) AS a, max(c.v) FILTER (c.r = f.r + 1) AS b, max(c.c) FILTER (c.r = f.r) AS cc FROM c JOIN f ON f.id = c.id GROUP BY 1)
-    SELECT x.id, {sql_rnd('median(v)', 'plain', 5)}, {sql_rnd('max(CASE WHEN abs(cc - 0.5) <= 1e-12 THEN (a + b) / 2 ELSE a END)', 'weighted', 4)} FROM x JOIN l ON l.id = x.id GROUP BY 1""",
+    SELECT x.id, {sql_rnd('median(v)', 'plain', 5)}, {sql_rnd('max(CASE WHEN abs(cc - 0.5) <= 1e-12 THEN (a + b) / 2 ELSE a END)', 'weighted', 5)} FROM x JOIN l ON l.id = x.id GROUP BY 1""",
 )
 def medians(t: Tables) -> DataFrame:
     names = ["m1", "m2", "m3", "truth"]
     w = dict(zip(names, (0.1, 0.4, 0.3, 0.2), strict=True))
     return members(t).select(
-        "id", rnd(BL.median_blend(names), "plain", 5), rnd(BL.median_blend(names, w), "weighted", 4)
+        "id", rnd(BL.median_blend(names), "plain", 5), rnd(BL.median_blend(names, w), "weighted", 5)
     )
 
 

@@ -56,12 +56,12 @@ def counted(t: Tables) -> DataFrame:
     f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 5 AS fold, o_totalprice AS y FROM orders),
     p AS (SELECT f.fold, avg(y) AS prior FROM (SELECT DISTINCT fold FROM o) f JOIN o ON o.fold <> f.fold GROUP BY 1),
     c AS (SELECT o_custkey, fold, sum(y) AS s, count(*) AS n FROM o GROUP BY 1, 2), k AS (SELECT o_custkey, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1)
-    SELECT o_orderkey, {sql_rnd('(k.s - c.s + 20 * prior) / (k.n - c.n + 20)', 'encoded', 4)} FROM o JOIN c USING (o_custkey, fold) JOIN k USING (o_custkey) JOIN p USING (fold)""",
+    SELECT o_orderkey, {sql_rnd('(k.s - c.s + 20 * prior) / (k.n - c.n + 20)', 'encoded', 3)} FROM o JOIN c USING (o_custkey, fold) JOIN k USING (o_custkey) JOIN p USING (fold)""",
 )
 def oof(t: Tables) -> DataFrame:
     o = t.orders.withColumn("fold", F.pmod("o_orderkey", F.lit(5)))
     return E.oof_target_encode(o, "o_custkey", "o_totalprice", "fold", "encoded").select(
-        "o_orderkey", rnd("encoded", digits=4)
+        "o_orderkey", rnd("encoded", digits=3)
     )
 
 
@@ -69,12 +69,12 @@ def oof(t: Tables) -> DataFrame:
     "target_encode_test",
     "E03",
     f"""WITH {_TT}, c AS (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS n FROM tr GROUP BY 1)
-    SELECT o_orderkey, {sql_rnd('(coalesce(s, 0) + 20 * (SELECT avg(o_totalprice) FROM tr)) / (coalesce(n, 0) + 20)', 'encoded', 4)} FROM te LEFT JOIN c USING (o_custkey)""",
+    SELECT o_orderkey, {sql_rnd('(coalesce(s, 0) + 20 * (SELECT avg(o_totalprice) FROM tr)) / (coalesce(n, 0) + 20)', 'encoded', 3)} FROM te LEFT JOIN c USING (o_custkey)""",
 )
 def te_test(t: Tables) -> DataFrame:
     train, test = _tt(t)
     return E.target_encode_test(train, test, "o_custkey", "o_totalprice", "encoded").select(
-        "o_orderkey", rnd("encoded", digits=4)
+        "o_orderkey", rnd("encoded", digits=3)
     )
 
 
@@ -92,7 +92,7 @@ def _folds(t: Tables) -> list[V.Fold]:
     "E03 V01",
     f"""WITH {_FOLDS_SQL}, fit AS (SELECT fold, o_orderpriority AS c, o_totalprice AS y FROM fold JOIN orders ON o_orderdate <= valid_start - INTERVAL 31 DAY),
     p AS (SELECT fold, avg(y) AS prior FROM fit GROUP BY 1), g AS (SELECT fold, c, sum(y) AS s, count(*) AS n FROM fit GROUP BY 1, 2)
-    SELECT o_orderkey, {sql_rnd('(coalesce(s, 0) + 20 * prior) / (coalesce(n, 0) + 20)', 'encoded', 4)}
+    SELECT o_orderkey, {sql_rnd('(coalesce(s, 0) + 20 * prior) / (coalesce(n, 0) + 20)', 'encoded', 3)}
     FROM orders LEFT JOIN fold f ON o_orderdate BETWEEN valid_start AND valid_end LEFT JOIN p ON p.fold = f.fold LEFT JOIN g ON g.fold = f.fold AND g.c = o_orderpriority""",
 )
 def oof_purged(t: Tables) -> DataFrame:
@@ -102,7 +102,7 @@ def oof_purged(t: Tables) -> DataFrame:
     out = E.oof_target_encode_purged(
         t.orders, bounds, "o_orderdate", "o_orderpriority", "o_totalprice", "encoded", uncovered="null"
     )
-    return out.select("o_orderkey", rnd("encoded", digits=4))
+    return out.select("o_orderkey", rnd("encoded", digits=3))
 
 
 @query(
