@@ -81,12 +81,12 @@ def value_positions(
     counts = (
         rows.select(*by, F.col(value).cast("double").alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
-    sketch = F.percentile_approx("_v", probs, 10 * buckets)
+    # sketched from the rows in a map-side pass: a value that repeats only doubles some bounds
+    sketch = F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets)
     if by:
-        bounds = counts.groupBy(*by).agg(sketch.alias("_bounds"))
-        ranged = counts.join(bounds, by)
+        ranged = counts.join(rows.groupBy(*by).agg(sketch.alias("_bounds")), by)
     else:
-        ranged = counts.withColumn("_bounds", counts.agg(sketch.alias("b")).scalar())
+        ranged = counts.withColumn("_bounds", rows.agg(sketch.alias("b")).scalar())
     ranged = _bucket_of(ranged, "_v", "_bounds", buckets, "_bucket")
 
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v")

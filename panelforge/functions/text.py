@@ -39,20 +39,37 @@ def locale_upper(x: str | Column) -> Column:
     return F.upper(_letters(_c(x), "iı", "İI"))
 
 
-_SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# White space other than the plain space, ASCII and beyond, as members of a character class. Listed one by
+# one because the regular expression engine tests single characters with a table and ranges one after the other.
+ASCII_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+WIDE_SPACE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PUNCTUATION = r";,/\\\-_()\[\]"
 
 
-def _collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, _SPACES, " "))
+def _collapse(x: Column, also: str = "") -> Column:
+    """Runs of white space (and of the class members in `also`) become one space. Single plain spaces, which are most of
+    them, match nothing, and pure ASCII text is spared the wide spaces."""
 
+    def squeeze(members: str) -> Column:
+        return F.regexp_replace(x, f"[{members}][{members} ]*| [{members} ]+", " ")
 
-def join_key(x: str | Column) -> Column:
-    """Trimmed, locale-lowered, composed, accent-folded, single-spaced key. A lone combining dot survives, so that
-    `has_combining_dot` can flag it."""
+    ascii_only = F.octet_length(x) == F.length(x)
+    return F.trim(
+        F.when(ascii_only, squeeze(ASCII_SPACE + also)).otherwise(squeeze(ASCII_SPACE + WIDE_SPACE + also))
+    )
+
+
+def _folded(x: str | Column) -> Column:
     text = locale_lower(x)
     for base, mark in DECOMPOSED:
         text = F.replace(text, F.lit(base + mark), F.lit(base))
-    return _collapse(_letters(text, FOLD_FROM, FOLD_TO))
+    return _letters(text, FOLD_FROM, FOLD_TO)
+
+
+def join_key(x: str | Column) -> Column:
+    """Trimmed, locale-lowered, composed, accent-folded, single-spaced key. A lone combining dot survives, so that
+    `has_combining_dot` can flag it."""
+    return _collapse(_folded(x))
 
 
 def has_combining_dot(x: str | Column) -> Column:
@@ -192,8 +209,7 @@ OTHER_REASON = ("DIGER", 0, True)
 
 def reason_text(x: str | Column) -> Column:
     """Join key with punctuation as spaces and one space on both sides, so that keywords can end at a word."""
-    spaced = F.regexp_replace(join_key(x), r"[;,/\\\-_()\[\]]+", " ")
-    return F.concat(F.lit(" "), _collapse(spaced), F.lit(" "))
+    return F.concat(F.lit(" "), _collapse(_folded(x), PUNCTUATION), F.lit(" "))
 
 
 def reason_code(text: Column) -> Column:
