@@ -56,7 +56,7 @@ def profile_flags(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     rows = t.orders.select(
         k,
-        F.floor(k / 1000).cast("bigint").alias("batch_no"),
+        F.floor(k / 100).cast("bigint").alias("batch_no"),
         F.lit(1).alias("one"),
         F.when(F.pmod(k, F.lit(100)) == 7, F.col("o_totalprice")).otherwise(0.0).alias("rare"),
         F.when(F.pmod(k, F.lit(10)) == 0, F.col("o_totalprice")).alias("gone"),
@@ -431,8 +431,13 @@ def cv(t: Tables) -> DataFrame:
     return rounded(scores, ["fold", "rows"])
 
 
-@query("regime_experts", "T02")
+@query(
+    "regime_experts",
+    "T02",
+    f"WITH {B.PREDICTIONS} SELECT cold, CASE WHEN cold = 1 THEN 'cold' ELSE 'warm' END AS expert, count(*) AS rows FROM pred WHERE day >= DATE '{B.CUT}' GROUP BY 1, 2",
+)
 def experts(t: Tables) -> DataFrame:
+    """Every test row is predicted once, by the expert of its own regime."""
     rows = _model_rows(t)
     train, test = rows.filter(F.col("day") < B.CUT), rows.filter(F.col("day") >= B.CUT)
     out = ML.regime_experts(train, test, "y", "cold", ["x1", "doy"], ["x1"])
