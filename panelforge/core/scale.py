@@ -14,7 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 128
+
+
+def range_buckets(spark: SparkSession) -> int:
+    """Ranges for ordered work: as many as shuffle partitions, so that a cluster sized for its data cuts it finely."""
+    return max(64, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _shared_root(spark: SparkSession) -> str:
@@ -64,7 +68,7 @@ def _bucket_of(df: DataFrame, value: str, bounds: str, buckets: int, out: str) -
 
 
 def value_positions(
-    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS
+    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
     """One row per (by, distinct value) with its sorted positions: `_lo` rows sort before it, `_hi - _lo` rows tie
     with it and the group has `_total` rows. Rows with a NULL value or a NULL group key are left out.
@@ -74,6 +78,7 @@ def value_positions(
     the work; the positions are exact whatever the sketch returns.
     """
     by = list(by)
+    buckets = buckets or range_buckets(df.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
     rows = df.filter(F.col(value).isNotNull())
     for k in by:
@@ -114,7 +119,7 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     by: Sequence[str] = (),
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group for groups of any size; `probs` maps output name to probability."""
     pos = value_positions(df, value, by, buckets)
@@ -143,7 +148,7 @@ def average_rank(
     out: str,
     by: Sequence[str] = (),
     pct: bool = False,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Adds the rank of `value` (ties share their mean rank, NULL stays NULL); `pct` divides by the group size."""
     pos = value_positions(df, value, by, buckets)
@@ -155,6 +160,21 @@ def average_rank(
     return df.withColumn("_rank_v", F.col(value).cast("double")).join(ranks, [*by, "_rank_v"], "left").drop("_rank_v")
 
 
+def sorted_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Numbers rows 0.. in the given order with a distributed sort. The sorted rows are written once, so the position
+    inside a partition and the partition sizes (a few rows) belong to the same order."""
+    done = cut_lineage(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
+    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = done.withColumns({"_part": F.shiftright("_id", 33), "_local": local})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_size")
+    # one row per partition of the sort
+    offsets = F.broadcast(sizes.select("_part", before.alias("_before")))
+    return placed.join(offsets, "_part").withColumn(out, F.col("_before") + F.col("_local")).drop(
+        "_id", "_part", "_local", "_before"
+    )
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "inner"
 ) -> DataFrame:

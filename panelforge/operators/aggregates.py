@@ -40,7 +40,7 @@ def group_statistics(
     stats = known.groupBy(*group).agg(*(aggs or [F.count(F.lit(1)).alias("_n")]))
     if "median" in aggregations:
         for v in values:
-            medians = exact_quantiles(known, v, {f"{v}_by_{label}_median": 0.5}, list(group), buckets=32)
+            medians = exact_quantiles(known, v, {f"{v}_by_{label}_median": 0.5}, list(group))
             stats = stats.join(medians, list(group), "left")
     out = join_checked(df, stats, list(group))
     new: dict[str, Column] = {}
@@ -83,11 +83,11 @@ def district_structure(
     totals = one.groupBy(district).agg(
         F.count(F.lit(1)).alias("district_entities"), F.sum(capacity).alias("district_capacity")
     )
-    medians = exact_quantiles(one, capacity, {"district_capacity_median": 0.5}, [district], buckets=32)
+    medians = exact_quantiles(one, capacity, {"district_capacity_median": 0.5}, [district])
     per_district = totals.join(medians, district, "left")
     if population is not None:
         per_district = per_district.join(population, district, "left")
-    ranked = average_rank(one, capacity, "capacity_pct", [district], pct=True, buckets=32)
+    ranked = average_rank(one, capacity, "capacity_pct", [district], pct=True)
     out = join_checked(ranked, per_district, [district])
     new = {
         "capacity_share": safe_div(capacity, "district_capacity"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.core.exprs import safe_div
-from panelforge.core.scale import cut_lineage, join_checked
+from panelforge.core.scale import cut_lineage, join_checked, sorted_index
 
 FREQUENCY_SUFFIX = "_frequency"
 
@@ -35,13 +35,8 @@ def count_encode(reference: DataFrame, apply: DataFrame, column: str, out: str |
 
 
 def code_book(train: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct train categories numbered from 0. The numbering window runs over distinct categories only."""
-    return (
-        train.filter(F.col(column).isNotNull())
-        .select(column)
-        .distinct()
-        .withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1)
-    )
+    """Sorted distinct train categories numbered from 0 by a distributed sort."""
+    return sorted_index(train.filter(F.col(column).isNotNull()).select(column).distinct(), [column], "code")
 
 
 def encode_categories(train: DataFrame, apply: DataFrame, column: str, out: str | None = None) -> DataFrame:

@@ -273,21 +273,17 @@ def group_residual_offset(
 ) -> DataFrame:
     """Leave-one-block-out mean residual of the row's group, shrunk by n / (n + n0), centred in the block and clipped.
     Residuals are centred in their own block first. All of it happens on the (block, group) table."""
-    per = df.groupBy(block, group).agg(F.sum(residual).alias("s"), F.count(residual).alias("n"))
-    in_block = Window.partitionBy(block)
-    centred = per.withColumn(
-        "c", F.col("s") - F.col("n") * F.sum("s").over(in_block) / F.sum("n").over(in_block)
-    )
-    # one row per (block, group): the windows run over this small table
-    in_group = Window.partitionBy(group)
-    other_c = F.sum("c").over(in_group) - F.col("c")
-    other_n = F.sum("n").over(in_group) - F.col("n")
-    raw = centred.withColumn(
-        "d", F.when(other_n > 0, other_c / F.when(other_n > 0, other_n) * other_n / (other_n + n0)).otherwise(0.0)
-    )
-    mean = F.sum(F.col("d") * F.col("n")).over(in_block) / F.sum("n").over(in_block)
-    table = raw.select(
-        block, group, F.least(F.greatest(F.col("d") - mean, F.lit(-clip)), F.lit(clip)).alias(out)
+    per = cut_lineage(df.groupBy(block, group).agg(F.sum(residual).alias("s"), F.count(residual).alias("n")))
+    # one row per block
+    blocks = F.broadcast(per.groupBy(block).agg((F.sum("s") / F.sum("n")).alias("_bm")))
+    centred = per.join(blocks, block).withColumn("c", F.col("s") - F.col("n") * F.col("_bm")).drop("_bm")
+    groups = centred.groupBy(group).agg(F.sum("c").alias("_gc"), F.sum("n").alias("_gn"))
+    both = centred.join(groups, group)
+    other_c, other_n = F.col("_gc") - F.col("c"), F.col("_gn") - F.col("n")
+    raw = both.withColumn("d", F.when(other_n > 0, other_c / (other_n + n0)).otherwise(0.0))
+    means = F.broadcast(raw.groupBy(block).agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("_dm")))
+    table = raw.join(means, block).select(
+        block, group, F.least(F.greatest(F.col("d") - F.col("_dm"), F.lit(-clip)), F.lit(clip)).alias(out)
     )
     return join_checked(df, table, [block, group])
 
@@ -300,7 +296,7 @@ def quantile_bin_offset(
     The driver reads the edges (blocks x bins numbers); rows of other blocks are binned by the asking block's edges.
     """
     names = {f"q{i}": i / bins for i in range(1, bins)}
-    edges = {r[block]: [r[n] for n in names] for r in exact_quantiles(df, pred, names, [block], buckets=64).collect()}
+    edges = {r[block]: [r[n] for n in names] for r in exact_quantiles(df, pred, names, [block]).collect()}
     mean_by_block = df.groupBy(block).agg(F.avg(residual).alias("_mr"))
     # one row per block
     rows = df.join(F.broadcast(mean_by_block), block).withColumn("_e", F.col(residual) - F.col("_mr")).drop("_mr")

@@ -36,7 +36,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per numeric column from its distinct values and their positions: count, distinct, exact quartiles,
     moments (bias-corrected skewness), zero and negative counts, whole-number flag. All columns share the jobs, and a
     value that fills a third of a column is one row."""
-    pos = value_positions(_long(df, columns, "double"), "v", ["column"], buckets=32)
+    pos = value_positions(_long(df, columns, "double"), "v", ["column"])
     n = F.col("_hi") - F.col("_lo")
     probs = {"p25": 0.25, "median": 0.5, "p75": 0.75}
     aggs: list[Column] = [
@@ -237,7 +237,7 @@ def leakage_correlations(df: DataFrame, target: str, threshold: float = 0.95, mi
     long = _long(df, columns, "double", F.col(target).cast("double").alias("y")).filter(
         F.col("v").isNotNull() & F.col("y").isNotNull()
     )
-    ranked = average_rank(average_rank(long, "v", "rv", ["column"], buckets=32), "y", "ry", ["column"], buckets=32)
+    ranked = average_rank(average_rank(long, "v", "rv", ["column"]), "y", "ry", ["column"])
     s = ranked.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"), F.corr("v", "y").alias("pearson"), F.corr("rv", "ry").alias("spearman")
     ).filter(F.col("rows") >= min_rows)

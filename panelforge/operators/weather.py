@@ -402,7 +402,7 @@ def regional_aggregates(
     regional = df.groupBy(time).agg(*aggs)
     for v in values:
         names = {f"{prefix}_{v}_q{round(q * 100):02d}": q for q in quantiles}
-        regional = regional.join(exact_quantiles(df, v, names, [time], buckets=16), time, "left")
+        regional = regional.join(exact_quantiles(df, v, names, [time]), time, "left")
     out = df.join(regional, time, "left")
     return out.withColumns({f"{v}_{prefix}_diff": F.col(v) - F.col(f"{prefix}_{v}_mean") for v in values})
 

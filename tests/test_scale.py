@@ -122,3 +122,12 @@ def test_radius_join_matches_brute_force(spark):
         for r in (25, 100):
             n = row[f"event_count_r{r}"].fillna(0).sum() if len(row) else 0
             assert n == (d <= r).sum()
+
+
+def test_sorted_index(skewed):
+    from panelforge.core.scale import sorted_index
+
+    pdf, df = skewed
+    got = sorted_index(df, ["v", "id"], "n").orderBy("n").toPandas()
+    assert got["n"].tolist() == list(range(len(pdf)))
+    assert got["id"].tolist() == pdf.sort_values(["v", "id"])["id"].tolist()
