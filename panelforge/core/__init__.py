@@ -5,11 +5,13 @@ from panelforge.core.scale import (
     day_table,
     join_checked,
     salted_join,
+    sorted_index,
     value_positions,
 )
 from panelforge.core.exprs import (
     clean_nan,
     linear_quantile,
+    linear_quantiles,
     safe_div,
     time_order,
     unique_guard,
@@ -23,8 +25,10 @@ __all__ = [
     "exact_quantiles",
     "join_checked",
     "linear_quantile",
+    "linear_quantiles",
     "safe_div",
     "salted_join",
+    "sorted_index",
     "time_order",
     "unique_guard",
     "value_positions",

@@ -28,6 +28,11 @@ def linear_quantile(c: str | Column, p: float) -> Column:
     return F.percentile(col(c).cast("double"), F.lit(float(p)))
 
 
+def linear_quantiles(c: str | Column, probs: Sequence[float]) -> Column:
+    """Several interpolated quantiles from one buffer, as an array."""
+    return F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
+
+
 def time_order(entity: Sequence[str], time: str, *more: str) -> WindowSpec:
     """Entity partition ordered by time; rows without a time come last."""
     return Window.partitionBy(*entity).orderBy(F.col(time).asc_nulls_last(), *more)

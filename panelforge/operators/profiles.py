@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.core.exprs import linear_quantile, safe_div
+from panelforge.core.exprs import linear_quantiles, safe_div
 from panelforge.core.scale import cut_lineage, join_checked
 from panelforge.operators.columns import capacity_bucket
 
@@ -98,9 +98,7 @@ def entity_summaries(
     aggs = [
         F.avg("_y").alias("log_mean"),
         F.stddev_pop("_y").alias("log_std"),
-        linear_quantile("_y", 0.5).alias("log_median"),
-        linear_quantile("_y", 0.1).alias("log_p10"),
-        linear_quantile("_y", 0.9).alias("log_p90"),
+        linear_quantiles("_y", (0.5, 0.1, 0.9)).alias("_q"),
         F.count(F.lit(1)).alias("days"),
         F.avg("_zero").alias("zero_share"),
         safe_div(F.avg(target), cap24).alias("load_factor"),
@@ -128,6 +126,8 @@ def entity_summaries(
     for c in degree_columns:
         aggs.append(_guarded_slope(F.col("_y"), F.col(c).cast("double")).alias(f"slope_{c}"))
     level = rows.groupBy(*by, entity).agg(*aggs)
+    quantiles = {n: F.get("_q", F.lit(i)) for i, n in enumerate(("log_median", "log_p10", "log_p90"))}
+    level = level.withColumns(quantiles).drop("_q")
     if target_window is None:
         level = level.withColumns(
             {

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.core.exprs import linear_quantile, safe_div, time_order
+from panelforge.core.exprs import linear_quantile, linear_quantiles, safe_div, time_order
 from panelforge.functions.season import leaf_season
 from panelforge.operators.windows import with_run_length
 
@@ -229,9 +229,12 @@ def hourly_to_daily(
             F.max(v).alias(f"{v}_max"),
             F.stddev_samp(v).alias(f"{v}_std"),
         ]
-        aggs += [linear_quantile(v, q).alias(f"{v}_q{round(q * 100):02d}") for q in quantiles]
+        aggs.append(linear_quantiles(v, quantiles).alias(f"_q_{v}"))
     aggs += [circular_mean(d).alias(f"{d}_circular_mean") for d in directions]
     out = df.groupBy(*keys, F.to_date(time).alias(day)).agg(*aggs)
+    for v in values:
+        named = {f"{v}_q{round(q * 100):02d}": F.get(f"_q_{v}", F.lit(i)) for i, q in enumerate(quantiles)}
+        out = out.withColumns(named).drop(f"_q_{v}")
     for d in directions:
         r = F.radians(F.col(f"{d}_circular_mean"))
         out = out.withColumns({f"{d}_sin": F.sin(r), f"{d}_cos": F.cos(r)})
@@ -260,10 +263,9 @@ def wind_pressure_daily(
         F.stddev_samp(pressure).alias("pressure_std"),
         F.greatest(-F.min("_change3"), F.lit(0.0)).alias("_drop"),
         F.count("_change3").alias("_drops"),
-        *[linear_quantile(speed, q).alias(f"speed_q{round(q * 100):02d}") for q in SPEED_QUANTILES],
+        linear_quantiles(speed, SPEED_QUANTILES).alias("_sq"),
         linear_quantile(gust, 0.9).alias("gust_q90"),
-        linear_quantile(direction, 0.01).alias("direction_q01"),
-        linear_quantile(direction, 0.99).alias("direction_q99"),
+        linear_quantiles(direction, (0.01, 0.99)).alias("_dq"),
         F.degrees(circular_std(direction)).alias("direction_std"),
         circular_mean(direction).alias("_mean_dir"),
         F.max_by(direction, peak_key).alias("_peak_dir"),
@@ -271,6 +273,10 @@ def wind_pressure_daily(
         *[F.count_if(F.col(gust) >= g).alias(f"gust_{g}ms_hours") for g in GUST_THRESHOLDS],
     ]
     daily = hours.groupBy(*keys, F.to_date(time).alias("day")).agg(*aggs)
+    speeds = {f"speed_q{round(q * 100):02d}": F.get("_sq", F.lit(i)) for i, q in enumerate(SPEED_QUANTILES)}
+    daily = daily.withColumns(
+        {**speeds, "direction_q01": F.get("_dq", F.lit(0)), "direction_q99": F.get("_dq", F.lit(1))}
+    ).drop("_sq", "_dq")
     turn = F.abs(F.col("_mean_dir") - F.lag("_mean_dir").over(time_order(keys, "day")))
     return daily.withColumns(
         {
