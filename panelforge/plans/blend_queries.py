@@ -427,8 +427,8 @@ _QS = ", ".join(f"quantile_cont(m3, {i / 8})" for i in range(1, 8))
     "B22",
     f"""WITH {_RES}, c AS (SELECT id, fold, m3, e - avg(e) OVER (PARTITION BY fold) AS e FROM r), q AS (SELECT fold AS b, [{_QS}] AS q FROM c GROUP BY 1),
     x AS (SELECT b, len(list_filter(q, lambda v: v <= m3)) AS bin, sum(e) / (count(*) + 200) AS d FROM c JOIN q ON b <> fold GROUP BY 1, 2),
-    o AS (SELECT id, fold, coalesce(d, 0) AS d FROM (SELECT id, fold, len(list_filter(q, lambda v: v <= m3)) AS bin FROM c JOIN q ON b = fold) LEFT JOIN x ON x.b = fold AND x.bin = bin)
-    SELECT id, {sql_rnd('d - avg(d) OVER (PARTITION BY fold)', 'offset')} FROM o""".replace("x.bin = bin)", "x.bin = k)").replace("AS bin FROM c JOIN q ON b = fold)", "AS k FROM c JOIN q ON b = fold)"),
+    o AS (SELECT id, fold, coalesce(d, 0) AS d FROM (SELECT id, fold, len(list_filter(q, lambda v: v <= m3)) AS k FROM c JOIN q ON b = fold) LEFT JOIN x ON x.b = fold AND x.bin = k)
+    SELECT id, {sql_rnd('d - avg(d) OVER (PARTITION BY fold)', 'offset')} FROM o""",
 )
 def bin_offset(t: Tables) -> DataFrame:
     out = PP.quantile_bin_offset(residuals(t), "fold", "m3", "e", "offset", bins=8)

@@ -477,9 +477,6 @@ def timeline(t: Tables) -> DataFrame:
     return rounded(M.prediction_timeline(B.predictions(t), "day", "truth", "m3", "week"), ["period", "rows"], 7)
 
 
-_VAR = "var_samp"
-
-
 @query(
     "seed_variance",
     "M16",

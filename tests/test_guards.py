@@ -7,7 +7,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from panelforge.core.scale import shared_folder
 from panelforge.functions import text as TX
