@@ -6,7 +6,6 @@ which counts a written table first. All other joins are left to statistics and a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -21,31 +20,34 @@ def range_buckets(spark: SparkSession) -> int:
     return max(64, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one on a local master and an error on a
-    cluster, whose executors share no local disk."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(spark.sparkContext.applicationId)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="panelforge-")
-        _LOCAL_ROOTS[spark.sparkContext.applicationId] = folder
-    return folder
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset, one inside the warehouse, which every executor of a
+    cluster reaches as well. Never a machine-local temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, for tables written on the way. It is removed when the session's JVM ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, for tables written on the way."""
-    return f"{_shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows to a new table in the shared folder and reads them back: later jobs start from files, also after
+    an executor is lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: a lost executor costs a read, not the whole lineage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_shared_root(spark))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     return df.checkpoint()
 
 
