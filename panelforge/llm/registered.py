@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.decontaminate import contamination
 from panelforge.llm.exact_dedup import exact_duplicates
+from panelforge.llm.kd_sharding import kd_shards
 from panelforge.llm.mixing import mixture
+from panelforge.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +57,15 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 @_query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(_table(spark, sf_dir, "documents"), shards=16)
+
+
+@_query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
