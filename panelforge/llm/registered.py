@@ -11,6 +11,7 @@ from panelforge.llm.exact_dedup import exact_duplicates
 from panelforge.llm.kd_sharding import kd_shards
 from panelforge.llm.mixing import mixture
 from panelforge.llm.token_counts import token_counts
+from panelforge.llm.warc import roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip(_table(spark, sf_dir, "pages"))
