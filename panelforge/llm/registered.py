@@ -10,6 +10,7 @@ from panelforge.llm.decontaminate import contamination
 from panelforge.llm.exact_dedup import exact_duplicates
 from panelforge.llm.kd_sharding import kd_shards
 from panelforge.llm.mixing import mixture
+from panelforge.llm.pii import personal_data
 from panelforge.llm.token_counts import token_counts
 from panelforge.llm.warc import roundtrip
 
@@ -75,3 +76,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
