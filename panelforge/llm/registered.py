@@ -11,6 +11,7 @@ from panelforge.llm.exact_dedup import exact_duplicates
 from panelforge.llm.kd_sharding import kd_shards
 from panelforge.llm.mixing import mixture
 from panelforge.llm.pii import personal_data
+from panelforge.llm.quality_cnn import quality_scores
 from panelforge.llm.token_counts import token_counts
 from panelforge.llm.warc import roundtrip
 
@@ -81,3 +82,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
