@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelforge.llm.decontaminate import contamination
 from panelforge.llm.exact_dedup import exact_duplicates
 from panelforge.llm.kd_sharding import kd_shards
+from panelforge.llm.language_id import identify
 from panelforge.llm.mixing import mixture
 from panelforge.llm.pii import personal_data
 from panelforge.llm.quality_cnn import quality_scores
@@ -87,3 +89,9 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared language of a document is its `lang`, its host is its `source`."""
+    return identify(_table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
