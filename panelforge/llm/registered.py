@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.decontaminate import contamination
 from panelforge.llm.exact_dedup import exact_duplicates
+from panelforge.llm.jaccard_join import jaccard_components
 from panelforge.llm.kd_sharding import kd_shards
 from panelforge.llm.language_id import identify
 from panelforge.llm.mixing import mixture
@@ -95,3 +96,8 @@ def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declared language of a document is its `lang`, its host is its `source`."""
     return identify(_table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
+@_query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)

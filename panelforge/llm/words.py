@@ -57,8 +57,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into runs of whole rows of at most `limit` bytes (or one longer row). Yields first row, end
+def text_blocks(
+    column: pa.Array, limit: int = BLOCK_BYTES, rows: int = 1 << 30
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a string column into runs of whole rows of at most `limit` bytes (or one longer row) and `rows` rows. Yields first row, end
     row, the UTF-8 bytes and the offsets of the rows in them. NULL counts as empty."""
     if column.null_count:
         column = pc.fill_null(column, "")
@@ -72,7 +74,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
     data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
