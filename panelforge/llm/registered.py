@@ -32,7 +32,11 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 
 def add_to(queries: dict, oracles: dict) -> None:
-    queries.update(QUERIES)
+    import corpus_pipeline
+
+    queries.update(QUERIES, pipeline=corpus_pipeline.run)
+    if corpus_pipeline.ORACLE_SQL:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
     oracles.update(ORACLES)
 
 
