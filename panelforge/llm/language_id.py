@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from panelforge.core.scale import written
 from panelforge.llm.words import LETTERS, text_blocks
@@ -145,7 +146,7 @@ def with_likelihoods(rows: DataFrame, text_col: str, model: Model, keep: list[st
     sent = rows.sparkSession.sparkContext.broadcast(model)
     at_text = rows.columns.index(text_col)
     at_keep = [rows.columns.index(k) for k in keep]
-    schema = rows.select(*[F.col(f"`{k}`") for k in keep]).withColumn("_lid_text", F.array(F.lit(0.0))).schema
+    schema = rows.select(*[F.col(f"`{k}`") for k in keep]).schema.add("_lid_text", ArrayType(DoubleType()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

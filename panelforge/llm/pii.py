@@ -230,7 +230,7 @@ def fit_classifier(found: DataFrame) -> tuple[dict[str, float], float] | None:
     ).select(*FEATURES, "x.label", F.col("x.w").alias("weight"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = LogisticRegression(weightCol="weight", regParam=0.001, standardization=False, maxIter=60).fit(vectors.coalesce(1))
-    return dict(zip(FEATURES, model.coefficients.tolist())), model.intercept
+    return dict(zip(FEATURES, model.coefficients.toArray().tolist())), model.intercept
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -188,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: s
             w["bias"] = np.array(np.log(share / (1 - share)), np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(w)], pa.binary())], ["weights"])
 
-    return pickle.loads(bytes(sample.mapInArrow(learn, "weights binary").first()[0]))
+    learned = sample.mapInArrow(learn, "weights binary").first()  # None if the sample has no partition
+    return pickle.loads(bytes(learned[0])) if learned else {k: np.zeros_like(x) for k, x in _initial(np.random.default_rng(0), 0.5).items()}
 
 
 def quality_scores(
