@@ -228,15 +228,46 @@ _LOGS = f"""{MEM}, lg AS (SELECT ln(1 + greatest(m1, 0)) AS b, ln(1 + greatest(m
     SELECT {sql_rnd('k2', 'm2', 5)}, {sql_rnd('k3', 'm3', 5)}, {sql_rnd('1 - k2 - k3', 'base', 5)}, {sql_rnd('sqrt(greatest(m0 - p2 * k2 - p3 * k3, 0))', 'rmsle', 5)} FROM k""",
 )
 def projection(t: Tables) -> DataFrame:
-    p = members(t)
-    logs = p.select(*[PP.log_of(m).alias(m) for m in ("m1", "m2", "m3")])
-    s = p.agg(*[M.metric("rmsle", "truth", m).alias(m) for m in ("m1", "m2", "m3")]).first().asDict()
-    r = BL.gram_projection(logs, "m1", ["m2", "m3"], s)
-    w = BL.affine_weights(r["coefficients"], "m1")
-    row = [(round(w["m2"], 5), round(w["m3"], 5), round(w["m1"], 5), round(r["rmsle"], 5))]
+    logs, s = _scored_logs(t)
+    w = BL.score_projection(logs, s)
+    row = [(round(w["m2"], 5), round(w["m3"], 5), round(w["m1"], 5), round(w["rmsle"], 5))]
     return t.spark.createDataFrame(row, "m2 double, m3 double, base double, rmsle double")
 
 
+def _scored_logs(t: Tables, names: tuple[str, ...] = ("m1", "m2", "m3")) -> tuple[DataFrame, dict[str, float]]:
+    p = members(t)
+    logs = p.select(*[PP.log_of(m).alias(m) for m in names])
+    return logs, p.agg(*[M.metric("rmsle", "truth", m).alias(m) for m in names]).first().asDict()
+
+
+@query(
+    "score_step",
+    "B11",
+    f"""WITH {_LOGS}, g AS (SELECT avg(d3 * d3) AS q, avg(power(y - b, 2)) AS m0, avg(power(y - b - d3, 2)) AS m3 FROM lg)
+    SELECT {sql_rnd('(q - m3 + m0) / (2 * q)', 'step', 5)}, {sql_rnd('sqrt(m0 - power(q - m3 + m0, 2) / (4 * q))', 'rmsle', 5)} FROM g""",
+)
+def score_step(t: Tables) -> DataFrame:
+    """How far to go from m1 towards m3."""
+    w = BL.score_projection(*_scored_logs(t, ("m1", "m3")))
+    return t.spark.createDataFrame([(round(w["m3"], 5), round(w["rmsle"], 5))], "step double, rmsle double")
+
+
+@query(
+    "rounded_score_range",
+    "B11",
+    f"""WITH {_LOGS}, g AS (SELECT avg(d2 * d2) AS a, avg(d3 * d3) AS c, avg(d2 * d3) AS b, avg(power(y - b, 2)) AS m0, avg(power(y - b - d2, 2)) AS m2, avg(power(y - b - d3, 2)) AS m3 FROM lg),
+    e AS (SELECT *, unnest([-0.001, 0.001]) AS e0 FROM g), f AS (SELECT *, unnest([-0.001, 0.001]) AS e2 FROM e), h AS (SELECT *, unnest([-0.001, 0.001]) AS e3 FROM f),
+    v AS (SELECT power(sqrt(m0) + e0, 2) AS s0, power(sqrt(m2) + e2, 2) AS s2, power(sqrt(m3) + e3, 2) AS s3, a, b, c FROM h),
+    x AS (SELECT sqrt(greatest(s0 + 1.5 * (s2 - s0 - a) - 0.2 * (s3 - s0 - c) + 2.25 * a + 0.04 * c - 0.6 * b, 0)) AS r FROM v)
+    SELECT {sql_rnd('min(r)', 'low', 5)}, {sql_rnd('max(r)', 'high', 5)} FROM x""",
+)
+def score_range(t: Tables) -> DataFrame:
+    """Weights -0.3, 1.5 and -0.2; the twin tries every corner."""
+    logs, s = _scored_logs(t)
+    low, high = BL.rounded_score_range(BL.pairwise_distances(logs, list(s)), [-0.3, 1.5, -0.2], list(s.values()), 0.001)
+    return t.spark.createDataFrame([(round(low, 5), round(high, 5))], "low double, high double")
+
+
 # ---- post-processing ------------------------------------------------------------------------------------------------
 
 _CAP = "(entity % 500 + 50)"
