@@ -1,7 +1,7 @@
 """Primitives that stay flat when one key or value holds a large share of the rows.
 
-Broadcast hints appear in two places only: `day_table` for tables with one row per calendar day, and `join_checked`,
-which counts a written table first. All other joins are left to statistics and adaptive execution.
+A broadcast hint appears in one place only: `day_table` for tables with one row per calendar day. All other joins are
+left to statistics and adaptive execution.
 """
 
 from __future__ import annotations
@@ -190,15 +190,12 @@ def salted_join(
 
 
 def join_checked(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", max_rows: int = 500_000
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Joins a per-key table whose size depends on the data. The table is written once (it is an aggregate of `left` or
-    a dimension), counted, and broadcast only up to `max_rows`. Beyond that both sides are shuffled, and adaptive
-    execution splits the partitions of a hot key; salting would multiply a table already known to be large."""
-    table = cut_lineage(right)
-    if table.count() <= max_rows:
-        return left.join(F.broadcast(table), list(keys), how)
-    return left.join(table, list(keys), how)
+    """Joins a per-key table whose size depends on the data. No hint and no job: adaptive execution measures the table
+    in bytes when it runs, broadcasts it below the session's threshold, and otherwise splits the partitions of a hot key;
+    salting would multiply a table already known to be large."""
+    return left.join(right, list(keys), how)
 
 
 def day_table(df: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,15 +244,17 @@ def one_way_day_effect(df: DataFrame, entity: str, day: str, value: str) -> Data
 
 
 def two_way_effects(
-    df: DataFrame, entity: str, day: str, value: str, rounds: int = 25, tolerance: float = 1e-8, every: int = 1
+    df: DataFrame, entity: str, day: str, value: str, rounds: int = 25, tolerance: float = 1e-8
 ) -> DataFrame:
     """Day effects of value ~ mu + entity + day by alternating means, centred over days.
 
-    Rows collapse to (entity, day) cells partitioned by entity and written once. A round joins the day effects (one row
-    per day), averages inside the entity partition without a shuffle, and shuffles one partial sum per day.
+    Rows collapse to (entity, day) cells, partitioned by entity and held while the rounds run; a lost executor's part is
+    computed again from the rows. A round joins the day effects (one row per day), averages inside the entity partition
+    without a shuffle, and shuffles one partial sum per day. A warning says so when the last round still changed an
+    effect by more than `tolerance`.
     """
     cells = df.groupBy(entity, F.to_date(day).alias(day)).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    cells = cut_lineage(cells.repartition(entity))
+    cells = cells.repartition(entity).persist(StorageLevel.MEMORY_AND_DISK)
     mu = cells.agg(safe_div(F.sum("_s"), F.sum("_n")).alias("m")).first()["m"]
     effects = cut_lineage(cells.select(day).distinct().withColumn("day_effect", F.lit(0.0)))
     by_entity = Window.partitionBy(entity)
@@ -272,6 +276,9 @@ def two_way_effects(
         effects = new.drop("_old")
         if change is None or change < tolerance:
             break
+    else:
+        warnings.warn(f"day effects still changed by {change:g} in round {rounds}", stacklevel=2)
+    cells.unpersist()
     return effects
 
 

@@ -188,6 +188,7 @@ def rescue_number(df: DataFrame, column: str, out: str, min_share: float = 0.5)
 
 _DMY = r"^\s*(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
 _YMD = r"^\s*\d{4}[./-]"
+_DATE_AND_TIME = r"^\s*(\d{1,4}[./-]\d{1,2}[./-]\d{1,4})(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?\s*$"
 
 
 def date_order(df: DataFrame, column: str) -> DataFrame:
@@ -215,10 +216,10 @@ def date_order(df: DataFrame, column: str) -> DataFrame:
 
 
 def parse_dates(df: DataFrame, column: str, out: str, max_unparsed: float = 0.02, strict: bool = True) -> DataFrame:
-    """Parses a text date column under its proven component order. Strict mode fails the query when the order is
+    """Parses a text date column, with or without a time of day, under its proven component order. Strict mode fails the query when the order is
     ambiguous or more than `max_unparsed` of the rows do not parse."""
     order = date_order(df, column).scalar()
-    text = F.trim(F.regexp_replace(F.col(column).cast("string"), r"[./]", "-"))
+    text = F.regexp_replace(F.regexp_extract(F.col(column).cast("string"), _DATE_AND_TIME, 1), r"[./]", "-")
     iso = F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date")
     dmy = F.try_to_timestamp(text, F.lit("d-M-yyyy")).cast("date")
     mdy = F.try_to_timestamp(text, F.lit("M-d-yyyy")).cast("date")
@@ -286,7 +287,7 @@ def id_patterns(
     hits = [i for i in range(len(found)) if made[f"x{i}"] == want["x"] and made[f"s{i}"] == want["s"]]
     wanted = sample.select(F.trim(F.col(sample_id).cast("string")).alias("id")).distinct()
     parts = []
-    for i in hits or [0]:
+    for i in hits or [0]:  # without a hit the report has its columns and no row
         pattern, sep, c = found[i]
         ids = test.select(c.alias("id")).distinct()
         side = ids.withColumn("_m", F.lit(1)).join(wanted.withColumn("_w", F.lit(1)), "id", "full")
@@ -301,7 +302,7 @@ def id_patterns(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out if hits else out.filter(F.lit(False))
 
 
 def apply_id_pattern(

@@ -55,7 +55,7 @@ def oof_target_encode(
     """Target mean of the other folds, smoothed towards their overall mean; a category they lack gets that mean.
 
     Disjoint folds: one pass builds (category, fold) cells, the fit side of a fold is all cells minus its own. Works on
-    cells, whatever the number of rows. NULL is a category.
+    cells, whatever the number of rows. A NULL category says nothing: its rows get the prior.
     """
     key = {"_cat": F.coalesce(F.col(column).cast("string"), F.lit("")), "_null": F.col(column).isNull()}
     rows = df.withColumns(key)
@@ -76,7 +76,9 @@ def oof_target_encode(
             "_cat",
             "_null",
             fold,
-            _smooth(F.col("_cs") - F.col("_s"), F.col("_cn") - F.col("_n"), F.col("_prior"), smoothing).alias(out),
+            F.when(F.col("_null"), F.col("_prior"))
+            .otherwise(_smooth(F.col("_cs") - F.col("_s"), F.col("_cn") - F.col("_n"), F.col("_prior"), smoothing))
+            .alias(out),
         )
     )
     return join_checked(rows, table, ["_cat", "_null", fold]).drop("_cat", "_null")
@@ -121,6 +123,7 @@ def oof_target_encode_purged(
         )
     out_rows = join_checked(join_checked(marked, cells, ["_cat", "_null", "_fold"]), priors, ["_fold"])
     value = _smooth(F.coalesce("_s", F.lit(0.0)), F.coalesce("_n", F.lit(0)), F.col("_prior"), smoothing)
+    value = F.when(F.col("_null"), F.col("_prior")).otherwise(value)
     return out_rows.withColumn(out, value).drop("_cat", "_null", "_fold", "_s", "_n", "_prior")
 
 
@@ -134,6 +137,7 @@ def target_encode_test(
     cells = train.withColumns(key).groupBy("_cat", "_null").agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
     joined = join_checked(test.withColumns(key), cells, ["_cat", "_null"]).withColumn("_prior", prior)
     value = _smooth(F.coalesce("_s", F.lit(0.0)), F.coalesce("_n", F.lit(0)), F.col("_prior"), smoothing)
+    value = F.when(F.col("_null"), F.col("_prior")).otherwise(value)
     return joined.withColumn(out, value).drop("_cat", "_null", "_s", "_n", "_prior")
 
 

@@ -64,6 +64,15 @@ def attach_many_to_one(
     return out.drop("_hit"), rate
 
 
+def require_match(df: DataFrame, table: DataFrame, keys: Sequence[str], family: str) -> DataFrame:
+    """The rows of `df`; the query fails if they have no key at all in common with the table. The keys are compared as
+    distinct values, when the result is computed."""
+    common = df.select(*keys).distinct().join(table.select(*keys).distinct(), list(keys), "left_semi")
+    met = common.agg(F.count(F.lit(1)).alias("n")).scalar()
+    message = F.lit(f"{family}: no row of the panel found a match on {list(keys)}")
+    return df.withColumn("_met", met).filter(F.assert_true(F.col("_met") > 0, message).isNull()).drop("_met")
+
+
 def attach_static(df: DataFrame, dim: DataFrame, key: str, drop: Sequence[str] = ()) -> DataFrame:
     return attach_many_to_one(df, dim, [key], drop, family="static")[0]
 
@@ -119,11 +128,11 @@ def add_annual_attribute(
     table = annual.select(
         key, (F.col(year).cast("int") + year_lag).alias("_year"), *[F.col(v).alias(f"{prefix}_{v}") for v in values]
     )
-    out, _ = attach_many_to_one(
-        df.withColumn("_year", F.year(time)), table, [key, "_year"], check=False, family=prefix
-    )
+    rows = require_match(df.withColumn("_year", F.year(time)), table, [key, "_year"], prefix)
+    out, _ = attach_many_to_one(rows, table, [key, "_year"], check=False, family=prefix)
     if population is not None:
         people = population.select(key, F.col(population_column).alias("_people"))
+        out = require_match(out, people, [key], "population")
         out, _ = attach_many_to_one(out, people, [key], check=False, family="population")
         out = out.withColumns(
             {
@@ -146,7 +155,8 @@ def add_month_profile(
     table = table.filter(
         F.assert_true(F.col("_dup") == 1, F.lit("the profile repeats a (key, month)")).isNull()
     ).drop("_dup")
-    return join_checked(df.withColumn("_month", F.month(time)), table, [key, "_month"]).drop("_month")
+    rows = require_match(df.withColumn("_month", F.month(time)), table, [key, "_month"], prefix)
+    return join_checked(rows, table, [key, "_month"]).drop("_month")
 
 
 def add_monthly_attribute(
@@ -182,7 +192,8 @@ def add_monthly_attribute(
             ).drop(f"_t_{v}")
         table = table.drop("_months")
     table = table.withColumn("_ix", F.col("_y") * 12 + F.col("_m") - 1 + lag_months).drop("_y", "_m")
-    return join_checked(df.withColumn("_ix", month_index(F.to_date(time))), table, [key, "_ix"]).drop("_ix")
+    rows = require_match(df.withColumn("_ix", month_index(F.to_date(time))), table, [key, "_ix"], prefix)
+    return join_checked(rows, table, [key, "_ix"]).drop("_ix")
 
 
 def district_monthly_estimate(
@@ -219,11 +230,13 @@ def district_monthly_estimate(
 
 @dataclass(frozen=True)
 class Family:
-    """A named source: `attach` adds its columns; `days` (a table and its date column) gates it on overlapping years."""
+    """A named source: `attach` adds its columns; `days` (a table and its date column) gates it on the years it shares
+    with the panel, seen `year_lag` years later."""
 
     name: str
     attach: Callable[[DataFrame], DataFrame] | None
     days: tuple[DataFrame, str] | None = None
+    year_lag: int = 0
 
 
 # Fixed order of the source families.
@@ -233,8 +246,8 @@ FAMILY_ORDER = (
 )
 
 
-def _years_overlap(panel: DataFrame, time: str, table: DataFrame, day: str) -> bool:
-    a = panel.select(F.year(time).alias("y")).distinct()
+def _years_overlap(panel: DataFrame, time: str, table: DataFrame, day: str, lag: int = 0) -> bool:
+    a = panel.select((F.year(time) - lag).alias("y")).distinct()
     b = table.select(F.year(day).alias("y")).distinct()
     return not a.join(b, "y", "left_semi").isEmpty()
 
@@ -256,7 +269,7 @@ def attach_external(
         if f.attach is None:
             report.append((name, "skipped", 0, "no source"))
             continue
-        if f.days is not None and not _years_overlap(panel, time, *f.days):
+        if f.days is not None and not _years_overlap(panel, time, *f.days, f.year_lag):
             report.append((name, "skipped", 0, "no common year"))
             continue
         before = len(out.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.exprs import safe_div
-from panelforge.core.scale import average_rank, cut_lineage, value_positions
+from panelforge.core.scale import average_rank, cut_lineage, range_buckets, value_positions
 from panelforge.functions.text import has_combining_dot
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -75,24 +75,28 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def monotone_columns(df: DataFrame, columns: Sequence[str], order_by: str, buckets: int = 64) -> DataFrame:
+def monotone_columns(df: DataFrame, columns: Sequence[str], order_by: str, buckets: int | None = None) -> DataFrame:
     """Per column whether it never falls (or never rises) along `order_by`, without sorting everything in one task: the
-    order key is cut into ranges, neighbours are compared inside a range and the ranges' ends are compared next."""
+    order key is cut into ranges, as many as shuffle partitions by default, neighbours are compared inside a range and
+    the ranges' ends are compared next. Rows with one key are ordered by all the columns, so the answer does not depend
+    on the order in which rows are read."""
+    buckets = buckets or range_buckets(df.sparkSession)
     key = F.col(order_by).cast("double") if _is_numeric(dict(df.dtypes)[order_by]) else F.unix_micros(
         F.col(order_by).cast("timestamp")
     ).cast("double")
     rows = df.select(key.alias("_k"), *[F.col(c).cast("double").alias(c) for c in columns])
     bounds = rows.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 2000).alias("b")).scalar()
     cut = rows.withColumn("_b", bounds).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col("_k")))).drop("_b")
-    w = Window.partitionBy("_r").orderBy("_k")
+    place = ["_k", *columns]
+    w = Window.partitionBy("_r").orderBy(*place)
     stepped = cut.withColumns({f"_d_{c}": F.col(c) - F.lag(c).over(w) for c in columns})
     aggs = []
     for c in columns:
         aggs += [
             F.coalesce(F.bool_or(F.col(f"_d_{c}") < 0), F.lit(False)).alias(f"down_{c}"),
             F.coalesce(F.bool_or(F.col(f"_d_{c}") > 0), F.lit(False)).alias(f"up_{c}"),
-            F.min_by(c, "_k").alias(f"first_{c}"),
-            F.max_by(c, "_k").alias(f"last_{c}"),
+            F.min_by(c, F.struct(*place)).alias(f"first_{c}"),
+            F.max_by(c, F.struct(*place)).alias(f"last_{c}"),
         ]
     per = stepped.groupBy("_r").agg(*aggs)
     # at most `buckets` rows

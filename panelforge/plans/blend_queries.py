@@ -139,13 +139,12 @@ def power(t: Tables) -> DataFrame:
 @query(
     "tune_power_mean",
     "B05",
-    f"""WITH {MEM}, s AS (SELECT 0.5::DOUBLE AS p, avg(abs(truth - power((power(greatest(m2, 0), 0.5) + power(greatest(m3, 0), 0.5)) / 2, 2))) AS score FROM cov UNION ALL SELECT 1, avg(abs(truth - (m2 + m3) / 2)) FROM cov
-      UNION ALL SELECT 2, avg(abs(truth - sqrt((power(greatest(m2, 0), 2) + power(greatest(m3, 0), 2)) / 2))) FROM cov)
+    f"""WITH {MEM}, s AS (SELECT 0.5::DOUBLE AS p, avg(abs(truth - power((power(greatest(m2, 0), 0.5) + power(greatest(m3, 0), 0.5)) / 2, 2))) AS score FROM mem UNION ALL SELECT 1, avg(abs(truth - (m2 + m3) / 2)) FROM mem
+      UNION ALL SELECT 2, avg(abs(truth - sqrt((power(greatest(m2, 0), 2) + power(greatest(m3, 0), 2)) / 2))) FROM mem)
     SELECT p, {sql_rnd('score', 'score', 4)}, (score = (SELECT min(score) FROM s))::INT AS best FROM s""",
 )
 def tuned(t: Tables) -> DataFrame:
-    rows = members(t).filter(F.col("m4").isNotNull())
-    return rounded(BL.tune_power_mean(rows, {"m2": 1.0, "m3": 1.0}, "truth"), ["p", "best"], 4)
+    return rounded(BL.tune_power_mean(members(t), {"m2": 1.0, "m3": 1.0}, "truth"), ["p", "best"], 4)
 
 
 @query(
@@ -287,11 +286,18 @@ def cold_shrink(t: Tables) -> DataFrame:
     return PP.shrink_cold(with_cap(t), "m3", "cap", "cold", "prediction").select("id", rnd("prediction", digits=4))
 
 
-@query("rescale_day_profile", "B14 A29")
+@query(
+    "rescale_day_profile",
+    "B14 A29",
+    f"""WITH {B.DENSE_USER}, p AS (SELECT entity, day, ln(2 + amount) AS lg, day - min(day) OVER (PARTITION BY entity) AS age, count(*) OVER (PARTITION BY entity) AS n FROM dense),
+    m AS (SELECT day, avg(lg) AS m FROM p WHERE age >= 2 AND n >= 20 GROUP BY 1), e AS (SELECT p.*, coalesce(m - (SELECT avg(m) FROM m), 0) AS e FROM p LEFT JOIN m USING (day))
+    SELECT entity, day, {sql_rnd('greatest(exp(lg + 0.2 * (e - (SELECT avg(e) FROM e))) - 1, 0)', 'prediction', 4)} FROM e""",
+)
 def day_profile(t: Tables) -> DataFrame:
-    """Rows-only: the day effect comes from alternating means."""
+    """The panel is balanced, so the twin's day effects are plain means."""
     p = B.dense_user_day(t).withColumn("amount", F.col("amount") + 1)
-    return PP.rescale_day_profile(p, "entity", "day", "amount", "prediction", 1.2, 2, 20, rounds=8)
+    out = PP.rescale_day_profile(p, "entity", "day", "amount", "prediction", 1.2, 2, 20)
+    return out.select("entity", "day", rnd("prediction", digits=4))
 
 
 @query(

@@ -323,6 +323,20 @@ def dates(t: Tables) -> DataFrame:
     return C.parse_dates(t.orders.select("o_orderkey", text.alias("text")), "text", "day").drop("text")
 
 
+@query(
+    "parse_dates_with_times",
+    "Q18",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 97 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
+)
+def dates_with_times(t: Tables) -> DataFrame:
+    """Half of the dates carry a time of day; one in 97 is no date at all."""
+    form = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.date_format("o_orderdate", "dd.MM.yyyy HH:mm")).otherwise(
+        F.date_format("o_orderdate", "d/M/yyyy")
+    )
+    text = F.when(F.pmod("o_orderkey", F.lit(97)) > 0, form).otherwise(F.lit("no date"))
+    return C.parse_dates(t.orders.select("o_orderkey", text.alias("text")), "text", "day").drop("text")
+
+
 @query(
     "date_order",
     "Q18",
@@ -345,6 +359,18 @@ def id_synthesis(t: Tables) -> DataFrame:
     return C.id_patterns(test, sample, "id", ["entity"], "day")
 
 
+@query(
+    "id_pattern_none",
+    "Q19",
+    """SELECT '' AS pattern, '' AS separator, 0::BIGINT AS made, 0::BIGINT AS wanted, 0::BIGINT AS missing, 0::BIGINT AS extra FROM orders WHERE false""",
+)
+def no_pattern(t: Tables) -> DataFrame:
+    """Ids that no combination of key and date makes: the report is empty."""
+    test = B.supplier_day(t)
+    sample = test.select(F.concat(F.lit("x"), F.col("entity").cast("string")).alias("id"))
+    return C.id_patterns(test, sample, "id", ["entity"], "day")
+
+
 @query("mask_history", "Q20")
 def masked(t: Tables) -> DataFrame:
     """Rows-only: the hash that picks entities is Spark's."""

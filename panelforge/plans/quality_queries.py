@@ -322,6 +322,20 @@ def dialect(t: Tables) -> DataFrame:
     return df.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 
+@query(
+    "read_quoted_table",
+    "S01 S02",
+    """SELECT o_orderkey, o_orderpriority || ', "' || o_orderstatus || '"' || chr(10) || 'end' AS note FROM orders""",
+)
+def quoted(t: Tables) -> DataFrame:
+    """Delimiters, doubled quotes and line breaks inside quotes, written as text lines and read back."""
+    path = shared_folder(t.spark, "quoted") + ".csv"
+    note = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', ""'), F.col("o_orderstatus"), F.lit('""\nend"'))
+    t.orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), note).alias("value")).write.text(path)
+    df = R.read_any(t.spark, path, R.Dialect(header=False, multiline=True), normalize_names=False)
+    return df.toDF("o_orderkey", "note").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
 @query("parquet_cache", "S05", "SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem GROUP BY 1")
 def cache(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "cache")
@@ -338,6 +352,18 @@ def published(t: Tables) -> DataFrame:
     return P.read_published(t.spark, path, ["p_partkey"], 100, "parts")
 
 
+@query("refused_publish", "S06", "SELECT * FROM part")
+def refused(t: Tables) -> DataFrame:
+    """A version below its row floor is refused and the published table stays what it was."""
+    path = shared_folder(t.spark, "refused")
+    P.publish(t.part, path, ["p_partkey"], 100, "parts")
+    try:
+        P.publish(t.part.filter("p_partkey < 4"), path, ["p_partkey"], 100, "parts")
+    except ValueError:
+        return P.read_published(t.spark, path, ["p_partkey"], 100, "parts")
+    raise AssertionError("a table of three rows was published")
+
+
 @query(
     "upsert",
     "S07",

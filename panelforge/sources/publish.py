@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,6 +14,7 @@ from panelforge.core.exprs import require_columns
 from panelforge.operators.topk import align_to_sample
 
 _CONTRACT = "_contract"
+_CONTRACT_SCHEMA = "source string, rows long, columns array<string>, version string"
 
 
 def _contract_path(path: str) -> str:
@@ -20,16 +22,16 @@ def _contract_path(path: str) -> str:
 
 
 def publish(df: DataFrame, path: str, required: Sequence[str], min_rows: int, source: str) -> int:
-    """Writes parquet and, next to it, a one-row contract of source, rows and columns. Rows are counted in the written
-    files (footers only); a table below `min_rows` gets no contract, so readers refuse it."""
+    """Writes a new version of the table under `path` and, next to it, a one-row contract of source, rows, columns and
+    version. Rows are counted in the written files (footers only). A version below `min_rows` is never named by the
+    contract: readers go on with the one before it."""
     require_columns(df, required)
-    df.write.mode("overwrite").parquet(path)
-    rows = df.sparkSession.read.parquet(path).count()
+    version = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    rows = df.sparkSession.read.parquet(version).count()
     if rows < min_rows:
         raise ValueError(f"{path}: {rows} rows, at least {min_rows} expected")
-    contract = df.sparkSession.createDataFrame(
-        [(source, rows, list(df.columns))], "source string, rows long, columns array<string>"
-    )
+    contract = df.sparkSession.createDataFrame([(source, rows, list(df.columns), version)], _CONTRACT_SCHEMA)
     contract.coalesce(1).write.mode("overwrite").json(_contract_path(path))
     return rows
 
@@ -38,12 +40,12 @@ def read_published(
     spark: SparkSession, path: str, required: Sequence[str], min_rows: int, source: str | None = None
 ) -> DataFrame:
     """The published table after checking it against its contract. Counting parquet rows reads footers only."""
-    c = spark.read.schema("source string, rows long, columns array<string>").json(_contract_path(path)).first()
-    df = spark.read.parquet(path)
-    require_columns(df, required)
-    rows = df.count()
+    c = spark.read.schema(_CONTRACT_SCHEMA).json(_contract_path(path)).first()
     if c is None:
         raise ValueError(f"{path}: no contract")
+    df = spark.read.parquet(c["version"])
+    require_columns(df, required)
+    rows = df.count()
     if source is not None and c["source"] != source:
         raise ValueError(f"{path}: published by {c['source']}, not {source}")
     if rows != c["rows"] or list(df.columns) != list(c["columns"]):
@@ -81,10 +83,10 @@ def verify_contracts(tables: dict[str, DataFrame], contracts: Sequence[TableCont
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows win on equal keys; among repeated new rows the smallest by all columns. A frame with other columns
-    replaces the old one. One aggregate over the union: no window over a hot key, no second pass."""
+    """New rows win on equal keys; among repeated new rows the smallest by all columns. Both frames need the same
+    columns. One aggregate over the union: no window over a hot key, no second pass."""
     if set(old.columns) != set(new.columns):
-        return new
+        raise ValueError(f"columns differ: {sorted(set(old.columns) ^ set(new.columns))}")
     rest = [c for c in new.columns if c not in keys]
     both = new.withColumn("_age", F.lit(0)).unionByName(old.withColumn("_age", F.lit(1)))
     best = both.groupBy(*keys).agg(F.min(F.struct("_age", *rest)).alias("_row"))

@@ -19,6 +19,8 @@ class Dialect:
     encoding: str = "UTF-8"
     header: bool = True
     quote: str = '"'
+    #: Line breaks inside quotes; files are then not split, so switch it on only where they occur.
+    multiline: bool = False
 
 
 # ISO-8859-9 equals ISO-8859-1 but for these six letters. Spark reads the latter natively.
@@ -51,6 +53,8 @@ def read_table(
         spark.read.option("sep", dialect.delimiter)
         .option("encoding", "ISO-8859-1" if latin5 else dialect.encoding)
         .option("quote", dialect.quote)
+        .option("escape", dialect.quote)  # a quote inside quotes is doubled
+        .option("multiLine", str(dialect.multiline).lower())
         .option("header", str(dialect.header).lower())
         .csv(path)
     )

@@ -69,12 +69,19 @@ def test_salting_refuses_outer_joins(skewed):
         salted_join(df, df, ["g"], 2, "full")
 
 
-def test_join_checked_above_the_limit(skewed, spark):
+def test_join_checked_runs_nothing_and_broadcasts_by_size_only(skewed, spark):
     _, df = skewed
     table = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    small = join_checked(df, table, ["g"]).select("id", "n").orderBy("id").collect()
-    large = join_checked(df, table, ["g"], max_rows=1).select("id", "n").orderBy("id").collect()
-    assert small == large
+    spark.sparkContext.setJobGroup("planning", "")
+    joined = join_checked(df, table, ["g"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    small = joined.select("id", "n").orderBy("id").collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert join_checked(df, table, ["g"]).select("id", "n").orderBy("id").collect() == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def _brute_knn(pdf, k, km):
