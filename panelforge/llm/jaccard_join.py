@@ -11,7 +11,8 @@ shingles of x are shared, whatever y is.
    on. Shingles are counted again among classes; only shared ones are kept. With m shared shingles, rarest first, some
    linked pair meets in the first m - T + 1 of each: the prefix. Classes that share a prefix shingle are tied to the
    smallest of them (one edge per class and shingle, never all pairs).
-3. Search. Components of these ties are searched on their own, in one task each while they have at most `UNIT` classes.
+3. Search. Components of these ties are searched on their own, in one task each while they have at most `UNIT` classes
+   (and twice SOME_TOKENS shingles).
    Larger ones are cut into bands of set size, of which only neighbours can hold linked sets, and bands into units; every
    pair of units that can hold a link is searched, so that no task holds more than two units.
    Inside a task the inverted lists are divided: the longest are set aside, the others are merged and give the classes
@@ -45,7 +46,8 @@ from panelforge.llm.words import SPACED, mix, rows_of, runs, text_blocks, words_
 
 BITS = 48
 UNIT = 2000
-RANGE_TOKENS = 2_000_000
+#: Shingles, about, in one range of hash values, one block of sets, or one unit of a large component.
+SOME_TOKENS = 1_000_000
 _DOC = np.uint64(64 - BITS)
 _FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93,
             0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
@@ -104,7 +106,24 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-_BLOCK_SCHEMA = "block string, range int, size int, ids array<long>, counts array<int>, digests array<binary>, packed binary"
+_BLOCK_SCHEMA = "block string, range int, size int, ids array<long>, counts array<int>, sets array<binary>, packed binary, often binary"
+_ARROW_BLOCK = pa.schema(
+    [("block", pa.string()), ("range", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
+     ("sets", pa.list_(pa.binary())), ("packed", pa.binary()), ("often", pa.binary())]
+)
+
+
+def _block_rows(name: str, tokens: np.ndarray, owner: np.ndarray, size: int, bits: int, ranges: int, lists: dict) -> pa.RecordBatch:
+    """A block as one row per range of hash values; the first also has what is known of its members."""
+    packed = np.sort((tokens << _DOC) | owner.astype(np.uint64))
+    edges = np.searchsorted(packed >> _DOC, np.array([(r << bits) // ranges for r in range(ranges + 1)], np.uint64))
+    rows = [
+        {"block": name, "range": r, "size": size, "packed": _pack(packed[edges[r] : edges[r + 1]])}
+        for r in range(ranges)
+        if r == 0 or edges[r] < edges[r + 1]
+    ]
+    rows[0] |= lists
+    return pa.RecordBatch.from_pylist(rows, _ARROW_BLOCK)
 
 
 def _blocks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
@@ -117,43 +136,52 @@ def _blocks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
             for at, end, data, offsets in text_blocks(batch.column(1), rows=1 << 16):
                 sets = shingle_sets(data, offsets, width)
                 name, number = f"{task}-{number}", number + 1
-                owner = rows_of(sets.first).astype(np.uint64)
                 half = sets.tokens < np.uint64(1 << (BITS - 1))
-                packed = np.sort((sets.tokens[half] << _DOC) | owner[half])
-                edges = np.searchsorted(packed >> _DOC, [(r << (BITS - 1)) // ranges for r in range(ranges + 1)])
-                rows = [
-                    {"block": name, "range": r, "size": end - at, "packed": _pack(packed[edges[r] : edges[r + 1]])}
-                    for r in range(ranges)
-                    if r == 0 or edges[r] < edges[r + 1]
-                ]
-                rows[0] |= {"ids": ids.slice(at, end - at).to_pylist(), "counts": np.diff(sets.first).tolist(), "digests": digests(sets)}
-                yield pa.RecordBatch.from_pylist(rows, _ARROW_BLOCK)
+                lists = {"ids": ids.slice(at, end - at).to_pylist(), "counts": np.diff(sets.first).tolist(), "sets": digests(sets)}
+                yield _block_rows(name, sets.tokens[half], rows_of(sets.first)[half], end - at, BITS - 1, ranges, lists)
 
     return docs.mapInArrow(cut, _BLOCK_SCHEMA)
 
 
-_ARROW_BLOCK = pa.schema(
-    [("block", pa.string()), ("range", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-     ("digests", pa.list_(pa.binary())), ("packed", pa.binary())]
-)
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks of one range after the other: their rows, their packed shingles one block after the other, where each
+    block begins, and in how many members of all blocks each of these shingles occurs."""
+    held: dict[int, list[dict]] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            held.setdefault(r["range"], []).append(r)
+    while held:
+        rows = held.popitem()[1]
+        parts = [_unpack(r.pop("packed")) for r in rows]
+        first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        packed = np.concatenate(parts)
+        del parts
+        token = packed >> _DOC
+        order = np.argsort(token, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) != 0, [True]])) if len(token) else np.zeros(1, np.int64)
+        often = np.empty(len(token), np.uint32)
+        often[order] = np.repeat(np.diff(edge), np.diff(edge))
+        yield rows, packed, first, often
 
 
 def _single_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the rows of whole ranges: how many shingles of each document are found in it alone. Passes the lists on."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    parts = [_unpack(r.pop("packed")) for r in rows]
-    source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    packed = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    del parts
-    order = np.argsort(packed >> _DOC, kind="stable")
-    token = (packed >> _DOC)[order]
-    new = np.concatenate([[True], token[1:] != token[:-1], [True]])
-    alone = order[new[:-1] & new[1:]] if len(token) else order
-    by_source = np.sort(source[alone] * (1 << 16) + (packed[alone] & np.uint64((1 << 16) - 1)).astype(np.int64))
-    edges = np.searchsorted(by_source, np.arange(len(rows) + 1) * (1 << 16))
-    for i, r in enumerate(rows):
-        r["packed"] = np.bincount(by_source[edges[i] : edges[i + 1]] & 0xFFFF, minlength=r["size"]).astype(np.uint32).tobytes()
-        yield pa.RecordBatch.from_pylist([r], _ARROW_BLOCK)
+    for rows, packed, first, often in _ranges(batches):
+        for i, r in enumerate(rows):
+            here = slice(first[i], first[i + 1])
+            alone = packed[here][often[here] == 1] & np.uint64((1 << 16) - 1)
+            r["packed"] = np.bincount(alone.astype(np.int64), minlength=r["size"]).astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_pylist([r], _ARROW_BLOCK)
+
+
+def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the rows of whole ranges: the shingles that another class has too, and how many classes have them."""
+    for rows, packed, first, often in _ranges(batches):
+        for i, r in enumerate(rows):
+            here = slice(first[i], first[i + 1])
+            keep = often[here] > 1
+            r |= {"packed": _pack(packed[here][keep]), "often": often[here][keep].tobytes()}
+            yield pa.RecordBatch.from_pylist([r], _ARROW_BLOCK)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +196,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lists[r["block"]] = r
     for name, r in lists.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array(r["ids"], pa.int64()), pa.array(r["counts"], pa.int64()), pa.array(r["digests"], pa.binary()), pa.array(total[name], pa.int64())],
+            [pa.array(r["ids"], pa.int64()), pa.array(r["counts"], pa.int64()), pa.array(r["sets"], pa.binary()), pa.array(total[name], pa.int64())],
             ["id", "n", "set", "single"],
         )
 
@@ -176,14 +204,15 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_documents(docs: DataFrame, width: int) -> DataFrame:
     """Per row of `docs` (id, text): size and digest of its set, and how many of its shingles no other row has."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = max(1, math.ceil(size / 5 / 2 / RANGE_TOKENS))
+    ranges = max(1, math.ceil(size / 5 / 2 / SOME_TOKENS))
     blocks = _blocks(docs, width, ranges).repartition(ranges, "range")
     counted = blocks.mapInArrow(_single_counts, _BLOCK_SCHEMA).repartition("block")
     return written(counted.mapInArrow(_documents, "id long, n long, set binary, single long"), "documents")
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Sets of the wanted (id, set) rows, once per set: set, n, tokens."""
+    """Sets of the wanted (id, set) rows, once per set: set, n, tokens. How many are wanted grows with the corpus, so the
+    texts meet them by a sorted join, never by a broadcast."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,21 +224,72 @@ def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 )
 
     ids = wanted.groupBy("set").agg(F.min("id").alias("id"))
-    text = docs.join(ids.select("id").distinct(), "id", "left_semi").select("text")
+    text = docs.join(ids.select("id").distinct().hint("merge"), "id", "left_semi").select("text")
     found = text.mapInArrow(cut, "set binary, n long, tokens array<long>")
-    return found.join(ids.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    return found.join(ids.select("set").hint("merge"), "set", "left_semi").dropDuplicates(["set"])
+
+
+def _set_blocks(sets: DataFrame, ranges: int) -> DataFrame:
+    """`sets` (set, n, tokens) in blocks like those of documents, over all hash values."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            tokens, names, sizes = batch.column(2), batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lengths = np.diff(tokens.offsets.to_numpy())
+            flat = tokens.flatten().to_numpy().astype(np.uint64)
+            first = np.concatenate([[0], np.cumsum(lengths)])
+            at = 0
+            while at < len(names):
+                end = max(at + 1, int(np.searchsorted(first, first[at] + SOME_TOKENS, "right")) - 1)
+                end = min(end, at + (1 << 16), len(names))
+                name, number = f"{task}-{number}", number + 1
+                owner = np.repeat(np.arange(end - at), lengths[at:end])
+                lists = {"counts": sizes[at:end], "sets": names[at:end]}
+                yield _block_rows(name, flat[first[at] : first[end]], owner, end - at, BITS, ranges, lists)
+                at = end
+
+    return sets.select("set", "n", "tokens").mapInArrow(cut, _BLOCK_SCHEMA)
+
+
+def _by_rarity(percent: int):
+    """Puts blocks together again: every class with its shared shingles, rarest first, and its prefix."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[str, list[dict]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                blocks.setdefault(r["block"], []).append(r)
+        while blocks:
+            rows = blocks.popitem()[1]
+            head = next(r for r in rows if r["sets"] is not None)
+            packed = np.concatenate([_unpack(r["packed"]) for r in rows])
+            often = np.concatenate([np.frombuffer(r["often"], np.uint32) for r in rows])
+            owner, token = (packed & np.uint64((1 << 16) - 1)).astype(np.int64), (packed >> _DOC).astype(np.int64)
+            order = np.lexsort((token, often, owner))
+            first = np.searchsorted(owner[order], np.arange(head["size"] + 1))
+            token, m, n = token[order], np.diff(first), np.array(head["counts"], np.int64)
+            keep = np.flatnonzero(m >= need(n, percent))
+            length, prefix = m[keep], (m - need(n, percent) + 1)[keep]
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(token[runs(first[keep], size)]))
+                for size in (length, prefix)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([head["sets"][i] for i in keep], pa.binary()), pa.array(n[keep]), *lists], ["set", "n", "tokens", "prefix"]
+            )
+
+    return join
 
 
 def shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
     """Per class its shingles that another class has too, rarest first, if there are at least T of them."""
     sets = written(sets, "sets")
-    pairs = sets.select("set", "n", F.explode("tokens").alias("token"))
-    often = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    found = pairs.join(often, "token").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
-    least = F.ceil(F.col("n") * percent / 100)
-    found = found.withColumn("m", F.size("t")).filter(F.col("m") >= least)
-    prefix = F.slice(F.col("t.token"), F.lit(1), (F.col("m") - least + 1).cast("int"))
-    return written(found.select("set", "n", F.col("t.token").alias("tokens"), prefix.alias("prefix")), "shared")
+    total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    ranges = max(1, math.ceil(total / SOME_TOKENS))
+    counted = _set_blocks(sets, ranges).repartition(ranges, "range").mapInArrow(_shared_only, _BLOCK_SCHEMA)
+    found = counted.repartition("block").mapInArrow(_by_rarity(percent), "set binary, n long, tokens array<long>, prefix array<long>")
+    return written(found, "shared")
 
 
 def ties(shared: DataFrame) -> DataFrame:
@@ -288,13 +368,14 @@ def _units(shared: DataFrame, groups: DataFrame, percent: int, unit: int) -> Dat
     """Every class in every unit that has to hold it. Small components are one unit; larger ones are cut into bands of
     size and bands into parts, and a unit is a pair of parts whose sizes allow a link."""
     rows = shared.join(groups.select(F.col("node").alias("set"), "root"), "set")
-    counts = written(rows.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "members")
+    held = F.greatest(F.count(F.lit(1)) / unit, F.sum(F.size("tokens")) / (2 * SOME_TOKENS))
+    counts = written(rows.groupBy("root").agg(held.alias("held")), "members")
     rows = rows.join(counts, "root")
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) if percent < 100 else F.col("n")).cast("long")
-    rows = written(rows.withColumn("band", F.when(F.col("members") > unit, band)), "banded")
+    rows = written(rows.withColumn("band", F.when(F.col("held") > 1, band)), "banded")
     small = rows.filter("band IS NULL").select("root", F.lit("").alias("unit"), "set", "n", "tokens")
     large = rows.filter("band IS NOT NULL")
-    parts = large.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / (unit // 2)).cast("int").alias("parts"))
+    parts = large.groupBy("root", "band").agg(F.ceil(2 * held).cast("int").alias("parts"))
     parts = written(parts, "parts")
     # rounding may put a size at the edge of a band into the next one; so two bands up are looked at
     near = F.explode(F.array(*[F.col("band") + d for d in range(-2, 3)]))
