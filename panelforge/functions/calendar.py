@@ -202,13 +202,22 @@ def holiday_days(
     )
 
 
+def covered_day(time: str, first_year: int, last_year: int) -> Column:
+    """The day of a time; fails the query on a day outside the years a calendar was built for, whose features would read
+    as those of an ordinary day. It is the join key itself: a filter would be carried over to the calendar's own days."""
+    day = F.to_date(time)
+    message = F.concat(F.lit(f"{time}: the calendar covers {first_year} to {last_year}, not "), F.year(day).cast("string"))
+    inside = F.coalesce(F.year(day).between(first_year, last_year), F.lit(True))
+    return F.when(inside, day).otherwise(F.raise_error(message).cast("date"))
+
+
 def add_holiday_features(
     df: DataFrame, time: str, first_year: int, last_year: int, window_days: int = 3, leave: Mapping[str, float] | None = None
 ) -> DataFrame:
     """Full / half day, weight, code, collision, distance to the nearest holiday, near flag, holiday or weekend, leave
     and combined workforce loss. The table covers one year more on both sides."""
     cal = holiday_days(df.sparkSession, first_year - 1, last_year + 1, leave)
-    j = df.withColumn("_day", F.to_date(time)).join(day_table(cal.withColumnRenamed("day", "_day")), "_day", "left")
+    j = df.withColumn("_day", covered_day(time, first_year, last_year)).join(day_table(cal.withColumnRenamed("day", "_day")), "_day", "left")
     day = F.col("_day")
     distance = F.coalesce(
         F.least(F.datediff(day, "_prev"), F.datediff("_next", day), F.lit(NO_HOLIDAY_DISTANCE)),
@@ -264,7 +273,7 @@ def fasting_days(spark: SparkSession, first_year: int, last_year: int) -> DataFr
 def add_fasting_month_features(df: DataFrame, time: str, first_year: int, last_year: int) -> DataFrame:
     """In the month, day number, progress 0..1, last ten days, and days to the feast (999 outside)."""
     cal = fasting_days(df.sparkSession, first_year - 1, last_year + 1)
-    j = df.withColumn("_day", F.to_date(time)).join(
+    j = df.withColumn("_day", covered_day(time, first_year, last_year)).join(
         day_table(cal.select(F.col("day").alias("_day"), "first", "last")), "_day", "left"
     )
     inside = F.col("first").isNotNull()

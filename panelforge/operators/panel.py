@@ -13,6 +13,34 @@ from panelforge.core.exprs import require_columns, safe_div
 Day = str | date | Column
 
 
+FREQUENCIES = ("hour", "day", "week", "month")
+
+
+def step_number(time: str | Column, freq: str) -> Column:
+    """Number of the grid step a time lies in: hours, days, weeks (from Monday) or months, counted in the session's zone."""
+    t = F.col(time) if isinstance(time, str) else time
+    if freq == "hour":
+        return F.floor(F.unix_timestamp(t.cast("timestamp")) / 3600)
+    day = F.to_date(t)
+    if freq == "day":
+        return F.unix_date(day).cast("long")
+    if freq == "week":
+        return F.floor((F.unix_date(day) - 4) / 7)
+    if freq == "month":
+        return (F.year(day) * 12 + F.month(day) - 1).cast("long")
+    raise ValueError(f"freq is one of {FREQUENCIES}")
+
+
+def step_label(number: str | Column, freq: str) -> Column:
+    """The time a grid step goes by: its hour, its day, its Monday, or the last day of its month."""
+    n = F.col(number) if isinstance(number, str) else number
+    if freq == "hour":
+        return F.timestamp_seconds(n * 3600)
+    if freq == "month":
+        return F.last_day(F.make_date(F.floor(n / 12).cast("int"), (F.pmod(n, F.lit(12)) + 1).cast("int"), F.lit(1)))
+    return F.date_from_unix_date((n * 7 + 4 if freq == "week" else n).cast("int"))
+
+
 def _bound(df: DataFrame, agg: Column, given: Day | None) -> Column:
     """A fixed grid bound, or the aggregate over the frame as a scalar subquery (one row by construction)."""
     if given is None:
@@ -42,11 +70,12 @@ def densify_panel(
     start: Day | None = None,
     end: Day | None = None,
     flag: str = "is_filled",
+    freq: str = "day",
 ) -> DataFrame:
-    """Every entity gets every day between the grid bounds.
+    """Every entity gets every step between the grid bounds: every day, or every hour, week or month end.
 
-    Cells are summed first (map-side combine, so a hot entity costs one row per day after it). The missing days then
-    come from exploding the gap to the next seen day inside each entity: one shuffle by entity, no grid join, and the
+    Cells are summed first (map-side combine, so a hot entity costs one row per step after it). The missing steps
+    then come from exploding the gap to the next seen one inside each entity: one shuffle by entity, no grid join, and the
     result is already partitioned and sorted for the windows that follow. `firsts` maps a column to the column whose
     smallest value picks the row it is taken from. `fill` None keeps absent measures NULL.
     """
@@ -55,9 +84,10 @@ def densify_panel(
     valid = df.filter(F.col(time).isNotNull())
     for k in entity:
         valid = valid.filter(F.col(k).isNotNull())
-    valid = valid.withColumn(time, F.to_date(time))
+    valid = valid.withColumn(time, step_number(time, freq))
     lo = _bound(valid, F.min(time), start)
     hi = _bound(valid, F.max(time), end)
+    lo, hi = (b if given is None else step_number(b, freq) for b, given in ((lo, start), (hi, end)))
     inside = valid.withColumn("_lo", lo).withColumn("_hi", hi).filter(F.col(time).between(F.col("_lo"), F.col("_hi")))
     aggs = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums]
     aggs += [F.min_by(c, o).alias(c) for c, o in firsts.items()]
@@ -65,33 +95,33 @@ def densify_panel(
 
     w = Window.partitionBy(*entity).orderBy(time)
     is_first = F.lag(time).over(w).isNull()
-    until = F.coalesce(F.date_sub(F.lead(time).over(w), 1), F.col("_hi"))
+    until = F.coalesce(F.lead(time).over(w) - 1, F.col("_hi"))
     since = F.when(is_first, F.col("_lo")).otherwise(F.col(time))
     spans = cells.withColumn("_since", since).withColumn("_until", until)
-    rows = spans.withColumn("_day", F.explode(F.sequence("_since", "_until")))
-    seen = F.col("_day") == F.col(time)
+    rows = spans.withColumn("_step", F.explode(F.sequence("_since", "_until")))
+    seen = F.col("_step") == F.col(time)
     empty = F.lit(None).cast("double") if fill is None else F.lit(float(fill))
     return rows.select(
         *entity,
-        F.col("_day").alias(time),
+        step_label("_step", freq).alias(time),
         *[F.when(seen, F.col(c)).otherwise(empty).alias(c) for c in sums],
         *[F.when(seen, F.col(c)).alias(c) for c in firsts],
         F.when(seen, 0).otherwise(1).alias(flag),
     )
 
 
-def panel_coverage(df: DataFrame, entity: Sequence[str], time: str) -> DataFrame:
+def panel_coverage(df: DataFrame, entity: Sequence[str], time: str, freq: str = "day") -> DataFrame:
     """One row: entities, grid steps, expected and present cells, and their ratio."""
     valid = df.filter(F.col(time).isNotNull())
     for k in entity:
         valid = valid.filter(F.col(k).isNotNull())
-    cells = valid.select(*entity, F.to_date(time).alias("_d")).distinct()
+    cells = valid.select(*entity, step_number(time, freq).alias("_d")).distinct()
     per_entity = cells.groupBy(*entity).agg(
         F.count(F.lit(1)).alias("_cells"), F.min("_d").alias("_a"), F.max("_d").alias("_b")
     )
     one = per_entity.agg(
         F.count(F.lit(1)).alias("entity_count"),
-        (F.datediff(F.max("_b"), F.min("_a")) + 1).cast("bigint").alias("time_steps"),
+        (F.max("_b") - F.min("_a") + 1).alias("time_steps"),
         F.sum("_cells").alias("actual_rows"),
     )
     expected = F.col("entity_count") * F.col("time_steps")
@@ -104,16 +134,17 @@ def panel_coverage(df: DataFrame, entity: Sequence[str], time: str) -> DataFrame
     )
 
 
-def bridge_days(train: DataFrame, test: DataFrame, entity: Sequence[str], time: str, flag: str) -> DataFrame:
-    """Rows for the calendar days between the end of train and the start of test, one per entity seen in test, so that
-    shifting by rows equals shifting by days. Callers drop them again by `flag`."""
-    train_end = train.agg(F.max(F.to_date(time)).alias("b")).scalar()
-    test_start = test.agg(F.min(F.to_date(time)).alias("b")).scalar()
-    keys = test.select(*entity).distinct().withColumn("_a", F.date_add(train_end, 1))
-    keys = keys.withColumn("_b", F.date_sub(test_start, 1)).filter(F.col("_a") <= F.col("_b"))
-    return keys.select(
-        *entity, F.explode(F.sequence("_a", "_b")).alias(time), F.lit(1).alias(flag)
-    )
+def bridge_days(
+    train: DataFrame, test: DataFrame, entity: Sequence[str], time: str, flag: str, freq: str = "day"
+) -> DataFrame:
+    """Rows for the steps between the end of train and the start of test, one per entity seen in test, so that shifting
+    by rows equals shifting by steps. Callers drop them again by `flag`."""
+    after = train.agg((F.max(step_number(time, freq)) + 1).alias("b")).scalar()
+    before = test.agg((F.min(step_number(time, freq)) - 1).alias("b")).scalar()
+    keys = test.select(*entity).distinct().withColumn("_a", after)
+    keys = keys.withColumn("_b", before).filter(F.col("_a") <= F.col("_b"))
+    steps = keys.withColumn("_step", F.explode(F.sequence("_a", "_b")))
+    return steps.select(*entity, step_label("_step", freq).alias(time), F.lit(1).alias(flag))
 
 
 def duration_panel(

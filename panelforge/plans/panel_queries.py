@@ -50,6 +50,45 @@ def densify(t: Tables) -> DataFrame:
     return B.dense_supplier_day(t)
 
 
+@query(
+    "densify_panel_hourly",
+    "Q01",
+    f"""WITH cell AS (SELECT user_id % 20 AS entity, date_trunc('hour', ts) AS hour, sum(round(value, 2)) AS amount FROM events GROUP BY 1, 2),
+    grid AS (SELECT e.entity, g.hour FROM (SELECT DISTINCT entity FROM cell) e CROSS JOIN (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM cell) g)
+    SELECT entity, CAST(hour AS TIMESTAMP) AS hour, {sql_rnd('coalesce(amount, 0)', 'amount')}, (amount IS NULL)::INT AS is_filled FROM grid LEFT JOIN cell USING (entity, hour)""",
+)
+def densify_hourly(t: Tables) -> DataFrame:
+    rows = t.events.select(F.pmod("user_id", F.lit(20)).alias("entity"), F.col("ts").alias("hour"), F.round("value", 2).alias("amount"))
+    out = P.densify_panel(rows, ["entity"], "hour", ["amount"], freq="hour")
+    return out.select("entity", "hour", rnd("amount"), "is_filled")
+
+
+@query(
+    "densify_panel_monthly",
+    "Q01",
+    f"""WITH cell AS (SELECT l_suppkey AS entity, last_day(l_shipdate::DATE) AS month, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
+    grid AS (SELECT e.entity, g.month FROM (SELECT DISTINCT entity FROM cell) e CROSS JOIN
+      (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(month)), max(month), INTERVAL 1 MONTH)) AS DATE)) AS month FROM cell) g)
+    SELECT entity, month, {sql_rnd('coalesce(qty, 0)', 'qty')}, (qty IS NULL)::INT AS is_filled FROM grid LEFT JOIN cell USING (entity, month)""",
+)
+def densify_monthly(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").alias("month"), F.col("l_quantity").alias("qty"))
+    out = P.densify_panel(rows, ["entity"], "month", ["qty"], freq="month")
+    return out.select("entity", "month", rnd("qty"), "is_filled")
+
+
+@query(
+    "panel_coverage_weekly",
+    "Q03",
+    f"""WITH c AS (SELECT DISTINCT user_id % 50 AS entity, date_trunc('week', ts)::DATE AS week FROM events WHERE hour(ts) < 3),
+    s AS (SELECT count(DISTINCT entity) AS entity_count, CAST((max(week) - min(week)) / 7 + 1 AS BIGINT) AS time_steps, count(*) AS actual_rows FROM c)
+    SELECT entity_count, time_steps, entity_count * time_steps AS expected_rows, actual_rows, {sql_rnd('actual_rows / (entity_count * time_steps)', 'coverage')} FROM s""",
+)
+def coverage_weekly(t: Tables) -> DataFrame:
+    rows = t.events.filter(F.hour("ts") < 3).select(F.pmod("user_id", F.lit(50)).alias("entity"), "ts")
+    return rounded(P.panel_coverage(rows, ["entity"], "ts", freq="week"), ["entity_count", "time_steps", "expected_rows", "actual_rows"])
+
+
 @query(
     "densify_panel_measures",
     "Q01",

@@ -400,7 +400,7 @@ def cycles(t: Tables) -> DataFrame:
     return rounded(out.drop("ts"), ["event_id"])
 
 
-_HOLIDAYS = K.holiday_rows(1994, 2002)
+_HOLIDAYS = K.holiday_rows(1992, 2003)
 _HOLIDAY_SQL = "hol AS (SELECT * FROM (VALUES " + ", ".join(
     f"(DATE '{d}', '{n}', {int(h)}, {K.HOLIDAY_PRIORITY.index(n)}, {K.HOLIDAY_CODES[n]})" for d, n, h in _HOLIDAYS
 ) + ") v(day, name, half, prio, code)), hday AS (SELECT day, max(1 - half) AS f, arg_min(code, prio) AS code, " \
@@ -424,7 +424,7 @@ _HOLIDAY_SQL = "hol AS (SELECT * FROM (VALUES " + ", ".join(
 )
 def holidays(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return K.add_holiday_features(rows, "day", 1995, 2001)
+    return K.add_holiday_features(rows, "day", 1993, 2002)
 
 
 @query(
@@ -438,11 +438,11 @@ def holidays(t: Tables) -> DataFrame:
 )
 def upcoming(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return K.add_upcoming_holiday_features(rows, "day", 1995, 2001)
+    return K.add_upcoming_holiday_features(rows, "day", 1993, 2002)
 
 
 _FAST_SQL = "fast AS (SELECT * FROM (VALUES " + ", ".join(
-    f"(DATE '{a}', DATE '{b}')" for a, b in K.fasting_months(1994, 2002)
+    f"(DATE '{a}', DATE '{b}')" for a, b in K.fasting_months(1992, 2003)
 ) + ") v(a, b))"
 
 
@@ -457,7 +457,7 @@ _FAST_SQL = "fast AS (SELECT * FROM (VALUES " + ", ".join(
 )
 def fasting(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    out = K.add_fasting_month_features(rows, "day", 1995, 2001)
+    out = K.add_fasting_month_features(rows, "day", 1993, 2002)
     return out.withColumn("fasting_progress", F.round("fasting_progress", 6))
 
 
@@ -559,7 +559,7 @@ def regime(t: Tables) -> DataFrame:
     )
 
 
-_FEAST_SQL = ", ".join(f"(DATE '{d}')" for d, n, h in K.holiday_rows(1994, 2002) if n == "kurban" and not h)
+_FEAST_SQL = ", ".join(f"(DATE '{d}')" for d, n, h in K.holiday_rows(1992, 2003) if n == "kurban" and not h)
 
 
 @query(
@@ -576,7 +576,7 @@ _FEAST_SQL = ", ".join(f"(DATE '{d}')" for d, n, h in K.holiday_rows(1994, 2002)
 )
 def extended(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    out = K.add_extended_calendar(rows, "day", 1995, 2001)
+    out = K.add_extended_calendar(rows, "day", 1993, 2002)
     return rounded(
         out, ["o_orderkey", "day", "is_weekend", "is_sunday", "is_monday", "is_friday", "feast_distance"]
     )

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from panelforge.core.scale import shared_folder
 from panelforge.functions import text as TX
@@ -66,7 +67,13 @@ def test_publication_contract(spark):
         P.publish(df, path, ["id"], 11, "s")
     P.publish(df, path, ["id"], 10, "s")
     assert P.read_published(spark, path, ["id"], 10, "s").count() == 10
-    spark.range(3).write.mode("append").parquet(path)
+    with pytest.raises(ValueError):
+        P.publish(spark.range(3), path, ["id"], 4, "s")
+    assert P.read_published(spark, path, ["id"], 10, "s").count() == 10  # the refused version changed nothing
+    P.publish(spark.range(20), path, ["id"], 10, "s")
+    current = P.read_published(spark, path, ["id"], 20, "s")
+    version = current.inputFiles()[0].rsplit("/", 1)[0]
+    spark.range(3).write.mode("append").parquet(version)
     with pytest.raises(ValueError):
         P.read_published(spark, path, ["id"], 1, "s")
 
@@ -136,3 +143,65 @@ def test_normalized_names():
     assert TX.normalized_names(["Toplam Tutar", "TOPLAM TUTAR", "İl/İlçe", "2024", "%"]) == [
         "toplam_tutar", "toplam_tutar_2", "il_ilce", "c_2024", "column",
     ]
+
+
+def test_calendars_refuse_days_they_do_not_cover(spark):
+    from panelforge.functions import calendar as K
+
+    df = spark.createDataFrame([("2010-10-29",), (None,)], "day string").withColumn("day", F.to_date("day"))
+    for add in (K.add_holiday_features, K.add_fasting_month_features):
+        with pytest.raises(Exception, match="the calendar covers 1995 to 2001, not 2010"):
+            add(df, "day", 1995, 2001).collect()
+        assert add(df, "day", 2009, 2011).count() == 2
+    holiday = K.add_holiday_features(df, "day", 2009, 2011).filter("day IS NOT NULL").first()
+    assert holiday["holiday"] == 1
+
+
+def test_a_source_without_any_match_is_an_error(spark):
+    from panelforge.operators import joins as J
+
+    panel = spark.createDataFrame([("a", "2025-03-01")], "key string, day string").withColumn("day", F.to_date("day"))
+    annual = spark.createDataFrame([("zz", 2024, 1.0)], "key string, year int, v double")
+    with pytest.raises(Exception, match="no row of the panel found a match"):
+        J.add_annual_attribute(panel, annual, "key", "day", "year", ["v"]).collect()
+    monthly = spark.createDataFrame([("zz", 2024, 3, 1.0)], "key string, year int, month int, v double")
+    with pytest.raises(Exception, match="no row of the panel found a match"):
+        J.add_monthly_attribute(panel, monthly, "key", "day", "year", "month", ["v"]).collect()
+    profile = spark.createDataFrame([("zz", 3, 1.0)], "key string, month int, v double")
+    with pytest.raises(Exception, match="no row of the panel found a match"):
+        J.add_month_profile(panel, profile, "key", "day", "month", ["v"]).collect()
+
+
+def test_the_year_gate_knows_the_lag(spark):
+    from panelforge.operators import joins as J
+
+    panel = spark.createDataFrame([("a", "2025-03-01")], "key string, day string").withColumn("day", F.to_date("day"))
+    source = spark.createDataFrame([("a", "2024-06-01", 2024, 1.0)], "key string, day string, year int, v double")
+    source = source.withColumn("day", F.to_date("day"))
+
+    def attach(df):
+        return J.add_annual_attribute(df, source.select("key", "year", "v"), "key", "day", "year", ["v"], year_lag=1)
+
+    lagged = J.Family("tourism_annual", attach, (source, "day"), year_lag=1)
+    out, report = J.attach_external(panel, "day", [lagged])
+    assert report.first()["state"] == "attached" and out.first()["annual_v"] == 1.0
+    _, report = J.attach_external(panel, "day", [J.Family("tourism_annual", attach, (source, "day"))])
+    assert report.first()["state"] == "skipped"
+
+
+def test_monotone_flag_does_not_depend_on_row_order(spark):
+    from panelforge.operators.quality import monotone_columns
+
+    rows = [(1, 5), (1, 3), (2, 6), (2, 5), (3, 9)]
+    found = set()
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "day int, v int").coalesce(1)
+        found.add(monotone_columns(df, ["v"], "day").first()["monotone"])
+    assert len(found) == 1
+
+
+def test_upsert_refuses_other_columns(spark):
+    from panelforge.sources.publish import upsert
+
+    with pytest.raises(ValueError, match="columns differ"):
+        upsert(spark.range(2), spark.range(2).withColumn("x", F.lit(1)), ["id"])
