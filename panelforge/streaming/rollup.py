@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,34 +29,54 @@ def stream_daily_rollup(
 _STATE = "last_event long, last_day long, run long"
 
 
-def stream_event_state(stream: DataFrame, entity: str, day: str, value: str, out_type: str = "long") -> DataFrame:
+def stream_event_state(
+    stream: DataFrame, entity: str, day: str, value: str, out_type: str = "long", ttl_ms: int | None = None
+) -> DataFrame:
     """Days since the last event (value > 0) and the length of the current run of event days, per entity and day.
 
     Input rows are (entity, day, value) with one row per entity and day; the state of an entity is three numbers. Rows of
-    a batch are ordered by day inside the entity; a day at or before the last one seen is late and is dropped.
+    a batch are ordered by day inside the entity and handled as arrays. A day at or before the last one seen comes out
+    with `late` = 1 and without values, so that nothing disappears. With `ttl_ms` the state of an entity that sends
+    nothing for that long is dropped, and its next day counts as its first.
     """
-    schema = f"{entity} {out_type}, {day} date, days_since_event int, event_run int"
+    schema = f"{entity} {out_type}, {day} date, days_since_event int, event_run int, late int"
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_event, last_day, run = state.get if state.exists else (-1, -1, 0)
-        rows = pd.concat(list(frames)).sort_values(day)
-        out = []
-        for d, v in zip(pd.to_datetime(rows[day]), rows[value], strict=True):
-            n = d.toordinal()
-            if n <= last_day:
-                continue
-            hit = pd.notna(v) and v > 0
-            run = (run + 1 if n == last_day + 1 else 1) if hit else 0
-            last_event = n if hit else last_event
-            last_day = n
-            out.append((key[0], d.date(), None if last_event < 0 else n - last_event, run))
-        state.update((last_event, last_day, run))
-        frame = pd.DataFrame(out, columns=[entity, day, "days_since_event", "event_run"])
-        yield frame.astype({"days_since_event": "Int32", "event_run": "int32"})
-
-    return stream.groupBy(entity).applyInPandasWithState(
-        update, schema, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+        rows = pd.concat(list(frames)).sort_values(day, kind="stable")
+        days = pd.to_datetime(rows[day])
+        n = (days.to_numpy().astype("datetime64[D]").astype("int64")) + 719_163  # day 1 is 1 January of year 1
+        late = n <= np.concatenate([[last_day], np.maximum.accumulate(n)[:-1]])
+        late |= n <= last_day
+        on_time, hit = n[~late], (rows[value].to_numpy(dtype="float64", na_value=np.nan) > 0)[~late]
+        since, length = np.zeros(0, "int64"), np.zeros(0, "int64")
+        if len(on_time):
+            events = np.maximum.accumulate(np.where(hit, on_time, last_event))
+            since = np.where(events < 0, -1, on_time - events)
+            place = np.arange(len(on_time))
+            before = np.concatenate([[last_day], on_time[:-1]])
+            went_on = np.concatenate([[run > 0], hit[:-1]]) & (on_time == before + 1)
+            starts = np.where(hit & ~went_on, place, np.iinfo("int64").min)
+            starts[0] = -run if hit[0] and went_on[0] else starts[0]
+            length = np.where(hit, place - np.maximum.accumulate(starts) + 1, 0)
+            state.update((int(events[-1]), int(on_time[-1]), int(length[-1])))
+        elif state.exists:
+            state.update((last_event, last_day, run))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        out = pd.DataFrame({entity: key[0], day: days.dt.date.to_numpy(), "late": late.astype("int32")})
+        for name, values in (("days_since_event", since), ("event_run", length)):
+            column = np.full(len(n), -1, "int64")
+            column[~late] = values
+            out[name] = pd.array(column, dtype="Int32")
+            out.loc[column < 0, name] = pd.NA
+        yield out[[entity, day, "days_since_event", "event_run", "late"]]
+
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy(entity).applyInPandasWithState(update, schema, _STATE, "append", timeout)
 
 
 def revise(current: DataFrame, batch: DataFrame, keys: Sequence[str], flag: str = "is_forecast", order: str = "version") -> DataFrame:
@@ -67,39 +88,31 @@ def revise(current: DataFrame, batch: DataFrame, keys: Sequence[str], flag: str
     return best.select(*keys, "_r.row.*").select(*current.columns)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    found = []
-    for s in fs.listStatus(hadoop):
-        name = s.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
 def read_revised(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a revised table."""
-    done = _versions(spark, path)
-    if not done:
-        raise ValueError(f"{path}: no complete version")
-    return spark.read.parquet(f"{path}/v={done[-1]}")
+    return spark.read.parquet(path)
 
 
 def start_revisions(
-    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], flag: str = "is_forecast", order: str = "version"
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    day: str,
+    flag: str = "is_forecast",
+    order: str = "version",
 ) -> StreamingQuery:
-    """Applies each micro-batch as a new table version. A batch that is run again after a failure overwrites its own
-    version and reads the one before it, so the result does not depend on retries."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in _versions(spark, path) if v < batch_id]
-        base = spark.read.parquet(f"{path}/v={before[-1]}") if before else batch.limit(0)
-        revise(base, batch, keys, flag, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    """Applies each micro-batch to a table partitioned by `day` (one of the keys). Only the days a batch touches are read
+    and overwritten. A batch that is run again after a failure revises its own result to itself."""
+    if day not in keys:
+        raise ValueError(f"{day} must be one of the keys")
+
+    def apply(batch: DataFrame, _: int) -> None:
+        batch.limit(0).write.mode("append").partitionBy(day).parquet(path)  # the first batch finds an empty table
+        table = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        days = batch.select(F.col(day).alias("_touched")).distinct()
+        touched = table.join(days, F.col(day).eqNullSafe(F.col("_touched")), "left_semi")
+        revised = revise(touched, batch, keys, flag, order).repartition(day)
+        revised.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
     return (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
