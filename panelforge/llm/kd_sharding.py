@@ -54,6 +54,7 @@ def points(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def _orders(rows: DataFrame, whole_below: Column) -> DataFrame:
     """Adds the total order along each dimension: 24 bits of its scaled value, then 24 bits of a hash."""
     groups = rows.groupBy("group").agg(F.sum("size").alias("weight"), F.min("id").alias("first"), F.min("source").alias("origin"))
+    groups = written(groups, "groups")  # a plain table, so that the join may split the rows of a hot group
     rows = rows.join(groups, "group")
     edges = rows.agg(
         F.min(F.log2("size")).alias("l0"), F.max(F.log2("size")).alias("l1"), F.min("first").alias("i0"), F.max("first").alias("i1")
