@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,11 +160,9 @@ def with_likelihoods(rows: DataFrame, text_col: str, model: Model, keep: list[st
     return rows.mapInArrow(score, schema)
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+@F.pandas_udf(ArrayType(DoubleType()))
+def _softmax(logs: pd.Series) -> pd.Series:
+    return pd.Series(list(_posterior(np.stack(logs)))) if len(logs) else logs
 
 
 def _sums(n: int, column: str = "p") -> Column:
@@ -220,7 +219,7 @@ def fit(prepared: DataFrame, id_col: str, sample_rows: int, min_rows: int) -> tu
     slim = written(with_likelihoods(slim, "_lid_body", model, ["_lid_id", *_KEYS]), "likelihoods")
     if not model.languages:
         return None, slim
-    scored = slim.filter(F.col("_lid_text").isNotNull()).withColumn("p", _softmax(F.col("_lid_text")))
+    scored = slim.filter(F.col("_lid_text").isNotNull()).withColumn("p", _softmax("_lid_text"))
     total = scored.agg(_sums(n).alias("c")).first()[0]
     total = [x or 0.0 for x in total]
     corpus = [(x + 1.0) / (sum(total) + n) for x in total]
@@ -235,11 +234,22 @@ def fit(prepared: DataFrame, id_col: str, sample_rows: int, min_rows: int) -> tu
     return fitted, slim
 
 
-def _smoothed(counts: Column, own: Column, above: Column) -> Column:
-    """Counts without the document's own share, with STRENGTH imagined documents like the level above."""
-    rest = F.zip_with(counts, own, lambda c, o: F.greatest(c - o, F.lit(0.0)))
-    total = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(rest, above, lambda c, q: (c + STRENGTH * q) / (total + STRENGTH))
+def _posterior(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def fused(
+    text: np.ndarray, known: np.ndarray, declared: np.ndarray, suffix: np.ndarray, domain: np.ndarray, host: np.ndarray, corpus: np.ndarray
+) -> np.ndarray:
+    """Posterior of every row. `known` says which rows have text evidence; logs and counts that a row lacks are 0. Counts
+    lose the document's own share and are smoothed with STRENGTH imagined documents like the level above."""
+    own = np.where(known[:, None], _posterior(text), 0.0)
+    prior = np.broadcast_to(corpus, own.shape)
+    for counts in (domain, host):
+        rest = np.maximum(counts - own, 0)
+        prior = (rest + STRENGTH * prior) / (rest.sum(axis=1, keepdims=True) + STRENGTH)
+    return _posterior(text + np.log(prior) + declared + suffix)
 
 
 def fuse(rows: DataFrame, fitted: Fitted | None, threshold: float) -> DataFrame:
@@ -248,28 +258,25 @@ def fuse(rows: DataFrame, fitted: Fitted | None, threshold: float) -> DataFrame:
         return rows.withColumns(
             {"_lid_lang": F.lit(None).cast("string"), "_lid_confidence": F.lit(0.0), "_lid_rejected": F.lit(True)}
         )
-    flat = F.array(*[F.lit(0.0)] * (len(fitted.model.languages) + 1))
-    corpus = F.array(*[F.lit(x) for x in fitted.corpus])
+    names = [*fitted.model.languages, UNKNOWN]
+    corpus = np.array(fitted.corpus)
+
+    @F.pandas_udf("name string, confidence double")
+    def best(text: pd.Series, known: pd.Series, declared: pd.Series, suffix: pd.Series, domain: pd.Series, host: pd.Series) -> pd.DataFrame:
+        if not len(text):
+            return pd.DataFrame({"name": pd.Series([], dtype=str), "confidence": pd.Series([], dtype=float)})
+        p = fused(np.stack(text), known.to_numpy(dtype=bool), *(np.stack(x) for x in (declared, suffix, domain, host)), corpus)
+        return pd.DataFrame({"name": [names[i] for i in p.argmax(axis=1)], "confidence": p.max(axis=1)})
+
+    none = F.array(*[F.lit(0.0)] * len(names))
     rows = rows.join(fitted.declared, "_lid_declared", "left").join(fitted.suffix, "_lid_suffix", "left")
     rows = rows.join(fitted.domains, "_lid_domain", "left").join(fitted.hosts, "_lid_host", "left")
-    rows = rows.withColumn("_lid_own", F.when(F.col("_lid_text").isNotNull(), _softmax(F.col("_lid_text"))))
-    own = F.coalesce("_lid_own", flat)
-    domain = F.when(F.col("_lid_c_domain").isNotNull(), _smoothed(F.col("_lid_c_domain"), own, corpus)).otherwise(corpus)
-    rows = rows.withColumn("_lid_prior", domain)
-    host = F.when(F.col("_lid_c_host").isNotNull(), _smoothed(F.col("_lid_c_host"), own, F.col("_lid_prior")))
-    rows = rows.withColumn("_lid_prior", F.coalesce(host, F.col("_lid_prior")))
-    logs = F.zip_with(F.coalesce("_lid_text", flat), "_lid_prior", lambda t, q: t + F.log(q))
-    for part in ("_lid_p_declared", "_lid_p_suffix"):
-        logs = F.zip_with(logs, F.coalesce(part, flat), lambda a, b: a + b)
-    names = F.array(*[F.lit(x) for x in [*fitted.model.languages, UNKNOWN]])
-    rows = rows.withColumn("_lid_posterior", _softmax(logs))
-    best = F.array_position("_lid_posterior", F.array_max("_lid_posterior")).cast("int")
-    confidence = F.array_max("_lid_posterior")
-    name = F.element_at(names, best)
-    rejected = F.col("_lid_text").isNull() | (name == UNKNOWN) | (confidence < threshold)
-    return rows.withColumns(
-        {"_lid_lang": F.when(~rejected, name), "_lid_confidence": confidence, "_lid_rejected": rejected}
-    )
+    evidence = [F.coalesce(c, none) for c in ("_lid_p_declared", "_lid_p_suffix", "_lid_c_domain", "_lid_c_host")]
+    known = F.col("_lid_text").isNotNull()
+    rows = rows.withColumn("_lid_best", best(F.coalesce("_lid_text", none), known, *evidence))
+    name, confidence = F.col("_lid_best.name"), F.col("_lid_best.confidence")
+    rejected = ~known | (name == UNKNOWN) | (confidence < threshold)
+    return rows.withColumns({"_lid_lang": F.when(~rejected, name), "_lid_confidence": confidence, "_lid_rejected": rejected})
 
 
 def identify(
