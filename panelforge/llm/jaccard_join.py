@@ -170,7 +170,7 @@ def _single_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i, r in enumerate(rows):
             here = slice(first[i], first[i + 1])
             alone = packed[here][often[here] == 1] & np.uint64((1 << 16) - 1)
-            r["packed"] = np.bincount(alone.astype(np.int64), minlength=r["size"]).astype(np.uint32).tobytes()
+            r["packed"] = np.sort(alone.astype(np.uint16)).tobytes()  # one entry per shingle, so no more than were sent
             yield pa.RecordBatch.from_pylist([r], _ARROW_BLOCK)
 
 
@@ -190,7 +190,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists: dict[str, dict] = {}
     for b in batches:
         for r in b.to_pylist():
-            single = np.frombuffer(r["packed"], np.uint32).astype(np.int64)
+            single = np.bincount(np.frombuffer(r["packed"], np.uint16), minlength=r["size"])
             total[r["block"]] = total.get(r["block"], 0) + single
             if r["ids"] is not None:
                 lists[r["block"]] = r
