@@ -22,6 +22,7 @@ empty table gives an empty result. Input columns may have any name but those sta
 
 from __future__ import annotations
 
+import html as markup
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from panelforge.core.scale import written
 from panelforge.llm.words import LETTERS, text_blocks
@@ -65,6 +66,17 @@ def markup_language(html: str) -> Column:
     return F.nullif(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
 
 
+@F.pandas_udf(StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(markup.unescape, na_action="ignore")
+
+
+def page_text(html: str) -> Column:
+    """The text of a page: scripts, styles, comments and tags are spaces, character references are characters."""
+    hidden = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|</?[a-z!?][^>]*>"
+    return _unescape(F.regexp_replace(html, hidden, " "))
+
+
 def host_of(url: str) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 

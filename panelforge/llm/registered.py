@@ -11,7 +11,7 @@ from panelforge.llm.decontaminate import contamination
 from panelforge.llm.exact_dedup import exact_duplicates
 from panelforge.llm.jaccard_join import jaccard_components
 from panelforge.llm.kd_sharding import kd_shards
-from panelforge.llm.language_id import identify
+from panelforge.llm.language_id import host_of, identify, markup_language, page_text, suffix_of
 from panelforge.llm.mixing import mixture
 from panelforge.llm.pii import personal_data
 from panelforge.llm.quality_cnn import quality_scores
@@ -102,6 +102,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
 
 
+@_query
+def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with all kinds of evidence: text, markup, address suffix and the host under its domain."""
+    pages = _table(spark, sf_dir, "pages").withColumn("text", page_text("html"))
+    return identify(pages, markup_language("html"), suffix_of("url"), host_of("url"), id_col="page_id")
+
+
 @_query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)

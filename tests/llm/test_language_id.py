@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm.language_id import accepted, fit, fuse, host_of, identify, markup_language, suffix_of, _prepare
+from panelforge.llm.language_id import accepted, fit, fuse, host_of, identify, markup_language, page_text, suffix_of, _prepare
+from panelforge.llm.registered import QUERIES
 
 
 def test_held_out_accuracy(documents):
@@ -81,3 +82,26 @@ def test_fusion_by_hand(spark):
             counts = p[[s._lid_declared == r._lid_declared for s in scored]].sum(0)
             logs = logs + np.log((counts + 1) / (p[known].sum(0) + len({s._lid_declared for s in scored} - {None})))
         assert r._lid_confidence == pytest.approx(softmax(logs).max(), rel=1e-6)
+
+
+def test_page_text(spark):
+    rows = [
+        ("<p>a&eacute;&amp;<!-- <b>x --> b<script>var t = '</p>';</SCRIPT >c<style>p{}</style>d 1 < 2", "aé& b c d 1 < 2"),
+        ("x<script>never closed", "x"), ("x<!-- nor this", "x"), ("", ""), (None, None),
+    ]
+    got = spark.createDataFrame(rows, "html string, want string").select(page_text("html"), "want").collect()
+    assert [r[0] and " ".join(r[0].split()) for r in got] == [r.want for r in got]
+
+
+def test_registered_query_over_pages(spark, sf_dir, tmp_path):
+    """Every page gets a row; of pages with the same few letters on one host, the address makes the difference."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    more = [(-1, "http://new.example.com/fr/1", "<p>a"), (-2, "http://new.example.com/de/1", "<p>a"), (-3, None, None)]
+    pages.unionByName(spark.createDataFrame(more, pages.schema)).write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op3_language_id_pages"](spark, str(tmp_path))
+    rows = {r.page_id: r for r in got.collect()}
+    assert len(rows) == got.count() == pages.count() + 3
+    declared = {r[0]: r[1] for r in pages.select("page_id", markup_language("html")).collect()}
+    assert sum(rows[i].language == k for i, k in declared.items()) >= 0.98 * len(declared)
+    assert abs(rows[-1].confidence - rows[-2].confidence) > 1e-3
+    assert rows[-3].rejected
