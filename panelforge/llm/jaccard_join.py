@@ -13,12 +13,15 @@ shingles of x are shared, whatever y is.
    smallest of them (one edge per class and shingle, never all pairs).
 3. Search. Components of these ties are searched on their own, in one task each while they have at most `UNIT` classes
    (and twice SOME_TOKENS shingles).
-   Larger ones are cut into bands of set size, of which only neighbours can hold linked sets, and bands into units; every
-   pair of units that can hold a link is searched, so that no task holds more than two units.
+   Larger ones are cut into bands of set size, of which only neighbours can hold linked sets, and bands into parts; every
+   part, and every pair of parts that can hold a link, is searched, so that no task holds more than two parts and a pair of
+   classes is met in one task only.
    Inside a task the inverted lists are divided: the longest are set aside, the others are merged and give the classes
-   that occur T - (long lists) times; these are looked up in the long lists by binary search. Classes already connected
-   are skipped, so a dense group costs a few lookups per class and not all its pairs.
-4. The links found (one per class and round, not all pairs) are connected again, over all tasks.
+   that occur T - (long lists) times; few such classes are looked up in the long lists by binary search, for many the long
+   lists are counted. Of a shingle that most classes have, the classes that lack it are listed, so a dense group costs its
+   differences. Every such class is verified, and every link is counted.
+4. Each class leaves its task with one edge and the number of documents it is linked with there, never with its pairs. The
+   edges are connected again, over all tasks, and the numbers are added up.
 
 Shingles are 48-bit hashes of word hashes. Memory: a block, a range of the counts, or two units.
 
@@ -46,6 +49,8 @@ from panelforge.llm.words import SPACED, mix, rows_of, runs, text_blocks, words_
 
 BITS = 48
 UNIT = 2000
+#: Candidates up to which the long lists are searched and not counted.
+LOOKUPS = 8
 #: Shingles, about, in one range of hash values, one block of sets, or one unit of a large component.
 SOME_TOKENS = 1_000_000
 _DOC = np.uint64(64 - BITS)
@@ -299,81 +304,110 @@ def ties(shared: DataFrame) -> DataFrame:
     return rows.join(least, "token").select(F.col("set").alias("a"), "b")
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def search_unit(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Roots of the classes of one unit after all links among them; -1 marks nothing. `sizes` are those of the full sets."""
+class Lists(NamedTuple):
+    """Inverted lists, one after the other, as sorted keys shingle * n + class. `common` shingles are those that more than
+    half of the listed classes have; `missing` has the lists of the classes that lack them, so that these are read instead."""
+
+    n: int
+    keys: np.ndarray
+    start: np.ndarray
+    common: np.ndarray
+    missing: np.ndarray
+    missing_start: np.ndarray
+
+
+def _lists(rank: np.ndarray, owner: np.ndarray, shingles: int, n: int, listed: int) -> Lists:
+    """The lists of the first `listed` of n classes."""
+    mine = owner < listed
+    keys = np.sort(rank[mine] * n + owner[mine])
+    start = np.searchsorted(keys, np.arange(shingles + 1) * n)
+    common = 2 * np.diff(start) > listed
+    which = np.flatnonzero(common)
+    lacks = np.ones((len(which), listed), bool)
+    length = np.diff(start)[which]
+    lacks[np.repeat(np.arange(len(which)), length), keys[runs(start[which], length)] % n] = False
+    at, lacking = np.nonzero(lacks)
+    missing = which[at] * n + lacking
+    return Lists(n, keys, start, common, missing, np.searchsorted(missing, np.arange(shingles + 1) * n))
+
+
+def _occurrences(lists: Lists, shingles: np.ndarray, end: int) -> np.ndarray:
+    """How many of the shingles each of the first `end` classes has."""
+    n, common = lists.n, lists.common[shingles]
+    rare, often = shingles[~common], shingles[common]
+    begin = lists.start[rare]
+    has = lists.keys[runs(begin, np.searchsorted(lists.keys, rare * n + end) - begin)] % n
+    begin = lists.missing_start[often]
+    lacks = lists.missing[runs(begin, np.searchsorted(lists.missing, often * n + end) - begin)] % n
+    return len(often) + np.bincount(has, minlength=end) - np.bincount(lacks, minlength=end)
+
+
+def unit_links(
+    tokens: list[np.ndarray], sizes: np.ndarray, copies: np.ndarray, percent: int, listed: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Every linked pair of one unit: a root per class after all these links, and per class how many documents the classes
+    linked with it have. `sizes` are those of the full sets, `copies` the documents of a class. With `listed`, only pairs of
+    one of the first `listed` classes and one of the others."""
     n = len(tokens)
-    parent = np.arange(n)
-    flat = np.concatenate(tokens)
+    root, linked_with = np.arange(n), np.zeros(n, np.int64)
+    held = n if listed is None else listed
+    if not 0 < held or listed == n:
+        return root, linked_with
     owner = np.repeat(np.arange(n), [len(t) for t in tokens])
-    known, rank = np.unique(flat, return_inverse=True)
-    keys = np.sort(rank.astype(np.int64) * n + owner)  # the inverted lists, one after the other
-    start = np.searchsorted(keys, np.arange(len(known) + 1) * n)
+    known, rank = np.unique(np.concatenate(tokens), return_inverse=True)
+    rank = rank.astype(np.int64)
+    lists = _lists(rank, owner, len(known), n, held)
     first = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-    for q in range(1, n):
+    for q in range(1 if listed is None else listed, n):
+        end = min(q, held)  # in the lists of all classes, those before q only: the head of each list
         mine = rank[first[q] : first[q + 1]]
-        # classes before q only: the head of each list
-        begin = start[mine]
-        length = np.searchsorted(keys, mine * n + q) - begin
-        mine, begin, length = mine[length > 0], begin[length > 0], length[length > 0]
+        length = np.searchsorted(lists.keys, mine * n + end) - lists.start[mine]
+        mine, length = mine[length > 0], length[length > 0]
         least = int(need(int(sizes[q]), percent))
         if len(mine) < least:
             continue
-        by_length = np.argsort(length, kind="stable")
-        mine, begin, length = mine[by_length], begin[by_length], length[by_length]
-        longest = int(length[-1])
-        aside = min(least - 1, int(least / (0.0085 * math.log2(longest + 1) + 1)))
-        cut = len(mine) - aside
-        merged = keys[runs(begin[:cut], length[:cut])] % n
-        found, times = np.unique(merged, return_counts=True)
-        enough = times >= least - aside
-        found, times = found[enough], times[enough]
-        bound = sizes[found] * 100 >= percent * sizes[q]
-        bound &= sizes[q] * 100 >= percent * sizes[found]
-        found, times = found[bound], times[bound]
-        found = found[np.argsort(-times, kind="stable")]
-        times = times[np.argsort(-times, kind="stable")]
-        long_lists = mine[cut:]
-        step = 1
-        while len(found):
-            here = np.array([_find(parent, int(i)) for i in found])
-            open_ = here != _find(parent, q)
-            found, times, here = found[open_], times[open_], here[open_]
-            if not len(found):
-                break
-            # the likeliest of each component, more of them in every round
-            order = np.argsort(here, kind="stable")
-            place = np.arange(len(order)) - np.searchsorted(here[order], here[order])
-            now = np.sort(order[place < step])
-            probe = long_lists[:, None] * n + found[now]
-            at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
-            overlap = times[now] + (keys[at] == probe).sum(axis=0)
-            linked = overlap * (100 + percent) >= percent * (sizes[q] + sizes[found[now]])
-            for i in found[now][linked].tolist():
-                parent[_find(parent, i)] = _find(parent, q)
-            rest = np.ones(len(found), bool)
-            rest[now] = False
-            found, times = found[rest], times[rest]
-            step *= 2
-    return np.array([_find(parent, i) for i in range(n)])
-
-
-def _units(shared: DataFrame, groups: DataFrame, percent: int, unit: int) -> DataFrame:
+        mine = mine[np.argsort(length, kind="stable")]
+        aside = min(least - 1, int(least / (0.0085 * math.log2(int(length.max()) + 1) + 1)))
+        long_lists = mine[len(mine) - aside :]
+        times = _occurrences(lists, mine[: len(mine) - aside], end)
+        found = np.flatnonzero(times >= least - aside)
+        found = found[(sizes[found] * 100 >= percent * sizes[q]) & (sizes[q] * 100 >= percent * sizes[found])]
+        if not len(found):
+            continue
+        if len(found) <= LOOKUPS:
+            probe = long_lists[:, None] * n + found
+            at = np.minimum(np.searchsorted(lists.keys, probe), len(lists.keys) - 1)
+            overlap = times[found] + (lists.keys[at] == probe).sum(axis=0)
+        else:
+            overlap = times[found] + _occurrences(lists, long_lists, end)[found]
+        found = found[overlap * (100 + percent) >= percent * (sizes[q] + sizes[found])]
+        if not len(found):
+            continue
+        linked_with[q] += copies[found].sum()
+        linked_with[found] += copies[q]
+        roots = np.unique(root[found])
+        root[q] = roots[0]
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots[0]
+    return root, linked_with
+
+
+def search_unit(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Roots of the classes of one unit after all links among them."""
+    return unit_links(tokens, sizes, np.ones(len(tokens), np.int64), percent)[0]
+
+
+def _units(shared: DataFrame, groups: DataFrame, copies: DataFrame, percent: int, unit: int) -> DataFrame:
     """Every class in every unit that has to hold it. Small components are one unit; larger ones are cut into bands of
-    size and bands into parts, and a unit is a pair of parts whose sizes allow a link."""
-    rows = shared.join(groups.select(F.col("node").alias("set"), "root"), "set")
+    size and bands into parts, and a unit is a part or a pair of parts whose sizes allow a link. `side` says of which part of
+    a pair a class is, so that a pair of classes belongs to one unit; it is -1 where all pairs of the unit count."""
+    rows = shared.join(groups.select(F.col("node").alias("set"), "root"), "set").join(copies.hint("merge"), "set")
     held = F.greatest(F.count(F.lit(1)) / unit, F.sum(F.size("tokens")) / (2 * SOME_TOKENS))
     counts = written(rows.groupBy("root").agg(held.alias("held")), "members")
     rows = rows.join(counts, "root")
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100) if percent < 100 else F.col("n")).cast("long")
     rows = written(rows.withColumn("band", F.when(F.col("held") > 1, band)), "banded")
-    small = rows.filter("band IS NULL").select("root", F.lit("").alias("unit"), "set", "n", "tokens")
+    small = rows.filter("band IS NULL").select("root", F.lit("").alias("unit"), F.lit(-1).alias("side"), "set", "n", "copies", "tokens")
     large = rows.filter("band IS NOT NULL")
     parts = large.groupBy("root", "band").agg(F.ceil(2 * held).cast("int").alias("parts"))
     parts = written(parts, "parts")
@@ -386,46 +420,53 @@ def _units(shared: DataFrame, groups: DataFrame, percent: int, unit: int) -> Dat
     one = F.struct(F.col("band").alias("b"), F.col("part").alias("p"))
     two = F.struct(F.col("band2").alias("b"), F.col("part2").alias("p"))
     name = F.concat_ws(":", *[F.col(f"{s}.{x}").cast("string") for s in ("low", "high") for x in ("b", "p")])
-    large = large.withColumns({"low": F.least(one, two), "high": F.greatest(one, two)})
-    return small.unionByName(large.select("root", name.alias("unit"), "set", "n", "tokens"))
-
-
-def links(shared: DataFrame, groups: DataFrame, percent: int, unit: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the classes that are connected by links."""
-    rows = _units(shared, groups, percent, unit).withColumn("key", F.concat_ws("/", F.hex("root"), "unit")).select("key", "n", "set", "tokens")
-
-    def solve(sets: list[bytes], sizes: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch | None:
-        order = np.argsort(sizes, kind="stable")
-        root = search_unit([tokens[i] for i in order], np.array(sizes, np.int64)[order], percent)
-        a = [sets[order[i]] for i in range(len(order)) if root[i] != i]
-        b = [sets[order[root[i]]] for i in range(len(order)) if root[i] != i]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]) if a else None
+    side = F.when(one == two, -1).when(one < two, 0).otherwise(1)
+    large = large.withColumns({"low": F.least(one, two), "high": F.greatest(one, two), "side": side})
+    return small.unionByName(large.select("root", name.alias("unit"), "side", "set", "n", "copies", "tokens"))
+
+
+def links(shared: DataFrame, groups: DataFrame, copies: DataFrame, percent: int, unit: int) -> DataFrame:
+    """Per class and unit with a link of it: an edge (a, b) to the root of the class there, and the documents of the classes
+    linked with it there. The edges connect exactly the classes that are connected by links."""
+    rows = _units(shared, groups, copies, percent, unit).withColumn("key", F.concat_ws("/", F.hex("root"), "unit"))
+    rows = rows.select("key", "side", "n", "copies", "set", "tokens")
+
+    def solve(held: list[tuple]) -> pa.RecordBatch | None:
+        held.sort(key=lambda r: r[:2])
+        side, sizes, copies = (np.array(x, np.int64) for x in list(zip(*held))[:3])
+        listed = None if side[0] < 0 else int((side == 0).sum())
+        root, linked_with = unit_links([r[4] for r in held], sizes, copies, percent, listed)
+        some = np.flatnonzero(linked_with)
+        if not len(some):
+            return None
+        sets = [[held[i][3] for i in x] for x in (some, root[some])]
+        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.binary()) for x in sets], pa.array(linked_with[some])], ["a", "b", "linked_with"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets, sizes, tokens = None, [], [], []
+        key, held = None, []
         for batch in batches:
-            keys, ns, names = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, k in enumerate(keys):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for i, (k, *row) in enumerate(zip(*columns)):
                 if k != key:
-                    if len(sets) > 1 and (out := solve(sets, sizes, tokens)) is not None:
+                    if len(held) > 1 and (out := solve(held)) is not None:
                         yield out
-                    key, sets, sizes, tokens = k, [], [], []
-                sets.append(names[i])
-                sizes.append(ns[i])
-                tokens.append(batch.column(3)[i].values.to_numpy(zero_copy_only=False).copy())
-        if len(sets) > 1 and (out := solve(sets, sizes, tokens)) is not None:
+                    key, held = k, []
+                held.append((*row, batch.column(5)[i].values.to_numpy(zero_copy_only=False).copy()))
+        if len(held) > 1 and (out := solve(held)) is not None:
             yield out
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(search, "a binary, b binary")
+    return dealt.mapInArrow(search, "a binary, b binary, linked_with long")
 
 
 def linked_sets(docs: DataFrame, counted: DataFrame, width: int, percent: int, unit: int) -> DataFrame:
-    """(set, root) for every set that is linked with another one."""
+    """(set, root, linked_with) for every set that is linked with another one."""
     open_ = counted.filter((F.col("n") > 0) & (F.col("single") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
     shared = shared_tokens(read_sets(docs, open_.select("id", "set"), width), percent)
-    found = links(shared, written(components(ties(shared)), "groups"), percent, unit)
-    return written(components(found).select(F.col("node").alias("set"), "root"), "linked")
+    copies = open_.groupBy("set").agg(F.count(F.lit(1)).alias("copies"))
+    found = written(links(shared, written(components(ties(shared)), "groups"), copies, percent, unit), "links")
+    sums = found.groupBy(F.col("a").alias("set")).agg(F.sum("linked_with").alias("linked_with"))
+    return written(components(found.select("a", "b")).select(F.col("node").alias("set"), "root").join(sums, "set"), "linked")
 
 
 _LAST = (1 << 63) - 1
@@ -437,26 +478,39 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(counted: DataFrame, linked: DataFrame) -> DataFrame:
-    """(set, component): the smallest id among all rows that a set is connected with."""
-    classes = counted.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"))
+    """(set, component, n_links): the smallest id among all rows that a set is connected with, and with how many rows a row
+    of the set is linked, its copies among them."""
+    classes = counted.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     rooted = classes.join(linked, "set", "left").withColumn("root", F.coalesce("root", "set"))
     names = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    return written(rooted.join(names, "root").select("set", "component"), "classes")
+    n_links = F.col("copies") - 1 + F.coalesce("linked_with", F.lit(0))
+    return written(rooted.join(names, "root").select("set", "component", n_links.alias("n_links")), "classes")
 
 
-def jaccard_components(
+def jaccard_links(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT
 ) -> DataFrame:
-    """Every document with the size of its shingle set and the smallest id it is connected with."""
+    """Every document with the size of its shingle set, the smallest id it is connected with and how many other documents it
+    is linked with."""
     slim = _slim(docs, id_col, text_col)
     counted = count_documents(slim, width)
     classes = _classes(counted, linked_sets(slim, counted, width, percent, unit))
     found = counted.join(classes, "set", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return found.select(
-        F.nullif("id", F.lit(_LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(_LAST)).alias("component_id")
+        F.nullif("id", F.lit(_LAST)).alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.nullif("component", F.lit(_LAST)).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
+def jaccard_components(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT
+) -> DataFrame:
+    """Every document with the size of its shingle set and the smallest id it is connected with."""
+    return jaccard_links(docs, width, percent, id_col, text_col, unit).drop("n_links")
+
+
 def one_of_each(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.decontaminate import contamination
 from panelforge.llm.exact_dedup import exact_duplicates
-from panelforge.llm.jaccard_join import jaccard_components
+from panelforge.llm.jaccard_join import jaccard_links
 from panelforge.llm.kd_sharding import kd_shards
 from panelforge.llm.language_id import host_of, identify, markup_language, page_text, suffix_of
 from panelforge.llm.mixing import mixture
@@ -111,4 +111,4 @@ def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard_links(_table(spark, sf_dir, "documents"), width=3, percent=90)

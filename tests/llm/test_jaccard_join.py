@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
-from panelforge.llm.jaccard_join import jaccard_components, one_of_each, search_unit
+from panelforge.llm.jaccard_join import jaccard_components, jaccard_links, one_of_each, search_unit, unit_links
 from tests.llm.conftest import none_first
 
 WHITE = "[^\x20\x09-\x0d]+"
@@ -116,3 +116,47 @@ def test_components_of_paths_and_stars(spark):
 def test_hot_group_is_one_class(messy):
     got = jaccard_components(messy.filter(F.col("source") == "hot"), 5, 80).collect()
     assert {r.component_id for r in got} == {100} and len(got) == 40
+
+
+def links_by_brute_force(rows, width, percent):
+    sets = list(sets_of([r.text for r in rows], width))
+    where, out = defaultdict(list), [0] * len(rows)
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s for j in where[x])
+        for x in s:
+            where[x].append(i)
+        for j, k in common.items():
+            if 100 * k >= percent * (len(s) + len(sets[j]) - k):
+                out[i] += 1
+                out[j] += 1
+    return [(r.doc_id, len(s), k) for r, s, k in zip(rows, sets, out)]
+
+
+@pytest.mark.parametrize("unit", [2000, 4])
+def test_links_of_every_document(spark, messy, unit):
+    """Also in groups of many different texts, in one unit and over many."""
+    base = [f"w{i}" for i in range(60)]
+    near = [(1000 + i, " ".join([*base[: 60 - i % 7], *[f"x{i // 3}"] * (i % 3), "end"])) for i in range(60)]
+    docs = messy.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    got = jaccard_links(docs, 3, 80, unit=unit)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    want = links_by_brute_force(docs.collect(), 3, 80)
+    assert max(w[2] for w in want if (w[0] or 0) >= 1000) > 20
+    assert none_first(got.drop("component_id").collect()) == none_first(want)
+
+
+@pytest.mark.parametrize("listed", [None, 0, 1, 30, 80])
+def test_unit_links_counts_every_pair(listed):
+    rng = np.random.default_rng(3)
+    base = rng.choice(10_000, 60, replace=False)
+    tokens = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(48, 61)], rng.integers(20_000, 20_050, 2)])) for _ in range(80)]
+    sizes, copies = np.array([len(t) for t in tokens]), rng.integers(1, 5, 80)
+    want = np.zeros(80, np.int64)
+    for i in range(80):
+        for j in range(i):
+            k = len(np.intersect1d(tokens[i], tokens[j]))
+            if 180 * k >= 80 * (sizes[i] + sizes[j]) and (listed is None or j < listed <= i):
+                want[i] += copies[j]
+                want[j] += copies[i]
+    assert unit_links(tokens, sizes, copies, 80, listed)[1].tolist() == want.tolist()
+    assert want.any() or listed in (0, 80)
