@@ -81,7 +81,7 @@ def hill(t: Tables) -> DataFrame:
 def hill_mae(t: Tables) -> DataFrame:
     """Rows-only: climbing on MAE with a penalty on the spread over folds; the tests check it against brute force."""
     w = BL.hill_climb_weights(
-        members(t), MEMBERS, "truth", "mae", iterations=10, step=0.1, fold="fold", stability_penalty=0.5
+        members(t), MEMBERS, "truth", "mae", fold="fold", stability_penalty=0.5
     )
     return _as_table(t, w)
 
@@ -213,7 +213,7 @@ def stacked(t: Tables) -> DataFrame:
 @query("nested_blend", "B10 B02")
 def nested(t: Tables) -> DataFrame:
     """Rows-only: weights climb on the MAE of all earlier years and are scored on the next one."""
-    return BL.nested_blend(members(t), MEMBERS, "truth", "fold", iterations=3)
+    return BL.nested_blend(members(t), MEMBERS, "truth", "fold")
 
 
 _LOGS = f"""{MEM}, lg AS (SELECT ln(1 + greatest(m1, 0)) AS b, ln(1 + greatest(m2, 0)) - ln(1 + greatest(m1, 0)) AS d2, ln(1 + greatest(m3, 0)) - ln(1 + greatest(m1, 0)) AS d3, ln(1 + truth) AS y FROM mem)"""
@@ -472,6 +472,24 @@ def bin_offset(t: Tables) -> DataFrame:
     return out.select("id", rnd("offset"))
 
 
+def _edges(bins: int) -> str:
+    return ", ".join(f"quantile_cont(m3, {i / bins})" for i in range(1, bins))
+
+
+@query(
+    "quantile_bin_offset_40",
+    "B22",
+    f"""WITH {_RES}, c AS (SELECT id, fold, m3, e - avg(e) OVER (PARTITION BY fold) AS e FROM r), q AS (SELECT fold AS b, [{_edges(40)}] AS q FROM c GROUP BY 1),
+    x AS (SELECT b, len(list_filter(q, lambda v: v <= m3)) AS bin, sum(e) / (count(*) + 200) AS d FROM c JOIN q ON b <> fold GROUP BY 1, 2),
+    o AS (SELECT id, fold, coalesce(d, 0) AS d FROM (SELECT id, fold, len(list_filter(q, lambda v: v <= m3)) AS k FROM c JOIN q ON b = fold) LEFT JOIN x ON x.b = fold AND x.bin = k)
+    SELECT id, {sql_rnd('d - avg(d) OVER (PARTITION BY fold)', 'offset')} FROM o""",
+)
+def bin_offset_40(t: Tables) -> DataFrame:
+    """At the operator's own number of bins; `quantile_bin_offset` has 8."""
+    out = PP.quantile_bin_offset(residuals(t), "fold", "m3", "e", "offset")
+    return out.select("id", rnd("offset"))
+
+
 @query(
     "group_effects",
     "B22",

@@ -146,7 +146,7 @@ def adversarial(t: Tables) -> DataFrame:
     )
     train, test = o.filter(F.col("o_orderdate") < B.CUT), o.filter(F.col("o_orderdate") >= B.CUT)
     one, _, _ = ML.adversarial_validation(
-        train, test, "o_orderkey", ["o_totalprice", "c", "doy", "age"], folds=2, model=lambda s: ML.boosted_classifier(s, 2, 3)
+        train, test, "o_orderkey", ["o_totalprice", "c", "doy", "age"]
     )
     return rounded(one, ["verdict"])
 
@@ -482,14 +482,14 @@ def hurdle(t: Tables) -> DataFrame:
 def seeds(t: Tables) -> DataFrame:
     rows = _model_rows(t)
     train, test = rows.filter(F.col("day") < B.CUT), rows.filter(F.col("day") >= B.CUT)
-    out, _ = ML.multi_seed_refit(train, test, ["x1", "doy"], "y", (1, 2), lambda s: ML.boosted_trees(s, 2, 3))
+    out, _ = ML.multi_seed_refit(train, test, ["x1", "doy"], "y", (1, 2))
     return out.select("id", rnd("prediction", digits=4), rnd("seed_std", digits=4))
 
 
 @query("null_importance_filter", "T05")
 def nulls(t: Tables) -> DataFrame:
     return rounded(
-        ML.null_importance_filter(_model_rows(t), "id", ["x1", "x2", "doy"], "y", 2, model=lambda s: ML.boosted_trees(s, 2, 3)),
+        ML.null_importance_filter(_model_rows(t), "id", ["x1", "x2", "doy"], "y"),
         ["feature", "kept"], 4,
     )
 
