@@ -9,7 +9,7 @@ from panelforge.operators import aggregates as A
 from panelforge.operators import profiles as PR
 from panelforge.operators import weather as WX
 from panelforge.plans import bases as B
-from panelforge.plans.registry import Tables, query, rnd, rounded, sql_rnd
+from panelforge.plans.registry import ORACLES, Tables, query, rnd, rounded, sql_rnd
 
 
 def _q(col: str, p: float, name: str, digits: int = 6) -> str:
@@ -48,6 +48,14 @@ def target_free(t: Tables) -> DataFrame:
     return rounded(out.drop("qty"), ["entity", "day"])
 
 
+@query("target_free_aggregates_whole", "A02", ORACLES["target_free_aggregates"].replace(B.TRAIN_TEST, B.WHOLE))
+def target_free_whole(t: Tables) -> DataFrame:
+    """Without the gap of `target_free_aggregates`."""
+    train, test = B.train_test_whole(t)
+    out = A.target_free_aggregates(train, test, ["entity"], ["qty"], None, ("mean", "max"))[1]
+    return rounded(out.drop("qty"), ["entity", "day"])
+
+
 @query(
     "paired_distribution",
     "A03 E01",

@@ -175,3 +175,14 @@ def train_test(t: Tables) -> tuple[DataFrame, DataFrame]:
 TRAIN_TEST = f"""{SUPPLIER_DAY},
 train AS (SELECT * FROM supplier_day WHERE day < DATE '{CUT}'),
 test AS (SELECT * FROM supplier_day WHERE day >= DATE '{CUT}' + 30)"""
+
+
+def train_test_whole(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Supplier days before the cut and from it on: no day is left out."""
+    base = supplier_day(t)
+    return base.filter(F.col("day") < CUT), base.filter(F.col("day") >= CUT)
+
+
+WHOLE = f"""{SUPPLIER_DAY},
+train AS (SELECT * FROM supplier_day WHERE day < DATE '{CUT}'),
+test AS (SELECT * FROM supplier_day WHERE day >= DATE '{CUT}')"""

@@ -10,7 +10,7 @@ from panelforge.functions import season as S
 from panelforge.operators import weather as WX
 from panelforge.operators import windows as W
 from panelforge.plans import bases as B
-from panelforge.plans.registry import Tables, query, rounded, sql_rnd
+from panelforge.plans.registry import ORACLES, Tables, query, rounded, sql_rnd
 
 _E = "PARTITION BY entity ORDER BY day"
 
@@ -249,6 +249,13 @@ def age(t: Tables) -> DataFrame:
     return W.age_features([train, test], ["entity"], "day")[1].drop("qty")
 
 
+@query("age_features_whole", "W13", ORACLES["age_features"].replace(B.TRAIN_TEST, B.WHOLE))
+def age_whole(t: Tables) -> DataFrame:
+    """Without the gap of `age_features`."""
+    train, test = B.train_test_whole(t)
+    return W.age_features([train, test], ["entity"], "day")[1].drop("qty")
+
+
 @query(
     "boundary_flags",
     "W14",
@@ -315,6 +322,13 @@ def event_days(t: Tables) -> DataFrame:
     return W.event_day_groups(test, train, "entity", "day", "qty")
 
 
+@query("event_day_groups_whole", "W18", ORACLES["event_day_groups"].replace(B.TRAIN_TEST, B.WHOLE))
+def event_days_whole(t: Tables) -> DataFrame:
+    """Without the gap of `event_day_groups`."""
+    train, test = B.train_test_whole(t)
+    return W.event_day_groups(test, train, "entity", "day", "qty")
+
+
 @query(
     "season_direction",
     "W19",
