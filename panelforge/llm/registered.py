@@ -15,6 +15,7 @@ from panelforge.llm.language_id import host_of, identify, markup_language, page_
 from panelforge.llm.mixing import mixture
 from panelforge.llm.pii import personal_data
 from panelforge.llm.quality_cnn import quality_scores
+from panelforge.llm.simhash_anchors import simhash_components
 from panelforge.llm.token_counts import token_counts
 from panelforge.llm.warc import roundtrip
 
@@ -112,3 +113,8 @@ def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@_query
+def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"), width=4, threshold=4)
