@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.collocations import collocations
 from panelforge.llm.decontaminate import contamination
 from panelforge.llm.exact_dedup import exact_duplicates
 from panelforge.llm.jaccard_join import jaccard_links
@@ -14,6 +15,7 @@ from panelforge.llm.kd_sharding import kd_shards
 from panelforge.llm.language_id import host_of, identify, markup_language, page_text, suffix_of
 from panelforge.llm.mixing import mixture
 from panelforge.llm.pii import personal_data
+from panelforge.llm.prefix_trie import prefix_trie
 from panelforge.llm.quality_cnn import quality_scores
 from panelforge.llm.simhash_anchors import simhash_components
 from panelforge.llm.token_counts import token_counts
@@ -118,3 +120,80 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), width=4, threshold=4)
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), min_count=100, longest=5, top=2000)
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+g AS (
+  SELECT lang, k, w[i:i + k - 1] AS ph
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM p, (VALUES (1), (2), (3), (4), (5)) s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, ph, count(*) AS a FROM g GROUP BY lang, k, ph),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, array_to_string(ph, ' ') AS phrase FROM f WHERE k >= 2 AND a >= 100),
+free AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS o WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.a >= 100 * c.a
+      AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT free.lang, free.phrase, free.a, n.n, j, x.a AS l, y.a AS r,
+         ((1000::HUGEINT * free.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM free) AS free
+  JOIN n ON n.lang = free.lang
+  JOIN f AS x ON x.lang = free.lang AND x.k = j AND x.ph = free.ph[1:j]
+  JOIN f AS y ON y.lang = free.lang AND y.k = free.k - j AND y.ph = free.ph[j + 1:free.k]),
+weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest QUALIFY rank <= 2000
+"""
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+# crc32 bit by bit over the decimal digits; nodes by the text of their turns
+ORACLES["op11_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, l, conv_id - conv_id % 100 AS base,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
+           (c, x) -> list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                 (v, z) -> xor(v >> 1, (v & 1) * 3988292384)))) % 6 AS h
+  FROM t),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l
+  FROM h LEFT JOIN t AS b ON b.conv_id = h.base),
+m AS (SELECT conv_id, len(l) AS turns, l, unnest(generate_series(0, len(l))) AS depth FROM r),
+n AS (
+  SELECT l[1:depth]::VARCHAR AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         min(CASE WHEN depth > 0 THEN l[1:depth - 1]::VARCHAR END) AS up,
+         min(CASE WHEN depth > 0 THEN length(l[depth].t) ELSE 0 END) AS points,
+         any_value(l[1:depth]) AS path,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE turns = depth), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+c AS (SELECT up AS p, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+full_n AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c USING (p, depth)),
+below AS (
+  SELECT path[1:d]::VARCHAR AS p, d AS depth, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+         sum((n_convs - 1) * points)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM full_n) GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, b.n_leaves, b.saved_tokens, v.ends_sha256
+FROM full_n v JOIN below b ON b.p = v.p AND b.depth = v.depth
+LEFT JOIN n AS u ON u.p = v.up AND u.depth = v.depth - 1
+"""
