@@ -129,7 +129,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op13_collocations"] = r"""
 WITH p AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w
+  SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w
   FROM (SELECT coalesce(lang, 'und') AS lang,
                unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                          '[.,;:!?\x0A-\x0D]')) AS piece
@@ -172,9 +172,9 @@ WITH t AS (
 h AS (
   SELECT conv_id, l, conv_id - conv_id % 100 AS base,
          xor(4294967295, list_reduce(
-           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-           (c, x) -> list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-                                 (v, z) -> xor(v >> 1, (v & 1) * 3988292384)))) % 6 AS h
+           list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                 lambda v, z: xor(v >> 1, (v & 1) * 3988292384)))) % 6 AS h
   FROM t),
 r AS (
   SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l
