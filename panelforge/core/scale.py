@@ -51,7 +51,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _bucket_of(df: DataFrame, value: str, bounds: str, buckets: int, out: str) -> DataFrame:
+def bucket_of(df: DataFrame, value: str, bounds: str, buckets: int, out: str) -> DataFrame:
     """Number of bounds below the value, by a coarse and a fine round of comparisons that stay inside codegen (a lambda
     over the array would be interpreted)."""
     fine = 1
@@ -94,7 +94,7 @@ def value_positions(
         ranged = counts.join(rows.groupBy(*by).agg(sketch.alias("_bounds")), by)
     else:
         ranged = counts.withColumn("_bounds", rows.agg(sketch.alias("b")).scalar())
-    ranged = _bucket_of(ranged, "_v", "_bounds", buckets, "_bucket")
+    ranged = bucket_of(ranged, "_v", "_bounds", buckets, "_bucket")
 
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
     # at most `buckets` rows per group from here on

@@ -223,29 +223,50 @@ def reason_code(text: Column) -> Column:
     return out.otherwise(F.lit(OTHER_REASON[1]))
 
 
-def add_reason_features(df: DataFrame, column: str, prefix: str = "reason") -> DataFrame:
-    """Code, family, fault and weather flags. The keyword chain runs once per row; the rest are lookups on the code."""
-    families = [*REASON_FAMILIES, (*OTHER_REASON, ())]
+def _text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text in joins, so that the text itself isn't moved or compared again."""
+    return [F.xxhash64(F.lit(1), text).alias("_key1"), F.xxhash64(F.lit(2), text).alias("_key2")]
+
+
+def classified_texts(df: DataFrame, column: str) -> DataFrame:
+    """(_text, _rows, _code): every distinct text once, with its number of rows and its code. Repeated texts collapse before
+    they are shuffled, and the shuffle deals the texts out evenly, whatever the files they come from; the keyword chain,
+    which costs far more than moving a text, runs behind it. NULL counts as empty."""
+    texts = df.select(F.coalesce(_c(column), F.lit("")).alias("_text")).groupBy("_text").agg(F.count(F.lit(1)).alias("_rows"))
+    # the folded text is a column of its own so that it is built once, not once per keyword
+    return texts.withColumn("_folded", reason_text(F.col("_text"))).withColumn("_code", reason_code(F.col("_folded"))).drop("_folded")
+
+
+def _reason_lookups(code: Column) -> tuple[Column, Column]:
+    """Family and fault flag of a code."""
     name, fault = F.lit(None).cast("string"), F.lit(None).cast("int")
-    code = F.col(f"{prefix}_code")
-    for fam, c, is_fault, _ in families:
+    for fam, c, is_fault, _ in [*REASON_FAMILIES, (*OTHER_REASON, ())]:
         name = F.when(code == c, F.lit(fam)).otherwise(name)
         fault = F.when(code == c, F.lit(int(is_fault))).otherwise(fault)
-    # the text is a column of its own so that it is built once, not once per keyword
-    coded = df.withColumn("_text", reason_text(F.coalesce(_c(column), F.lit("")))).withColumn(
-        f"{prefix}_code", reason_code(F.col("_text"))
-    )
-    return coded.withColumns(
+    return name, fault
+
+
+def add_reason_features(df: DataFrame, column: str, prefix: str = "reason") -> DataFrame:
+    """Code, family, fault and weather flags. Every distinct text is classified once; rows meet its code by a key of 128
+    bits, and the rest are lookups on the code."""
+    keys = ["_key1", "_key2"]
+    codes = classified_texts(df, column).select(*_text_key(F.col("_text")), F.col("_code").alias(f"{prefix}_code"))
+    keyed = df.select("*", *_text_key(F.coalesce(_c(column), F.lit(""))))
+    code = F.col(f"{prefix}_code")
+    name, fault = _reason_lookups(code)
+    return keyed.join(codes, keys).drop(*keys).withColumns(
         {f"{prefix}_family": name, f"{prefix}_fault": fault, f"{prefix}_weather": (code == 1).cast("int")}
-    ).drop("_text")
+    )
 
 
 def reason_family_report(df: DataFrame, column: str) -> DataFrame:
-    """Rows, fault flag and percent of all rows per family."""
+    """Rows, fault flag and percent of all rows per family, from the distinct texts and their numbers of rows."""
+    name, fault = _reason_lookups(F.col("_code"))
     counts = (
-        add_reason_features(df.select(column), column)
+        classified_texts(df, column)
+        .select(name.alias("reason_family"), fault.alias("fault"), "_rows")
         .groupBy("reason_family")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("reason_fault").alias("fault"))
+        .agg(F.sum("_rows").alias("rows"), F.max("fault").alias("fault"))
     )
     total = counts.agg(F.sum("rows").alias("n")).scalar()
     return counts.withColumn("_n", total).select(

@@ -1,4 +1,4 @@
-"""Leak-free entity profiles: fitted on one frame, applied to another, and the rolling-origin blocks built from them.
+"""Leak-free entity profiles: fitted on one frame, applied to another. `origin_blocks` builds rolling-origin blocks of them.
 
 `by` adds leading keys (a block name) so that all blocks are fitted in one job.
 """
@@ -73,9 +73,8 @@ def entity_summaries(
     day = F.to_date(time)
     entity_rows = Window.partitionBy(*by, entity)
     if by:
-        # one row per block of a caller-given list
-        bounds = F.broadcast(fit.groupBy(*by).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi")))
-        base = fit.join(bounds, by)
+        bounds = fit.groupBy(*by).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
+        base = join_checked(fit, bounds, by, "inner")
     else:
         base = fit.withColumns(
             {"_lo": fit.agg(F.min(day).alias("b")).scalar(), "_hi": fit.agg(F.max(day).alias("b")).scalar()}
@@ -185,6 +184,12 @@ def add_group_levels(
         .groupBy(*by, district, "bucket")
         .agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n"), F.count(F.lit(1)).alias("_rows"))
     )
+    return attach_group_levels(rows, cells, capacity, district, by)
+
+
+def attach_group_levels(rows: DataFrame, cells: DataFrame, capacity: str, district: str, by: Sequence[str] = ()) -> DataFrame:
+    """`cells` (by..., district, bucket, _s, _n, _rows): sum and count of logs, and rows."""
+    by = list(by)
     bucket = cells.groupBy(*by, "bucket").agg(safe_div(F.sum("_s"), F.sum("_n")).alias("bucket_log_mean"))
     dist = cells.groupBy(*by, district).agg(safe_div(F.sum("_s"), F.sum("_n")).alias("district_log_mean"))
     cell = cells.select(
@@ -215,6 +220,12 @@ def add_group_profiles(
     cells = cut_lineage(
         dev.groupBy(*by, district, "bucket", "_moy", "_dow").agg(F.sum("_dev").alias("_s"), F.count("_dev").alias("_n"))
     )
+    return attach_group_profiles(rows, cells, time, capacity, district, by)
+
+
+def attach_group_profiles(rows: DataFrame, cells: DataFrame, time: str, capacity: str, district: str, by: Sequence[str] = ()) -> DataFrame:
+    """`cells` (by..., district, bucket, _moy, _dow, _s, _n): sum and count of deviations."""
+    by = list(by)
     day = F.to_date(time)
     had_bucket = "bucket" in rows.columns
     out = rows.withColumns({"_moy": F.month(day), "_dow": F.weekday(day)})
@@ -228,84 +239,3 @@ def add_group_profiles(
         table = cells.groupBy(*by, *keys).agg(safe_div(F.sum("_s"), F.sum("_n")).alias(name))
         out = join_checked(out, table, [*by, *keys])
     return out.drop("_moy", "_dow", *([] if had_bucket else ["bucket"]))
-
-
-@dataclass(frozen=True)
-class Block:
-    """A rolling-origin block: summaries from [summary_start, summary_end], labels in [label_start, label_end]."""
-
-    name: str
-    summary_start: str
-    summary_end: str
-    label_start: str
-    label_end: str
-
-    def __post_init__(self) -> None:
-        if self.summary_end >= self.label_start:
-            raise ValueError(f"block {self.name}: the summary window reaches into the label window")
-
-
-def _in_blocks(df: DataFrame, time: str, conditions: dict[str, Column]) -> DataFrame:
-    """One copy of a row per block whose condition it meets."""
-    names = F.array_compact(F.array(*[F.when(c, F.lit(b)) for b, c in conditions.items()]))
-    return df.withColumn("block", F.explode(names))
-
-
-def rolling_origin_blocks(
-    df: DataFrame,
-    blocks: Sequence[Block],
-    entity: str,
-    time: str,
-    target: str,
-    capacity: str,
-    district: str,
-    degree_columns: Sequence[str] = (),
-) -> DataFrame:
-    """All training blocks in one job: label rows with summaries from before the label window, profiles from everything
-    outside it, group fallbacks, presence, horizon day and densities."""
-    day = F.to_date(time)
-    # read below six times over, so the (cheap) panel is written once instead of being derived again
-    df = cut_lineage(df)
-
-    def span(a: str, b: str) -> Column:
-        return day.between(F.lit(a).cast("date"), F.lit(b).cast("date"))
-
-    labels = _in_blocks(df, time, {b.name: span(b.label_start, b.label_end) for b in blocks})
-    fits = _in_blocks(df, time, {b.name: span(b.summary_start, b.summary_end) for b in blocks})
-    outside = _in_blocks(df, time, {b.name: ~span(b.label_start, b.label_end) for b in blocks})
-    # one row per block of the given list
-    limits = F.broadcast(labels.groupBy("block").agg(F.min(day).alias("_l0"), F.max(day).alias("_l1")))
-    fit_limits = F.broadcast(fits.groupBy("block").agg(F.min(day).alias("_f0"), F.max(day).alias("_f1")))
-    fits_bounded = fits.join(limits, "block")
-    summaries = entity_summaries(
-        fits_bounded, entity, time, target, capacity, outside, (F.col("_l0"), F.col("_l1")), degree_columns, ["block"]
-    )
-    out = apply_summaries(labels, summaries, time)
-    out = add_group_levels(out, fits, target, capacity, district, ["block"])
-    out = add_group_profiles(out, outside, entity, time, target, capacity, district, ["block"])
-    out = out.join(limits, "block").join(fit_limits, "block")
-    seen = Window.partitionBy("block", entity)
-    first, last, n = F.min(day).over(seen), F.max(day).over(seen), F.count(F.lit(1)).over(seen)
-    span_days = F.datediff(last, first) + 1
-    summary_days = F.datediff("_f1", "_f0") + 1
-    return out.withColumns(
-        {
-            "present_days": n,
-            "present_first": F.datediff(first, "_l0"),
-            "present_last": F.datediff(last, "_l0"),
-            "present_span": span_days,
-            "present_fill": n / span_days,
-            "present_share": n / (F.datediff("_l1", "_l0") + 1),
-            "summary_days": summary_days,
-            "summary_fill": F.col("days") / summary_days,
-            "horizon_day": F.datediff(day, "_f1"),
-        }
-    ).drop("_l0", "_l1", "_f0", "_f1")
-
-
-def keep_clear_blocks(df: DataFrame, blocks: Sequence[Block], target_block: Block) -> DataFrame:
-    """Drops the rows of blocks whose label window overlaps the target block's."""
-    clear = [
-        b.name for b in blocks if b.label_end < target_block.label_start or b.label_start > target_block.label_end
-    ]
-    return df.filter(F.col("block").isin(clear))

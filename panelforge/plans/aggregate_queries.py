@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators import aggregates as A
+from panelforge.operators import origin_blocks as OB
 from panelforge.operators import profiles as PR
 from panelforge.operators import weather as WX
 from panelforge.plans import bases as B
@@ -407,13 +408,13 @@ def group_profiles(t: Tables) -> DataFrame:
 
 
 BLOCKS = [
-    PR.Block("b97", "1995-01-01", "1996-12-31", "1997-01-01", "1997-04-30"),
-    PR.Block("b98", "1995-01-01", "1998-05-31", "1998-06-01", "1998-09-30"),
-    PR.Block("b98late", "1996-01-01", "1998-06-30", "1998-08-01", "1998-11-30"),
+    OB.Block("b97", "1995-01-01", "1996-12-31", "1997-01-01", "1997-04-30"),
+    OB.Block("b98", "1995-01-01", "1998-05-31", "1998-06-01", "1998-09-30"),
+    OB.Block("b98late", "1996-01-01", "1998-06-30", "1998-08-01", "1998-11-30"),
 ]
 
 
-def _block_sql(b: PR.Block) -> str:
+def _block_sql(b: OB.Block) -> str:
     span = f"BETWEEN DATE '{b.label_start}' AND DATE '{b.label_end}'"
     return f"""SELECT '{b.name}' AS block, l.entity, l.day, {sql_rnd('log_mean', 'log_mean')}, days, {sql_rnd('log_last30', 'log_last30')},
       {sql_rnd('ly', 'last_year_log_mean')}, (s.entity IS NULL)::INT AS cold, {sql_rnd('CASE WHEN s.entity IS NOT NULL THEN w.x END', 'dow_deviation')},
@@ -429,7 +430,7 @@ def _block_sql(b: PR.Block) -> str:
     LEFT JOIN (SELECT district, month(day) AS k, avg(dev) AS x FROM outs GROUP BY 1, 2) p ON p.district = l.district AND p.k = month(l.day)"""
 
 
-def _block_query(b: PR.Block) -> str:
+def _block_query(b: OB.Block) -> str:
     return f"""SELECT * FROM (WITH lab AS (SELECT * FROM pb WHERE day BETWEEN DATE '{b.label_start}' AND DATE '{b.label_end}'),
       fit AS (SELECT * FROM pb WHERE day BETWEEN DATE '{b.summary_start}' AND DATE '{b.summary_end}'),
       outs AS (SELECT *, y - avg(y) OVER (PARTITION BY entity) AS dev FROM pb WHERE day NOT BETWEEN DATE '{b.label_start}' AND DATE '{b.label_end}')
@@ -443,7 +444,7 @@ _BLOCKS_SQL = (
 
 
 def _blocks(t: Tables) -> DataFrame:
-    out = PR.rolling_origin_blocks(
+    out = OB.rolling_origin_blocks(
         profile_rows(t), BLOCKS, "entity", "day", "use", "cap", "district", ["degree"]
     )
     return out.select(
@@ -465,12 +466,8 @@ def blocks(t: Tables) -> DataFrame:
 )
 def clear_blocks(t: Tables) -> DataFrame:
     """b98 overlaps the label window of b98late, so only b97 may train for it."""
-    rows = PR._in_blocks(
-        B.supplier_day(t),
-        "day",
-        {b.name: F.col("day").between(b.label_start, b.label_end) for b in BLOCKS},
-    )
-    return PR.keep_clear_blocks(rows, BLOCKS, BLOCKS[2]).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    rows = OB.label_rows(B.supplier_day(t), "day", BLOCKS)
+    return OB.keep_clear_blocks(rows, BLOCKS, BLOCKS[2]).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- structure, months, events ----------------------------------------------------------------------------------------

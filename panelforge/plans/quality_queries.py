@@ -14,6 +14,7 @@ from panelforge.operators import quality as Q
 from panelforge.operators import splits as V
 from panelforge.plans import bases as B
 from panelforge.plans.registry import Tables, query, rnd, rounded, sql_rnd
+from panelforge.sources import partitions as PT
 from panelforge.sources import publish as P
 from panelforge.sources import readers as R
 from panelforge.streaming import rollup as ST
@@ -378,6 +379,23 @@ def upserted(t: Tables) -> DataFrame:
     return rounded(P.upsert(old, new, ["user_id", "day"]), ["user_id", "day"])
 
 
+@query(
+    "upsert_partitions",
+    "S07",
+    f"""WITH o AS (SELECT user_id, ts::DATE AS day, max(value) AS v FROM events WHERE ts < DATE '2024-01-22' GROUP BY 1, 2), n AS (SELECT user_id, ts::DATE AS day, min(value) AS v FROM events WHERE ts >= DATE '2024-01-18' GROUP BY 1, 2)
+    SELECT user_id, day, {sql_rnd('v', 'v')} FROM n UNION ALL SELECT user_id, day, {sql_rnd('v', 'v')} FROM o ANTI JOIN n USING (user_id, day)""",
+)
+def upserted_partitions(t: Tables) -> DataFrame:
+    """The same upsert into a table kept by day, in two merges; the second reads the days from 18 to 21 January alone."""
+    path = shared_folder(t.spark, "upserted")
+    k = ["user_id", F.to_date("ts").alias("day")]
+    old = t.events.filter(F.col("ts") < "2024-01-22").groupBy(*k).agg(F.max("value").alias("v"))
+    new = t.events.filter(F.col("ts") >= "2024-01-18").groupBy(*k).agg(F.min("value").alias("v"))
+    for number, rows in enumerate((old, new)):
+        PT.upsert_partitions(rows, path, ["user_id", "day"], "day", f"merge {number}")
+    return rounded(PT.read_current(t.spark, path), ["user_id", "day"])
+
+
 @query(
     "missing_ranges",
     "S08",

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from panelforge.sources.partitions import merge_partitions, read_current
+
 
 def stream_daily_rollup(
     stream: DataFrame, time: str, keys: Sequence[str], value: str, delay: str = "1 hour"
@@ -89,7 +91,7 @@ def revise(current: DataFrame, batch: DataFrame, keys: Sequence[str], flag: str
 
 
 def read_revised(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_current(spark, path)
 
 
 def start_revisions(
@@ -101,18 +103,13 @@ def start_revisions(
     flag: str = "is_forecast",
     order: str = "version",
 ) -> StreamingQuery:
-    """Applies each micro-batch to a table partitioned by `day` (one of the keys). Only the days a batch touches are read
-    and overwritten. A batch that is run again after a failure revises its own result to itself."""
+    """Merges each micro-batch into a table kept by `day` (one of the keys). Only the days of the batch are read and written;
+    readers see a batch as a whole. A batch that is run again after it was merged changes nothing."""
     if day not in keys:
         raise ValueError(f"{day} must be one of the keys")
 
-    def apply(batch: DataFrame, _: int) -> None:
-        batch.limit(0).write.mode("append").partitionBy(day).parquet(path)  # the first batch finds an empty table
-        table = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        days = batch.select(F.col(day).alias("_touched")).distinct()
-        touched = table.join(days, F.col(day).eqNullSafe(F.col("_touched")), "left_semi")
-        revised = revise(touched, batch, keys, flag, order).repartition(day)
-        revised.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    def apply(batch: DataFrame, number: int) -> None:
+        merge_partitions(batch, path, day, lambda now, new: revise(now, new, keys, flag, order), f"{checkpoint}:{number}")
 
     return (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

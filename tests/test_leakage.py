@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import aggregates as A
+from panelforge.operators import origin_blocks as OB
 from panelforge.operators import profiles as PR
 from panelforge.operators import spatial as SP
 from panelforge.operators import windows as W
@@ -75,16 +76,16 @@ def test_profiles_ignore_the_apply_target(panel):
 
 def test_blocks_ignore_their_own_labels(panel):
     rows = panel.withColumns({"cap": F.lit(250.0), "district": F.substring("entity", 2, 1)})
-    blocks = [PR.Block("b", "2024-01-01", "2024-02-10", "2024-02-15", "2024-03-05")]
+    blocks = [OB.Block("b", "2024-01-01", "2024-02-10", "2024-02-15", "2024-03-05")]
     inside = F.col("day").between("2024-02-15", "2024-03-05")
     moved = rows.withColumn("y", F.when(inside, F.col("y") * 1000).otherwise(F.col("y")))
-    a, b = (table(PR.rolling_origin_blocks(r, blocks, "entity", "day", "y", "cap", "district")) for r in (rows, moved))
+    a, b = (table(OB.rolling_origin_blocks(r, blocks, "entity", "day", "y", "cap", "district")) for r in (rows, moved))
     pd.testing.assert_frame_equal(a, b)
 
 
 def test_an_overlapping_block_is_refused():
     with pytest.raises(ValueError):
-        PR.Block("b", "2024-01-01", "2024-02-15", "2024-02-15", "2024-03-05")
+        OB.Block("b", "2024-01-01", "2024-02-15", "2024-02-15", "2024-03-05")
 
 
 def test_cold_entities_keep_null(panel):
