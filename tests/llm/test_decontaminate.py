@@ -84,7 +84,38 @@ def test_no_rows(spark, messy, nothing):
     assert decontaminate(messy, none).count() == messy.count()
 
 
-def test_too_large_a_benchmark_is_refused(spark, messy, items):
+def longest_by_brute_force(text, items):
+    """(length, place, item) of the longest run of words that the text shares with an item."""
+    w, best = words(text), (0, None, None)
+    for item, body in items:
+        v = words(body)
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n and (-n, i, item or "") < (-best[0], best[1] if best[0] else 0, best[2] or ""):
+                    best = (n, i, item or "")
+    return best
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 22, 1, 200])
+def test_longest_matches_of_any_length(spark, messy, items, slice_bytes):
+    """Also below the window, of a single word, and with the benchmark in many slices."""
+    bench = items[:8] + [("pair", "the same words nowhere"), ("solo", "xyzzy nobody qqq")]
+    rows = [r for r in messy.select("doc_id", "text").collect() if len(words(r.text)) < 120][:45]
+    bench += [("seven", " ".join(words(rows[3].text)[2:9])), ("more", " ".join(["before", *words(rows[5].text)[1:15], "after"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = contamination(docs, spark.createDataFrame(bench, "item_id string, text string"), slice_bytes=slice_bytes)
+    got = found.select("doc_id", "longest", "longest_at", "longest_item").collect()
+    assert none_first(got) == none_first((r.doc_id, *longest_by_brute_force(r.text, bench)) for r in rows)
+    assert {1, 2} < {r.longest for r in got}
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 150])
+def test_slices_are_united_before_counting(spark, messy, items, slice_bytes):
     bench = spark.createDataFrame(items, "item_id string, text string")
-    with pytest.raises(ValueError, match="max_benchmark_bytes"):
-        contamination(messy, bench, max_benchmark_bytes=100)
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    got = contamination(messy, bench, slice_bytes=slice_bytes).select(names)
+    assert none_first(got.collect()) == none_first(by_brute_force(messy.collect(), items, 10))
+    assert decontaminate(messy, bench, slice_bytes=slice_bytes).count() == decontaminate(messy, bench).count()
