@@ -1,16 +1,20 @@
 """Personal data by weak supervision. DataFrame and SQL functions (and MLlib for the last fit) only.
 
 Candidates are the matches of a base pattern per kind and of a wider pattern per kind (addresses written with "at" and
-"dot", dotted numbers, long digit runs, telephone numbers without a plus). Three labelers vote yes (1), no (-1) or nothing (0)
-on each candidate: a strict regular expression, a gazetteer (top-level domains, issuer prefixes, reserved networks, area
-prefixes) and the words before it. Expectation-maximisation estimates, per kind, how often each labeler votes how on true and on
-false spans; its input is the count of every vote pattern (at most 27 per kind), summed by Spark. The posteriors are the
-soft labels of a logistic regression on votes and shape, and a wider candidate that the regression scores at
-`threshold` or more becomes a span. Base spans stay whatever the model says. Of candidates that overlap, base spans win,
+"dot", with a local part of at most 64 characters as mail allows; dotted numbers, long digit runs, telephone numbers without
+a plus). Three labelers vote yes (1), no (-1) or nothing (0) on each candidate: a strict regular expression, gazetteers
+(registered endings, issuer ranges, networks nobody is reached in, calling codes) and the words before it: up to `CONTEXT`
+characters, not further back than the match before it. Expectation-maximisation estimates, per kind, how often each labeler
+votes how on true and on false spans; its input is the count of every vote pattern (at most 27 per kind), summed by Spark. The
+posteriors are the soft labels of a logistic regression on votes and shape, and a wider candidate that the regression scores
+at `threshold` or more becomes a span. Base spans stay whatever the model says. Of candidates that overlap, base spans win,
 then the earlier one of a kind.
 
-The driver sees counts of vote patterns and coefficients. The tasks pass over the texts once; later steps read the
-written candidates, which hold no text but the candidates themselves.
+Texts are passed over once: what is written for each are the matches and the lengths of the gaps between them. Matches then
+are rows. Their places are running sums over a text's rows, and a wider candidate is free if the base span that reaches
+furthest before it ends in time and the next one begins late enough, two running extremes. All of it is linear in the
+number of matches (but for sorting), so a text with a million numbers is no special case. The driver sees counts of vote
+patterns and coefficients.
 
 Positions are code points, from 0, end exclusive. The patterns are possessive and anchored at the start of a run, so a
 text that is one long run of digits or letters takes linear time and no recursion; they find the same spans as the plain forms.
@@ -22,10 +26,12 @@ fitted; an empty table gives an empty result. Other columns may have any name.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.scale import written
@@ -57,12 +63,18 @@ STRICT = {
     "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$",
     "phone": r"^(?:\+|00)[0-9][\x20().0-9-]+[0-9]$",
 }
-GAZETTEER = {
-    "email": r"(?i)(?:\.|dot) ?(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|pl|ch|at|be|us|ca|example)$",
-    "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-2][0-3])\.",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
-    "phone": r"^\(?(?:0[1-9]|[2-9][0-9]{2}|\+[1-9]|00[1-9])",
-}
+# Fixed values of the gazetteers: endings of host names, ranges of the first four digits of cards by issuer, networks that
+# no public host is in (first and last address, as numbers of the first three parts), and calling codes.
+ENDINGS = """com org net edu gov mil int info biz name pro io ai app dev co me tv cc xyz online site shop blog cloud tech store
+ac ad ae ar at au az ba be bg bo br by ca ch ci cl cm cn cr cu cy cz de dk do dz ec ee eg es eu fi fr ge gh gr gt hk hr hu id ie il
+in iq ir is it jo jp ke kr kw kz lb li lk lt lu lv ly ma md mk mt mx my ng nl no np nz om pa pe ph pk pl pt py qa ro rs ru sa se sg
+si sk sn su sv th tn tr tw ua ug uk us uy uz ve vn za zw example""".split()
+ISSUERS = ((4000, 4999), (5100, 5599), (2221, 2720), (3400, 3499), (3700, 3799), (6011, 6011), (6440, 6599), (6200, 6299),
+           (3528, 3589), (3000, 3059), (3600, 3699), (3800, 3999), (5000, 5099), (5600, 5899), (6304, 6304), (6759, 6763))
+RESERVED = ((0, 0, 0, 0, 255, 255), (127, 0, 0, 127, 255, 255), (169, 254, 0, 169, 254, 255), (192, 0, 2, 192, 0, 2),
+            (198, 51, 100, 198, 51, 100), (203, 0, 113, 203, 0, 113), (224, 0, 0, 255, 255, 255))
+CALLING = r"^(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-8]|2[2-6][0-9]|29[0-9]|35[0-9]|37[0-9]|38[0-9]|42[0-3]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|85[0-6]|88[06]|96[0-8]|97[0-7]|99[2-8])"
+NATIONAL = r"^\(?(?:0[1-9]|[2-9][0-9]{2}\)?[\x20./-])"
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|kontakt|courriel|correo)\W*\w{0,8}\W*$",
     "ip": r"(?i)(?:\bip\b|address|adresse|host|server|login|from)\W*\w{0,8}\W*$",
@@ -79,22 +91,17 @@ CONTEXT = 40
 LABELERS = ("strict", "gazetteer", "context")
 
 
-def _spans(text: Column, pattern: str, needs: str) -> Column:
-    """All matches with their places: the gaps between them come from a split by the same pattern."""
+def _pieces(text: Column, pattern: str, needs: str) -> Column:
+    """All matches in order with the length of the gap before each and its last characters. One more piece, without a match,
+    is what comes after the last."""
     steps = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(needs)), found).otherwise(empty)
+    pieces = F.transform(
+        steps, lambda x: F.struct(F.length(x["gap"]).alias("skipped"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"))
+    )
+    empty = F.array().cast("array<struct<skipped:int,hit:string,before:string>>")
+    return F.when(F.rlike(text, F.lit(needs)), pieces).otherwise(empty)
 
 
 def _digits(x: Column) -> Column:
@@ -120,53 +127,87 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def _labelled(text: Column, kind: str, spans: Column, base: bool) -> Column:
-    """Adds votes and shape to spans."""
+def _in_gazetteer(kind: str, hit: Column) -> Column:
+    """Vote of the gazetteer of a kind."""
+    if kind == "email":
+        return _vote(F.lower(F.regexp_extract(hit, "([A-Za-z]+)$", 1)).isin(ENDINGS), F.lit(False))
+    if kind == "card":
+        first = F.substring(_digits(hit), 1, 4).cast("int")
+        return _vote(_any(first.between(a, b) for a, b in ISSUERS), F.lit(True))
+    if kind == "ip":
+        a, b, c = (F.split_part(hit, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3))
+        network = a * 65536 + b * 256 + c
+        nobody = _any(network.between(x[0] * 65536 + x[1] * 256 + x[2], x[3] * 65536 + x[4] * 256 + x[5]) for x in RESERVED)
+        return _vote(F.coalesce(network.isNotNull() & ~nobody & (a <= 255), F.lit(False)), F.coalesce(nobody, F.lit(False)))
+    return _vote(F.rlike(hit, F.lit(CALLING)) | F.rlike(hit, F.lit(NATIONAL)), F.lit(False))
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
-    def one(s: Column) -> Column:
-        hit = s["hit"]
-        size = F.least(F.lit(CONTEXT), s["start"])
-        before = F.substring(text, s["start"] - size + 1, size)
-        if kind == "card":
-            strict = _vote(F.length(_digits(hit)).between(13, 19) & _luhn(hit), F.lit(True))
-        else:
-            strict = _vote(F.rlike(hit, F.lit(STRICT[kind])), F.lit(kind == "ip"))
-        known = F.rlike(hit, F.lit(GAZETTEER[kind]))
-        context = _vote(F.rlike(before, F.lit(CUES[kind])), F.rlike(before, F.lit(AGAINST[kind])))
-        return F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.lit(base).alias("base"),
-            strict.alias("strict"),
-            _vote(known, F.lit(kind == "card")).alias("gazetteer"),
-            context.alias("context"),
-            F.least(F.length(_digits(hit)), F.lit(20)).alias("digits"),
-            F.least(F.floor(F.length(hit) / 4), F.lit(10)).cast("int").alias("length"),
-        )
 
-    return F.transform(spans, one)
+def _by_kind(value: Callable[[str], Column]) -> Column:
+    out = F.when(F.col("kind") == KINDS[0], value(KINDS[0]))
+    for k in KINDS[1:]:
+        out = out.when(F.col("kind") == k, value(k))
+    return out
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document and kind the base spans and the wider candidates with their votes; written once, without the text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row per document with the pieces of all patterns; written once, without the texts. `row` tells documents with one id
+    apart."""
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
     text = F.col("text")
-    base = {
-        f"{k}_base": F.filter(_spans(text, BASE[k], NEEDS[k]), lambda s: _holds(k, s["hit"])) for k in KINDS
-    }
-    rows = rows.withColumns(base | {f"{k}_wide": _spans(text, WIDE[k], NEEDS[k]) for k in KINDS})
-
-    def free(s: Column) -> Column:
-        meets = [F.exists(F.col(f"{k}_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) for k in KINDS]
-        return ~(meets[0] | meets[1] | meets[2] | meets[3])
-
-    found = {
-        k: F.concat(
-            _labelled(text, k, F.col(f"{k}_base"), True), _labelled(text, k, F.filter(F.col(f"{k}_wide"), free), False)
+    found = [_pieces(text, p[k], NEEDS[k]).alias(f"{k}_{n}") for n, p in (("base", BASE), ("wide", WIDE)) for k in KINDS]
+    return written(rows.select("row", "doc_id", *found), "matches")
+
+
+def candidates(matches: DataFrame) -> DataFrame:
+    """One row per base span and wider candidate with its place, votes and shape; written once, without the words."""
+
+    def labelled(kind: str, base: bool) -> Column:
+        return F.transform(
+            f"{kind}_{'base' if base else 'wide'}",
+            lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), i.alias("i"), x["skipped"].alias("skipped"), x["hit"].alias("hit"), x["before"].alias("before")),
         )
-        for k in KINDS
-    }
-    return written(rows.select("doc_id", *[c.alias(k) for k, c in found.items()]), "candidates")
+
+    rows = matches.select("row", F.inline(F.concat(*[labelled(k, base) for base in (True, False) for k in KINDS])))
+    # all rows of a text in one place: every window below finds them there
+    rows = rows.filter("hit IS NOT NULL").repartition("row")
+    so_far = Window.partitionBy("row", "kind", "base").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("skipped") + F.length("hit")).over(so_far).cast("int"))
+    rows = rows.withColumn("start", F.col("end") - F.length("hit"))
+    hit = F.col("hit")
+    rows = rows.filter(~F.col("base") | _by_kind(lambda k: _holds(k, hit)))
+
+    text = Window.partitionBy("row")
+    earlier = text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    later = text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(earlier)
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(later)
+    rows = rows.withColumns({"reach": reach, "following": following})
+    taken = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("following") < F.col("end"), F.lit(False))
+    rows = rows.filter(F.col("base") | ~taken)
+
+    def strict(kind: str) -> Column:
+        if kind == "card":
+            return _vote(F.length(_digits(hit)).between(13, 19) & _luhn(hit), F.lit(True))
+        return _vote(F.rlike(hit, F.lit(STRICT[kind])), F.lit(kind == "ip"))
+
+    before = F.col("before")
+    return written(
+        rows.select(
+            "row", "kind", "base", "start", "end",
+            _by_kind(strict).alias("strict"),
+            _by_kind(lambda k: _in_gazetteer(k, hit)).alias("gazetteer"),
+            _by_kind(lambda k: _vote(F.rlike(before, F.lit(CUES[k])), F.rlike(before, F.lit(AGAINST[k])))).alias("context"),
+            F.least(F.length(_digits(hit)), F.lit(20)).alias("digits"),
+            F.least(F.floor(F.length(hit) / 4), F.lit(10)).cast("int").alias("length"),
+        ),
+        "candidates",
+    )
 
 
 def fit_labelers(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> dict[tuple[int, ...], float]:
@@ -199,21 +240,16 @@ def fit_labelers(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50
 FEATURES = [f"{x}_{v}" for x in LABELERS for v in ("yes", "no")] + [f"is_{k}" for k in KINDS] + ["n_digits", "n_length"]
 
 
-def _features(kind: Column, span: Column) -> dict[str, Column]:
-    out = {f"{x}_yes": (span[x] == 1).cast("double") for x in LABELERS}
-    out |= {f"{x}_no": (span[x] == -1).cast("double") for x in LABELERS}
-    out |= {f"is_{k}": (kind == k).cast("double") for k in KINDS}
-    return out | {"n_digits": span["digits"] / 20.0, "n_length": span["length"] / 10.0}
+def _features() -> dict[str, Column]:
+    out = {f"{x}_yes": (F.col(x) == 1).cast("double") for x in LABELERS}
+    out |= {f"{x}_no": (F.col(x) == -1).cast("double") for x in LABELERS}
+    out |= {f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS}
+    return out | {"n_digits": F.col("digits") / 20.0, "n_length": F.col("length") / 10.0}
 
 
 def fit_classifier(found: DataFrame) -> tuple[dict[str, float], float] | None:
     """Coefficients and intercept of the span classifier, or None without candidates."""
-    every = F.concat(*[F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("s"))) for k in KINDS])
-    counted = (
-        found.select(F.explode(every).alias("c"))
-        .groupBy("c.kind", *[F.col(f"c.s.{x}").alias(x) for x in (*LABELERS, "digits", "length")])
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
+    counted = found.groupBy("kind", *LABELERS, "digits", "length").agg(F.count(F.lit(1)).cast("double").alias("n"))
     counted = written(counted, "votes")  # at most a few thousand combinations
     patterns: dict[str, list[tuple[tuple[int, ...], float]]] = {}
     for r in counted.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")).orderBy("kind", *LABELERS).collect():
@@ -224,7 +260,7 @@ def fit_classifier(found: DataFrame) -> tuple[dict[str, float], float] | None:
     posterior = found.sparkSession.createDataFrame(soft, "kind string, strict int, gazetteer int, context int, q double")
     rows = counted.join(posterior, ["kind", *LABELERS])
     rows = rows.select(
-        *[c.alias(n) for n, c in _features(F.col("kind"), F.struct(*LABELERS, "digits", "length")).items()],
+        *[c.alias(n) for n, c in _features().items()],
         F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("q")).alias("w")),
                           F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("q"))).alias("w")))).alias("x"),
     ).select(*FEATURES, "x.label", F.col("x.w").alias("weight"))
@@ -235,28 +271,32 @@ def fit_classifier(found: DataFrame) -> tuple[dict[str, float], float] | None:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Counts and digest of the base spans of every document, and all spans."""
-    found = candidates(docs, id_col, text_col)
+    matches = _matches(docs, id_col, text_col)
+    found = candidates(matches)
     model = fit_classifier(found)
-
-    def score(kind: str, s: Column) -> Column:
-        if model is None:
-            return F.lit(0.0)
+    score: Column = F.lit(0.0)
+    if model is not None:
         weights, intercept = model
         logit = F.lit(intercept)
-        for name, value in _features(F.lit(kind), s).items():
+        for name, value in _features().items():
             logit = logit + F.lit(weights[name]) * value
-        return 1.0 / (1.0 + F.exp(-logit))
+        score = 1.0 / (1.0 + F.exp(-logit))
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    span = F.struct(place.alias("place"), "start", "end", "kind")
+    kept = found.filter(F.col("base") | (score >= threshold))
+    spans = kept.groupBy("row").agg(
+        *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS],
+        F.sort_array(F.collect_list(F.when(F.col("base"), span))).alias("base"),
+        F.sort_array(F.collect_list(span)).alias("all"),
+    )
 
-    def listed(kind: str, spans: Column) -> Column:
-        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-        return F.transform(ordered, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+    def listed(spans: str) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
-    base = {k: F.filter(F.col(k), lambda s: s["base"]) for k in KINDS}
-    kept = {k: F.filter(F.col(k), lambda s: s["base"] | (score(k, s) >= threshold)) for k in KINDS}
-    joined = F.concat_ws(",", F.concat(*[listed(k, base[k]) for k in KINDS]))
-    return found.select(
+    out = matches.select("row", "doc_id").join(spans, "row", "left")
+    return out.select(
         "doc_id",
-        *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(joined, 256).alias("base_sha256"),
-        F.concat_ws(",", F.concat(*[listed(k, kept[k]) for k in KINDS])).alias("spans"),
+        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(F.coalesce(listed("base"), F.lit("")), 256).alias("base_sha256"),
+        F.coalesce(listed("all"), F.lit("")).alias("spans"),
     )

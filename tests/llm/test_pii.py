@@ -1,10 +1,13 @@
 import hashlib
 import random
 import re
+import time
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from panelforge.llm.pii import fit_labelers, personal_data
+from panelforge.llm.pii import WIDE, _in_gazetteer, _matches, candidates, fit_labelers, personal_data
 from tests.llm.conftest import none_first
 
 PLAIN = {
@@ -90,6 +93,57 @@ def test_long_runs_take_linear_time(spark):
     assert len(got) == 5 and all(r.n_card == 0 and r.n_email == 0 and r.n_phone == 0 for r in got)
 
 
+def test_many_matches_in_one_text(spark):
+    """A million numbers: time that grows with their square would be hours."""
+    rows = [(1, "7 x 12.5.3.4, " * 250_000 + "write to a@b.org"), (2, "1.2.3.4")]
+    started = time.monotonic()
+    got = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - started < 120
+    assert (got[1].n_ip, got[1].n_email, got[2].n_ip) == (250_000, 1, 1)
+    assert got[1].base_sha256 == next(expected(rows))[0][5]
+
+
+def test_wider_candidates_beside_base_spans(spark):
+    """Free ones only, whatever the order and the kinds of the spans around them."""
+    rng = random.Random(9)
+    pieces = ["4111 1111 1111 1111", "4111.1111.1111.1111", "555-123-4567", "10.0.0.1", "+1 555 123 4567", "a@b.co", " ", " ", ",", "1"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(30)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs)
+    found = candidates(_matches(docs, "doc_id", "text")).collect()
+    base = defaultdict(list)
+    for r in found:
+        if r.base:
+            base[r.row].append((r.start, r.end))
+    for r in found:
+        if not r.base:
+            assert not any(a < r.end and r.start < b for a, b in base[r.row])
+    places = defaultdict(set)
+    for r in found:
+        if not r.base:
+            places[r.row].add((r.kind, r.start, r.end))
+    ids = {r.row: r.doc_id for r in _matches(docs, "doc_id", "text").select("row", "doc_id").collect()}
+    text = dict(rows)
+    for row, spans in base.items():
+        want = {
+            (k, m.start(), m.end()) for k, p in WIDE.items() for m in re.finditer(p, text[ids[row]])
+            if not any(a < m.end() and m.start() < b for a, b in spans)
+        }
+        assert places[row] == want
+
+
+def test_gazetteers(spark):
+    rows = {
+        "email": [("a@b.com", 1), ("a@b.de", 1), ("a@b.qqq", 0), ("a at b dot org", 1)],
+        "ip": [("8.8.8.8", 1), ("127.0.0.1", -1), ("203.0.113.9", -1), ("240.1.1.1", -1), ("300.1.1.1", 0)],
+        "card": [("4111 1111 1111 1111", 1), ("2221 0000 0000 0009", 1), ("9999 1111 1111 1111", -1)],
+        "phone": [("+49 30 123456", 1), ("+210 123 4567", 0), ("0301 123-4567", 1), ("555-123-4567", 1), ("12 345 6789", 0)],
+    }
+    for kind, cases in rows.items():
+        df = spark.createDataFrame([(t,) for t, _ in cases], "hit string").select("hit", _in_gazetteer(kind, F.col("hit")).alias("vote"))
+        assert [(r.hit, r.vote) for r in df.collect()] == cases
+
+
 def test_no_rows(nothing):
     assert personal_data(nothing).count() == 0
 
