@@ -1,6 +1,6 @@
 """Quality classifier: a convolutional network over bytes, in numpy.
 
-Network. Bytes are embedded; learned filters of `WIDTH` bytes slide over the whole text with a step of `STEP`. The text is
+Network. Bytes are embedded; learned filters of `WIDTH` bytes slide over the whole text, byte by byte (`STEP`). The text is
 cut into chunks of `CHUNK` bytes that overlap by the width of a filter, so that no window is lost; each filter is
 max-pooled inside each chunk. The chunk maxima are combined over the document by their mean and their maximum, and one
 logistic unit turns these into a probability. The whole text is read, whatever its length.
@@ -12,7 +12,7 @@ is followed. Rows with crc32(doc_id) mod 5 = 0 are never learned from. Only the
 Scoring runs in every task over blocks of rows with the weights (a few kilobytes) broadcast. Memory: one block.
 
 Defined cases: NULL and empty texts have one empty chunk and get the score of that; repeated rows get a row each; several
-labels of one id count by their mean; a NULL id is never held out and never learned from; without labels every score is
+labels of one id count by their mean; of an id that repeats in the documents as many rows as fit the sample are learned from; a NULL id is never held out and never learned from; without labels every score is
 0.5, with labels of one kind their smoothed share; an empty table gives an empty result. Other columns may have any name.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from panelforge.core.scale import written
 from panelforge.llm.words import text_blocks
 
-WIDTH, STEP, CHUNK, EMBED, FILTERS = 8, 2, 512, 8, 24
+WIDTH, STEP, CHUNK, EMBED, FILTERS = 8, 1, 512, 8, 24
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 48 << 20
 #: Passes over the sample: as many as make STEPS updates, within these bounds.
@@ -165,6 +165,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     known = written(known, "sample")  # at most `rows` small rows
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(known), "id")
+    # an id may repeat without bound in the documents: no more rows than that either, whatever the copies
+    found = found.orderBy("order", "id", F.xxhash64("text")).limit(rows)
     upto = F.sum(F.octet_length("text")).over(Window.orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0))
     return found.withColumn("upto", upto).filter((F.col("upto") <= size) | (F.col("upto") == F.octet_length("text"))).select("text", "y")
 

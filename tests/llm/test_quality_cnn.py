@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm.quality_cnn import CHUNK, WIDTH, STEP, _gradient, _initial, chunk_codes, quality_scores, scores
+from panelforge.llm.quality_cnn import CHUNK, STEP, WIDTH, _gradient, _initial, chunk_codes, chunk_maxima, quality_scores, scores, training_sample
 
 
 def test_held_out_rows_are_told_apart(spark, sf_dir):
@@ -45,7 +45,7 @@ def test_messy_rows(spark, messy, nothing):
 def test_chunks_cover_the_whole_text():
     """A pattern anywhere, also across the edge of two chunks, raises the score of a detector alike."""
     w = _initial(np.random.default_rng(0), 0.5)
-    texts = [b" " * at + b"PATTERN!" + b" " * (3000 - at) for at in range(0, 2900, STEP)]
+    texts = [b" " * at + b"PATTERN!" + b" " * (3000 - at) for at in range(2900)]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     codes, first = chunk_codes(np.frombuffer(b"".join(texts), np.uint8), offsets)
     seen = [codes[first[i] : first[i + 1]] for i in range(len(texts))]
@@ -78,3 +78,20 @@ def test_gradient_by_differences():
                 found.append(loss(w))
             flat[i] = keep
             assert np.ravel(g[k])[i] == pytest.approx((found[0] - found[1]) / 2e-3, abs=2e-3)
+
+
+def test_every_offset_counts_alike():
+    """A byte put in front moves every window, and the network sees them all the same: in a text of one chunk the maxima stay
+    as they are."""
+    w = _initial(np.random.default_rng(3), 0.5)
+    body = np.random.default_rng(4).integers(97, 123, 300).astype(np.uint8)
+    texts = [np.concatenate([np.full(n, 32, np.uint8), body, np.full(20 - n, 32, np.uint8)]) for n in range(8, 13)]
+    found = [chunk_maxima(chunk_codes(t, np.array([0, len(t)]))[0], w) for t in texts]
+    for f in found[1:]:
+        assert np.allclose(f, found[0], atol=1e-6)
+
+
+def test_a_hot_id_does_not_swell_the_sample(spark):
+    docs = spark.range(5000).selectExpr("7 AS doc_id", "concat('text ', id) AS text").unionByName(spark.createDataFrame([(8, "other")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in (7, 8)], "doc_id long, quality int")
+    assert training_sample(docs, labels, "quality", "doc_id", "text", 50, 1 << 20).count() <= 50
