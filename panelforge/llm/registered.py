@@ -45,7 +45,42 @@ def add_to(queries: dict, oracles: dict) -> None:
 
 @_query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+ORACLES["op2_decontamination"] = r"""
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS number FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0)),
+place AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+        FROM low, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+occurs AS (SELECT doc_id, i, k, item FROM place JOIN win USING (k, words)),
+hits AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS at FROM occurs) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM occurs) GROUP BY 1),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM low),
+iw AS (SELECT item, number, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM item),
+runs AS (
+  SELECT doc_id, item, min(i) AS i, count(*) AS n
+  FROM (SELECT doc_id, item, number, i, j, i - row_number() OVER (PARTITION BY doc_id, number, i - j ORDER BY i) AS run
+        FROM dw JOIN iw USING (word))
+  GROUP BY doc_id, item, number, j - i, run),
+longest AS (
+  SELECT doc_id, n, i - 1 AS at, item FROM runs
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i, item) = 1)
+SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated,
+       coalesce(longest.n, 0) AS longest, longest.at AS longest_at, longest.item AS longest_item
+FROM low LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""
 
 
 @_query
@@ -89,6 +124,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(_table(spark, sf_dir, "pages"))
 
 
+ORACLES["op8_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                               ((('0x' || substr(h, 5 * (k // 4) + 1, 5))::INTEGER >> (15 - 5 * (k % 4))) & 31) + 1, 1)
+                        for k in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
 @_query
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ page_id is the response; the others become revisit records that name it in WARC-
 Records are plain strings; Spark's text writer puts the two line breaks after each and compresses the files, so archives
 land in any store Spark can write to. Files are kept near `file_bytes` before compression.
 
-Reading. Each archive is decompressed and cut by Content-Length in one task; payload digests are computed again and must
+Reading. Each archive is decompressed member by member and cut by Content-Length in one task; payload digests are computed again and must
 match the header.
 
 Assembly. Records meet on the identifier of the response (their own, or the one they are concurrent to), and each capture
@@ -155,6 +155,17 @@ def parse_records(data: bytes) -> Iterator[dict]:
         yield {"head": head, "block": block}
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file, one after the other: ordinary archives have one for each record, Spark's text writer makes
+    one of the whole file."""
+    while data:
+        inflate = zlib.decompressobj(31)
+        yield inflate.decompress(data)
+        if not inflate.eof:
+            raise ValueError("an archive ends inside a gzip member")
+        data = inflate.unused_data.lstrip(b"\0")  # files may be padded
+
+
 def _row(record: dict, with_payload: bool) -> dict:
     head, block = record["head"], record["block"]
     kind = head["warc-type"]
@@ -194,7 +205,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             for content in batch.column(0):
                 rows: list[dict] = []
                 size = 0
-                for record in parse_records(zlib.decompress(content.as_py(), 31)):
+                for record in (r for part in members(content.as_py()) for r in parse_records(part)):
                     rows.append(_row(record, with_payload))
                     size += len(record["block"])
                     if size > 1 << 20:
@@ -235,5 +246,7 @@ def roundtrip(pages: DataFrame) -> DataFrame:
     )
     rows = written(rows, "captures")
     first = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).distinct()
-    found = rows.join(first, "refers_id", "left")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses refer to nothing and stay out of the join
+    found = rows.filter("record_type <> 'response'").join(first, "refers_id", "left")
+    whole = found.unionByName(rows.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")))
+    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -92,3 +92,34 @@ def test_damage_is_noticed(spark, pages, tmp_path):
     (path / f".{file.name}.crc").unlink(missing_ok=True)
     with pytest.raises(Exception, match="does not match its digest"):
         read_archives(spark, str(path)).count()
+
+
+@pytest.mark.parametrize("kind", ["whole", "record", "mixed"])
+def test_archives_of_many_members(spark, pages, tmp_path, kind):
+    """One member per record, as other writers make them, or several records in some members: no record is lost."""
+    written_to, path = tmp_path / "warc", tmp_path / "other"
+    write_archives(pages, str(written_to))
+    path.mkdir()
+    for n, f in enumerate(sorted(written_to.glob("*.gz"))):
+        data, cuts, at = gzip.decompress(f.read_bytes()), [0], 0
+        for r in parse_records(data):
+            at = data.index(b"\r\n\r\n", at) + 4 + len(r["block"]) + 4
+            cuts.append(at)
+        cuts = {"whole": [0, len(data)], "record": cuts, "mixed": [*cuts[:5], *cuts[5:-1:3], len(data)]}[kind]
+        parts = [gzip.compress(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        (path / f"{n}.warc.gz").write_bytes(b"".join(parts) + (b"\0" * 7 if kind == "mixed" else b""))
+
+    def rows(folder):
+        return sorted((r.record_id, r.type, r.payload or "") for r in read_archives(spark, str(folder)).collect())
+
+    assert rows(path) == rows(written_to) and len(rows(path)) == 3 * pages.count()
+
+
+def test_a_cut_off_archive_is_noticed(spark, pages, tmp_path):
+    path = tmp_path / "warc"
+    write_archives(pages.filter("page_id = 9006"), str(path))
+    file = max(path.glob("*.gz"), key=lambda f: f.stat().st_size)
+    file.write_bytes(file.read_bytes()[:-20])
+    (path / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="ends inside"):
+        read_archives(spark, str(path)).count()
