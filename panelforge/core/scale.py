@@ -116,6 +116,25 @@ def value_positions(
     )
 
 
+def weighted_median(df: DataFrame, value: str, weight: str, buckets: int | None = None) -> DataFrame:
+    """One row: the smallest value up to which at least half of the weight lies. Equal values collapse first, a sketch cuts
+    them into ranges, and only the range in which half of the weight is passed is ordered."""
+    buckets = buckets or range_buckets(df.sparkSession)
+    rows = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
+    sums = rows.groupBy(F.col(value).cast("double").alias("_v")).agg(F.sum(weight).alias("_w"))
+    sketch = rows.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets).alias("b"))
+    ranged = bucket_of(sums.withColumn("_bounds", sketch.scalar()), "_v", "_bounds", buckets, "_range")
+    per = ranged.groupBy("_range").agg(F.sum("_w").alias("_rw"))  # one row per range
+    every = Window.partitionBy(F.lit(0))
+    upto = F.sum("_rw").over(every.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    crossed = per.select("_range", (upto - F.col("_rw")).alias("_before"), upto.alias("_upto"), (F.sum("_rw").over(every) / 2).alias("_half"))
+    crossed = crossed.filter((F.col("_before") < F.col("_half")) & (F.col("_upto") >= F.col("_half")))
+    inside = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = join_checked(ranged, crossed, ["_range"], "inner").withColumn("_sum", F.col("_before") + F.sum("_w").over(inside))
+    # the last value of the range stands in where rounding leaves its sum short of one half
+    return placed.agg(F.coalesce(F.min(F.when(F.col("_sum") >= F.col("_half"), F.col("_v"))), F.max("_v")).alias(value))
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,

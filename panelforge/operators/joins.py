@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +22,10 @@ class NoMatchError(ValueError):
     """A source met no row of the panel."""
 
 
+#: Inside `attach_external` the report judges the matches of every family, not each join.
+_JUDGED_LATER: ContextVar[bool] = ContextVar("judged_later", default=False)
+
+
 class NoOverlapError(ValueError):
     """A source has no year in common with the panel."""
 
@@ -47,28 +54,39 @@ def attach_many_to_one(
     drop: Sequence[str] = (),
     check: bool = True,
     family: str = "source",
-) -> tuple[DataFrame, float | None]:
-    """Left join that cannot change the row count: the table keeps one row per key, its columns must be new, and the
-    match rate is measured (0 fails, below one half should be looked at)."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """Left join that cannot change the row count: the table keeps one row per key and its columns must be new. Runs no job.
+    With `check` the query itself fails if no row finds a match, and the second result is the match rate, a row that is
+    computed when it is asked for (`judge_match_rate` warns below one half)."""
     require_columns(table, keys)
     table = table.drop(*[c for c in drop if c in table.columns])
     new = [c for c in table.columns if c not in keys]
     require_new(df, new)
     single = _one_row_per_key(table, keys).withColumn("_hit", F.lit(1))
-    out = join_checked(df, single, list(keys))
-    rate = None
-    if check:
-        rate = match_rate(out, "_hit").first()["match_rate"]
-        if not rate:
-            raise NoMatchError(f"{family}: no row of the panel found a match on {list(keys)}")
-    return out.drop("_hit"), rate
+    rate = match_rate(join_checked(df, single, list(keys)), "_hit") if check else None
+    if check and not _JUDGED_LATER.get():
+        df = require_match(df, table, keys, family)
+    return join_checked(df, single, list(keys)).drop("_hit"), rate
+
+
+def judge_match_rate(rate: DataFrame, family: str = "source") -> float | None:
+    """The match rate as a number: without any match an error, below one half a warning, NULL without rows."""
+    return _judged(family, rate.first()["match_rate"])
+
+
+def _judged(family: str, rate: float | None) -> float | None:
+    if rate == 0:
+        raise NoMatchError(f"{family}: no row of the panel found a match")
+    if rate is not None and rate < MIN_MATCH_RATE:
+        warnings.warn(f"{family}: only {rate:.1%} of the rows found a match", stacklevel=3)
+    return rate
 
 
 def require_match(df: DataFrame, table: DataFrame, keys: Sequence[str], family: str) -> DataFrame:
-    """The rows of `df`; the query fails if they have no key at all in common with the table. The keys are compared as
-    distinct values, when the result is computed."""
-    common = df.select(*keys).distinct().join(table.select(*keys).distinct(), list(keys), "left_semi")
-    met = common.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """The rows of `df`; the query fails if they have no key at all in common with the table. One match is enough, so the
+    search for it, a part of the query, ends at the first."""
+    found = df.select(*keys).join(table.select(*keys), list(keys), "left_semi").limit(1)
+    met = found.agg(F.count(F.lit(1)).alias("n")).scalar()
     message = F.lit(f"{family}: no row of the panel found a match on {list(keys)}")
     return df.withColumn("_met", met).filter(F.assert_true(F.col("_met") > 0, message).isNull()).drop("_met")
 
@@ -246,41 +264,72 @@ FAMILY_ORDER = (
 )
 
 
-def _years_overlap(panel: DataFrame, time: str, table: DataFrame, day: str, lag: int = 0) -> bool:
+def _common_year(panel: DataFrame, time: str, table: DataFrame, day: str, lag: int = 0) -> Column:
+    """Whether both have a year in common, found when the report is computed."""
     a = panel.select((F.year(time) - lag).alias("y")).distinct()
     b = table.select(F.year(day).alias("y")).distinct()
-    return not a.join(b, "y", "left_semi").isEmpty()
+    return a.join(b, "y", "left_semi").agg((F.count(F.lit(1)) > 0).alias("common")).scalar()
 
 
 def attach_external(
     panel: DataFrame, time: str, families: Sequence[Family], order: Sequence[str] = FAMILY_ORDER
 ) -> tuple[DataFrame, DataFrame]:
-    """Attaches the families in the fixed order. Returns the panel and a report with state, number of columns and reason
-    per family: an absent source or one without a common year is skipped, a source without any match is an error."""
+    """Attaches the families in the fixed order and runs no job. Returns the panel and a report with state, number of columns,
+    match rate (rows with any value of the family) and reason per family, computed in one aggregate over the panel when it is
+    asked for. An absent source adds no columns; one without a common year adds empty ones, which the report counts as
+    none. `judge_external` raises for a source without any match and warns below one half."""
     known = {f.name: f for f in families}
     unknown = [n for n in known if n not in order]
     if unknown:
         raise ValueError(f"unknown families: {unknown}")
-    out, report = panel, []
-    for name in order:
-        if name not in known:
-            continue
-        f = known[name]
-        if f.attach is None:
-            report.append((name, "skipped", 0, "no source"))
-            continue
-        if f.days is not None and not _years_overlap(panel, time, *f.days, f.year_lag):
-            report.append((name, "skipped", 0, "no common year"))
-            continue
-        before = len(out.columns)
-        try:
-            out = f.attach(out)
-        except NoOverlapError as gap:
-            report.append((name, "skipped", 0, str(gap)))
-            continue
-        report.append((name, "attached", len(out.columns) - before, ""))
     spark: SparkSession = panel.sparkSession
-    return out, spark.createDataFrame(report, "family string, state string, columns int, reason string")
+    out, rows = panel, []
+    left_for_later = _JUDGED_LATER.set(True)
+    try:
+        for name in order:
+            if name not in known:
+                continue
+            f = known[name]
+            if f.attach is None:
+                rows.append((name, [], None, "no source"))
+                continue
+            before = set(out.columns)
+            try:
+                out = f.attach(out)
+            except NoOverlapError as gap:
+                rows.append((name, [], None, str(gap)))
+                continue
+            common = None if f.days is None else _common_year(panel, time, *f.days, f.year_lag)
+            rows.append((name, [c for c in out.columns if c not in before], common, ""))
+    finally:
+        _JUDGED_LATER.reset(left_for_later)
+
+    def any_value(columns: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
+
+    counted = out.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[(F.count_if(any_value(new)) if new else F.lit(0).cast("long")).alias(f"_m{i}") for i, (_, new, _, _) in enumerate(rows)],
+    )
+    report = []
+    for i, (name, new, common, reason) in enumerate(rows):
+        used = F.lit(bool(new)) if common is None else F.lit(bool(new)) & common
+        report.append(
+            F.struct(
+                F.lit(name).alias("family"),
+                F.when(used, "attached").otherwise("skipped").alias("state"),
+                F.when(used, F.lit(len(new))).otherwise(F.lit(0)).alias("columns"),
+                F.when(used, safe_div(f"_m{i}", "_rows")).alias("match_rate"),
+                F.when(used, F.lit("")).otherwise(F.lit(reason or "no common year")).alias("reason"),
+            )
+        )
+    schema = "family string, state string, columns int, match_rate double, reason string"
+    return out, counted.select(F.inline(F.array(*report))) if report else spark.createDataFrame([], schema)
+
+
+def judge_external(report: DataFrame) -> dict[str, float | None]:
+    """Match rates of the attached families: one without any match is an error, one below one half a warning."""
+    return {r["family"]: _judged(r["family"], r["match_rate"]) for r in report.collect() if r["state"] == "attached"}
 
 
 def seam_merge(archive: DataFrame, forecast: DataFrame, keys: Sequence[str], flag: str = "is_forecast") -> DataFrame:

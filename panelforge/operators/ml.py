@@ -264,6 +264,26 @@ def ablation_verdict(scores: DataFrame, noise: float = 0.0, lower_is_better: boo
     return per.withColumn("verdict", verdict)
 
 
+def shift_verdict(oof: DataFrame, is_test: str, weight: str) -> DataFrame:
+    """One row from out-of-fold probabilities of being a test row: AUC, effective size of the train rows weighted by them, its
+    share of the rows, and what to make of it."""
+    w = F.col(weight)
+    ess = oof.filter(F.col(is_test) == 0).agg(
+        F.struct(
+            safe_div(F.sum(w) * F.sum(w), F.sum(w * w)).alias("ess"), F.count(F.lit(1)).alias("n")
+        ).alias("e")
+    ).scalar()
+    score = auc(oof, is_test, weight).select("auc").withColumn("_e", ess)
+    ratio = safe_div("_e.ess", "_e.n")
+    verdict = (
+        F.when(F.col("auc") < 0.6, "similar")
+        .when(F.col("auc") < 0.8, "moderate shift")
+        .when(ratio < 0.05, "severe shift, do not weight")
+        .otherwise("severe shift, weights usable")
+    )
+    return score.select("auc", F.col("_e.ess").alias("ess"), ratio.alias("ess_ratio"), verdict.alias("verdict"))
+
+
 def adversarial_validation(
     train: DataFrame,
     test: DataFrame,
@@ -297,21 +317,7 @@ def adversarial_validation(
             weights[j] += float(x) / folds
     oof = cut_lineage(reduce(DataFrame.unionByName, parts))
     mine = oof.filter(F.col("_is_test") == 0)
-    w = F.col("weight")
-    ess = mine.agg(
-        F.struct(
-            safe_div(F.sum(w) * F.sum(w), F.sum(w * w)).alias("ess"), F.count(F.lit(1)).alias("n")
-        ).alias("e")
-    ).scalar()
-    score = auc(oof, "_is_test", "weight").select("auc").withColumn("_e", ess)
-    ratio = safe_div("_e.ess", "_e.n")
-    verdict = (
-        F.when(F.col("auc") < 0.6, "similar")
-        .when(F.col("auc") < 0.8, "moderate shift")
-        .when(ratio < 0.05, "severe shift, do not weight")
-        .otherwise("severe shift, weights usable")
-    )
-    one = score.select("auc", F.col("_e.ess").alias("ess"), ratio.alias("ess_ratio"), verdict.alias("verdict"))
+    one = shift_verdict(oof, "_is_test", "weight")
     top = train.sparkSession.createDataFrame(
         sorted(zip(shared, weights, strict=True), key=lambda p: -p[1]), "feature string, importance double"
     )

@@ -204,8 +204,9 @@ def mask_history(
     df: DataFrame, entity: str, columns: Sequence[str], share: float, seed: int = 0, cold: str = "cold"
 ) -> DataFrame:
     """Hides history columns of a seeded share of entities, to train for entities without history. The choice is a
-    function of entity and seed, so a recomputed task makes the same one."""
-    hit = F.pmod(F.xxhash64(F.col(entity), F.lit(seed)), F.lit(10000)) < F.lit(int(round(share * 10000)))
+    function of entity and seed (the first 32 bits of an MD5 any engine can compute), so a recomputed task makes the same one."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string")))
+    hit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10000 < F.lit(int(round(share * 10000)))
     marked = df.withColumn("_hit", hit)
     hidden = {c: F.when(~F.col("_hit"), F.col(c)) for c in columns}
     return marked.withColumns({**hidden, cold: F.col("_hit").cast("int")}).drop("_hit")

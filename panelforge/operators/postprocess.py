@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.exprs import safe_div
-from panelforge.core.scale import cut_lineage, day_table, exact_quantiles, join_checked
+from panelforge.core.scale import bucket_of, cut_lineage, day_table, exact_quantiles, join_checked, range_buckets
 from panelforge.operators.aggregates import two_way_effects
 from panelforge.operators.metrics import metric
 
@@ -43,7 +43,6 @@ def rescale_day_profile(
     factor: float,
     min_age: int = 7,
     min_rows: int = 60,
-    rounds: int = 25,
 ) -> DataFrame:
     """Adds (factor - 1) times the centred day effect of the log predictions. The effect is fitted on entities with
     enough rows, leaving out their first days."""
@@ -59,7 +58,7 @@ def rescale_day_profile(
     clean = marked.filter((F.col("_age") >= min_age) & (F.col("_n") >= min_rows)).select(
         entity, d.alias("_day"), "_lg"
     )
-    effects = two_way_effects(clean, entity, "_day", "_lg", rounds=rounds)
+    effects = two_way_effects(clean, entity, "_day", "_lg")
     joined = marked.withColumn("_day", d).join(day_table(effects), "_day", "left")
     joined = joined.withColumn("_e", F.coalesce("day_effect", F.lit(0.0)))
     centre = joined.agg(F.avg("_e").alias("c")).scalar()
@@ -293,44 +292,72 @@ def quantile_bin_offset(
 ) -> DataFrame:
     """The same correction by prediction quantile bin: each block's own quantile edges, the other blocks' residuals.
 
-    The driver reads the edges (blocks x bins numbers); rows of other blocks are binned by the asking block's edges.
+    Edges and predictions are merged once, in ranges of the prediction. Running sums over all rows, read at a block's edges,
+    give what all blocks have in each of its bins; its own part is taken off. A row's own bin is the number of its block's
+    edges so far. No row is copied for another block, and neither the plan nor the driver knows how many blocks there are.
     """
     names = {f"q{i}": i / bins for i in range(1, bins)}
-    edges = {r[block]: [r[n] for n in names] for r in exact_quantiles(df, pred, names, [block]).collect()}
-    mean_by_block = df.groupBy(block).agg(F.avg(residual).alias("_mr"))
-    # one row per block
-    rows = df.join(F.broadcast(mean_by_block), block).withColumn("_e", F.col(residual) - F.col("_mr")).drop("_mr")
+    buckets = range_buckets(df.sparkSession)
+    value = F.coalesce(F.col(pred).cast("double"), F.lit(float("-inf")))  # without a prediction: below all edges
+    sketch = F.percentile_approx(F.col(pred).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)
+    bounds = cut_lineage(df.agg(sketch.alias("_bounds")))  # one row
 
-    def bin_of(b) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[b]]), lambda e: e <= F.col(pred)))
+    def ranged(rows: DataFrame) -> DataFrame:
+        return bucket_of(rows.crossJoin(F.broadcast(bounds)), "_v", "_bounds", buckets, "_range")
 
-    asks = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col(block) != F.lit(b), F.struct(F.lit(b).alias("_for"), bin_of(b).alias("_bin")))
-                for b in edges
-            ]
-        )
-    )
-    table = (
-        rows.select(F.explode(asks).alias("a"), "_e")
-        .groupBy(F.col("a._for").alias(block), F.col("a._bin").alias("_bin"))
-        .agg(F.sum("_e").alias("s"), F.count("_e").alias("n"))
-        .withColumn("_d", F.col("s") / F.col("n") * F.col("n") / (F.col("n") + n0))
-        .select(block, "_bin", "_d")
+    quantiles = exact_quantiles(df, pred, names, [block])
+    edges = quantiles.select(block, F.posexplode(F.array(*[F.col(n) for n in names])).alias("_k", "_v")).filter("_v IS NOT NULL")
+    edges = cut_lineage(ranged(edges.withColumn("_k", F.col("_k") + 1)))
+    mean_by_block = df.groupBy(block).agg(F.avg(residual).alias("_mr"))
+    rows = join_checked(df.filter(F.col(block).isNotNull()), mean_by_block, [block])
+    rows = ranged(rows.withColumns({"_v": value, "_e": F.col(residual) - F.col("_mr")})).drop("_mr")
+
+    # a row's bin: its block's edges at or below it (an edge comes before the rows on it)
+    both = rows.withColumn("_k", F.lit(None).cast("int"))
+    both = both.unionByName(edges.select(*[c if c in edges.columns else F.lit(None).cast(t).alias(c) for c, t in both.dtypes]))
+    along = Window.partitionBy(block, "_range").orderBy("_v", F.col("_k").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    per_range = edges.groupBy(block, "_range").agg(F.max("_k").alias("_upto"))
+    # one row per range that has edges of the block
+    starts = per_range.select(block, F.col("_range").alias("_from"), "_upto")
+    placed = both.withColumn("_inside", F.max("_k").over(along)).filter(F.col("_k").isNull()).drop("_k")
+    ladder = starts.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("_from", "_upto"))).alias("_ladder"))
+    placed = join_checked(placed, ladder, [block])
+    before = F.array_max(F.transform(F.filter("_ladder", lambda x: x["_from"] < F.col("_range")), lambda x: x["_upto"]))
+    placed = placed.withColumn("_bin", F.coalesce("_inside", before, F.lit(0))).drop("_inside", "_ladder", "_range", "_v")
+    placed = cut_lineage(placed)
+    own = placed.groupBy(block, "_bin").agg(F.sum("_e").alias("_own_s"), F.count("_e").alias("_own_n"))
+
+    # what all blocks have below each edge
+    sums = rows.groupBy("_range", "_v").agg(F.sum("_e").alias("_s"), F.count("_e").alias("_n"))
+    merged = sums.withColumns({block: F.lit(None).cast(dict(df.dtypes)[block]), "_k": F.lit(None).cast("int")})
+    merged = merged.unionByName(edges.withColumns({"_s": F.lit(None).cast("double"), "_n": F.lit(None).cast("long")}))
+    below = Window.partitionBy("_range").orderBy("_v", F.col("_k").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    per = sums.groupBy("_range").agg(F.sum("_s").alias("_rs"), F.sum("_n").alias("_rn"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    ahead = F.sequence(F.lit(0), F.lit(buckets - 1))
+    every = df.sparkSession.range(1).select(F.explode(ahead).alias("_range")).join(per, "_range", "left")
+    offsets = every.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(o) for c, o in (("_rs", "_os"), ("_rn", "_on"))))
+    at = merged.withColumns({"_s": F.sum("_s").over(below), "_n": F.sum("_n").over(below)}).filter(F.col("_k").isNotNull())
+    at = join_checked(at, offsets, ["_range"]).select(
+        block, "_k", (F.coalesce("_s", F.lit(0.0)) + F.col("_os")).alias("_s"), (F.coalesce("_n", F.lit(0)) + F.col("_on")).alias("_n")
     )
-    own = F.lit(None).cast("int")
-    for b in edges:
-        own = F.when(F.col(block) == F.lit(b), bin_of(b)).otherwise(own)
-    joined = join_checked(df.withColumn("_bin", own), table, [block, "_bin"]).withColumn(
-        "_d", F.coalesce("_d", F.lit(0.0))
+    whole = per.agg(F.struct(F.sum("_rs").alias("s"), F.sum("_rn").alias("n")).alias("t")).scalar()
+    floor = mean_by_block.filter(F.col(block).isNotNull()).select(block, F.lit(0).alias("_k"), F.lit(0.0).alias("_s"), F.lit(0).cast("long").alias("_n"))
+    steps = floor.unionByName(at).withColumn("_t", whole)
+    upward = Window.partitionBy(block).orderBy("_k")  # `bins` rows
+    table = steps.select(
+        block,
+        F.col("_k").alias("_bin"),
+        (F.coalesce(F.lead("_s").over(upward), F.col("_t.s")) - F.col("_s")).alias("_all_s"),
+        (F.coalesce(F.lead("_n").over(upward), F.col("_t.n")) - F.col("_n")).alias("_all_n"),
     )
+    table = table.join(own, [block, "_bin"], "left").na.fill(0, ["_own_s", "_own_n"])
+    others = F.col("_all_n") - F.col("_own_n")
+    table = table.select(block, "_bin", F.when(others > 0, (F.col("_all_s") - F.col("_own_s")) / (others + n0)).otherwise(0.0).alias("_d"))
+    joined = join_checked(placed.drop("_e"), table, [block, "_bin"]).withColumn("_d", F.coalesce("_d", F.lit(0.0)))
     centre = joined.groupBy(block).agg(F.avg("_d").alias("_c"))
-    return (
-        joined.join(F.broadcast(centre), block)  # one row per block
-        .withColumn(out, F.col("_d") - F.col("_c"))
-        .drop("_bin", "_d", "_c")
-    )
+    return join_checked(joined, centre, [block]).withColumn(out, F.col("_d") - F.col("_c")).drop("_bin", "_d", "_c")
 
 
 def group_effects(df: DataFrame, group: str, residual: str, k: float = 200.0) -> DataFrame:

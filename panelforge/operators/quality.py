@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.exprs import safe_div
-from panelforge.core.scale import average_rank, cut_lineage, range_buckets, value_positions
+from panelforge.core.scale import average_rank, bucket_of, cut_lineage, range_buckets, value_positions
 from panelforge.functions.text import has_combining_dot
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -86,7 +86,7 @@ def monotone_columns(df: DataFrame, columns: Sequence[str], order_by: str, bucke
     ).cast("double")
     rows = df.select(key.alias("_k"), *[F.col(c).cast("double").alias(c) for c in columns])
     bounds = rows.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 2000).alias("b")).scalar()
-    cut = rows.withColumn("_b", bounds).withColumn("_r", F.size(F.filter("_b", lambda b: b < F.col("_k")))).drop("_b")
+    cut = bucket_of(rows.withColumn("_b", bounds), "_k", "_b", buckets, "_r")
     place = ["_k", *columns]
     w = Window.partitionBy("_r").orderBy(*place)
     stepped = cut.withColumns({f"_d_{c}": F.col(c) - F.lag(c).over(w) for c in columns})

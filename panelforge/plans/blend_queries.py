@@ -77,15 +77,69 @@ def hill(t: Tables) -> DataFrame:
     return _as_table(t, BL.hill_climb_weights(members(t), MEMBERS, "truth"))
 
 
-@query("hill_climb_mae_stable", "B02")
+def _climb(name: str, key: str, scored: str) -> str:
+    """Recursive climb by 0.01 on the mean absolute error, one for every `key`. `scored` turns the errors (key, r, mae, fold) of
+    a candidate into its score `sc`."""
+    blend = " + ".join(f"w{k} / (w2 + w3 + w4) * m{k}" for k in (2, 3, 4))
+    return f"""{name}0 AS (
+      SELECT {key}, r AS b, sc AS s FROM (
+        SELECT {key}, r, {scored} AS sc FROM (
+          SELECT {key}, r, fold, avg(abs(truth - CASE r WHEN 1 THEN m2 WHEN 2 THEN m3 ELSE m4 END)) AS mae, count(*) AS n
+          FROM {name}_rows, (VALUES (1), (2), (3)) v(r) GROUP BY {key}, r, fold) GROUP BY {key}, r)
+      QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY sc, r) = 1),
+    {name} AS (
+      SELECT {key}, 0 AS it, b, 0 AS c2, 0 AS c3, 0 AS c4, s FROM {name}0
+      UNION ALL
+      SELECT {key}, it + 1, b, c2 + (r = 1)::INT, c3 + (r = 2)::INT, c4 + (r = 3)::INT, sc FROM (
+        SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sc, r) AS place FROM (
+          SELECT {key}, it, b, c2, c3, c4, r, s, {scored} AS sc FROM (
+            SELECT {key}, it, b, c2, c3, c4, r, s, fold, avg(abs(truth - ({blend}))) AS mae, count(*) AS n FROM (
+              SELECT *, (b = 1)::INT + 0.01::DOUBLE * (c2 + (r = 1)::INT) AS w2, (b = 2)::INT + 0.01::DOUBLE * (c3 + (r = 2)::INT) AS w3,
+                (b = 3)::INT + 0.01::DOUBLE * (c4 + (r = 3)::INT) AS w4
+              FROM {name}, (VALUES (1), (2), (3)) v(r) WHERE it < 200) JOIN {name}_rows USING ({key})
+            GROUP BY {key}, it, b, c2, c3, c4, r, s, fold)
+          GROUP BY {key}, it, b, c2, c3, c4, r, s))
+      WHERE place = 1 AND sc < s),
+    {name}_end AS (
+      SELECT {key}, (b = 1)::INT + 0.01::DOUBLE * c2 AS w2, (b = 2)::INT + 0.01::DOUBLE * c3 AS w3, (b = 3)::INT + 0.01::DOUBLE * c4 AS w4
+      FROM {name} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY it DESC) = 1)"""
+
+
+@query(
+    "hill_climb_mae_stable",
+    "B02",
+    f"""WITH RECURSIVE {MEM}, h_rows AS (SELECT 0 AS one, fold, truth, m2, m3, m4 FROM cov), {_climb('h', 'one', 'avg(mae) + 0.5 * stddev_pop(mae)')}
+    SELECT unnest(['m2', 'm3', 'm4']) AS member, round(unnest([w2, w3, w4]) / (w2 + w3 + w4), 6) AS weight FROM h_end""",
+)
 def hill_mae(t: Tables) -> DataFrame:
-    """Rows-only: climbing on MAE with a penalty on the spread over folds; the tests check it against brute force."""
+    """Climbing on MAE with a penalty on the spread over folds."""
     w = BL.hill_climb_weights(
         members(t), MEMBERS, "truth", "mae", fold="fold", stability_penalty=0.5
     )
     return _as_table(t, w)
 
 
+@query(
+    "best_mixture",
+    "B02",
+    f"""WITH {MEM}, p AS (SELECT truth, m2, m3, (truth - m2) / nullif(m3 - m2, 0) AS t, abs(m3 - m2) AS w FROM cov),
+    g AS (SELECT t, sum(w) AS w FROM p WHERE t IS NOT NULL GROUP BY 1), c AS (SELECT t, sum(w) OVER (ORDER BY t) AS upto, sum(w) OVER () AS total FROM g),
+    b AS (SELECT greatest(least(min(t), 1), 0) AS t FROM c WHERE upto >= total / 2)
+    SELECT {sql_rnd('max(b.t)', 'share')}, {sql_rnd('avg(abs(truth - (m2 + b.t * (m3 - m2))))', 'mae')} FROM p, b""",
+)
+def mixture(t: Tables) -> DataFrame:
+    """The share of m3 beside m2 with the least mean absolute error, exactly."""
+    covered = members(t).filter(BL.common_coverage(MEMBERS, "_c") == 1)
+    share, error = BL.best_step(covered, F.col("m2").cast("double"), F.col("m3").cast("double"), "truth")
+    return t.spark.createDataFrame([(round(share, 6), round(error, 6))], "share double, mae double")
+
+
+@query("line_search_weights", "B02")
+def searched(t: Tables) -> DataFrame:
+    """Rows-only: three members by exact line searches; the tests compare with a grid, and `best_mixture` has a twin."""
+    return _as_table(t, BL.line_search_weights(members(t), MEMBERS, "truth"))
+
+
 @query(
     "greedy_forward_selection",
     "B03",
@@ -210,10 +264,19 @@ def stacked(t: Tables) -> DataFrame:
     return rows.select("id", rnd("stacked", digits=4))
 
 
-@query("nested_blend", "B10 B02")
+@query(
+    "nested_blend",
+    "B10 B02",
+    f"""WITH RECURSIVE {MEM}, y AS (SELECT DISTINCT fold FROM cov), h_rows AS (SELECT y.fold AS upto, 0 AS fold, truth, m2, m3, m4 FROM cov JOIN y ON cov.fold < y.fold),
+    {_climb('h', 'upto', 'sum(mae * n) / sum(n)')}
+    SELECT CAST(c.fold AS INTEGER) AS fold, count(*) AS rows, {sql_rnd('avg(abs(truth - (m2 * (w2 / (w2 + w3 + w4)) + m3 * (w3 / (w2 + w3 + w4)) + m4 * (w4 / (w2 + w3 + w4)))))', 'blend')},
+      {sql_rnd('avg(abs(truth - m2))', 'single_m2')}, {sql_rnd('avg(abs(truth - m3))', 'single_m3')}, {sql_rnd('avg(abs(truth - m4))', 'single_m4')},
+      {sql_rnd('max(w2 / (w2 + w3 + w4))', 'weight_m2')}, {sql_rnd('max(w3 / (w2 + w3 + w4))', 'weight_m3')}, {sql_rnd('max(w4 / (w2 + w3 + w4))', 'weight_m4')}
+    FROM cov c JOIN h_end ON h_end.upto = c.fold GROUP BY c.fold""",
+)
 def nested(t: Tables) -> DataFrame:
-    """Rows-only: weights climb on the MAE of all earlier years and are scored on the next one."""
-    return BL.nested_blend(members(t), MEMBERS, "truth", "fold")
+    """Weights climb on the MAE of all earlier years and are scored on the next one."""
+    return rounded(BL.nested_blend(members(t), MEMBERS, "truth", "fold"), ["fold", "rows"])
 
 
 _LOGS = f"""{MEM}, lg AS (SELECT ln(1 + greatest(m1, 0)) AS b, ln(1 + greatest(m2, 0)) - ln(1 + greatest(m1, 0)) AS d2, ln(1 + greatest(m3, 0)) - ln(1 + greatest(m1, 0)) AS d3, ln(1 + truth) AS y FROM mem)"""
@@ -427,6 +490,23 @@ def ladder(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "calibrate_probability_grid",
+    "B21",
+    f"""WITH {_HURDLE}, h AS (SELECT event_id, user_id % 4 AS fold, round(p, 2) AS p, (y > 0)::INT AS y FROM hur JOIN events USING (event_id)), f AS (SELECT DISTINCT fold FROM h),
+    g AS (SELECT f.fold, h.p, sum(y) AS s, count(*) AS n, row_number() OVER (PARTITION BY f.fold ORDER BY h.p) AS i FROM f JOIN h ON h.fold <> f.fold GROUP BY 1, 2),
+    c AS (SELECT fold, p, i, sum(s) OVER w AS s1, sum(n) OVER w AS n1, sum(s) OVER w - s AS s0, sum(n) OVER w - n AS n0 FROM g WINDOW w AS (PARTITION BY fold ORDER BY i)),
+    m AS (SELECT o.fold, o.p, a.i, min((b.s1 - a.s0) / (b.n1 - a.n0)) AS least FROM c o JOIN c a ON a.fold = o.fold AND a.i <= o.i JOIN c b ON b.fold = o.fold AND b.i >= o.i GROUP BY 1, 2, 3),
+    iso AS (SELECT fold, p, max(least) AS q FROM m GROUP BY 1, 2)
+    SELECT event_id, h.fold, {sql_rnd('h.p', 'p')}, {sql_rnd('q', 'calibrated')} FROM h JOIN iso ON iso.fold = h.fold AND iso.p = h.p""",
+)
+def calibrated_grid(t: Tables) -> DataFrame:
+    """Probabilities in steps of 0.01, so that SQL can state the isotonic fit as the largest of least means of runs."""
+    grid = hurdle_rows(t).withColumn("p", F.round("p", 2))
+    rows, _ = PP.calibrate_probability(grid, "p", "y", "fold", "calibrated")
+    return rows.select("event_id", "fold", rnd("p"), rnd("calibrated"))
+
+
 @query("calibrate_probability", "B21")
 def calibrated(t: Tables) -> DataFrame:
     """Rows-only: pooled violators are MLlib's; the tests check monotone fits and the Brier score."""

@@ -228,12 +228,14 @@ def external(t: Tables) -> DataFrame:
 @query(
     "attach_external_report",
     "J15",
-    """SELECT * FROM (VALUES ('fires', 'skipped', 0, 'no common year'), ('earthquakes', 'skipped', 0, 'no source'),
-      ('tourism_annual', 'attached', 1, ''), ('water', 'attached', 1, '')) v(family, state, columns, reason)
-    WHERE (SELECT count(*) FROM orders) > 0""",
+    f"""WITH {PRIORITY_YEAR}, o AS (SELECT count(*) AS n, count(a.key) AS t, count(*) FILTER (o_orderpriority IS NOT NULL) AS w FROM orders
+      LEFT JOIN annual a ON a.key = o_orderpriority AND a.yr + 1 = year(o_orderdate))
+    SELECT v.family, v.state, v.columns, CASE v.family WHEN 'tourism_annual' THEN round(t / n, 6) WHEN 'water' THEN round(w / n, 6) END AS match_rate, v.reason
+    FROM (VALUES ('fires', 'skipped', 0, 'no common year'), ('earthquakes', 'skipped', 0, 'no source'),
+      ('tourism_annual', 'attached', 1, ''), ('water', 'attached', 1, '')) v(family, state, columns, reason), o WHERE n > 0""",
 )
 def external_report(t: Tables) -> DataFrame:
-    return J.attach_external(order_rows(t), "day", _families(t))[1]
+    return J.attach_external(order_rows(t), "day", _families(t))[1].withColumn("match_rate", F.round("match_rate", 6))
 
 
 # ---- merges ---------------------------------------------------------------------------------------------------------

@@ -469,6 +469,114 @@ def _split(t: Tables):
     return ML.time_split(V.purged_time_folds(t.orders, "o_orderdate", timedelta(days=30), 2, timedelta(days=365))[0], "day")
 
 
+def _plain():
+    """Least squares without a penalty, by the normal equations, which SQL can solve as well."""
+    return ML.linear().setRegParam(0.0).setSolver("normal")
+
+
+def _keyed():
+    """Three folds by key."""
+    part = F.pmod("id", F.lit(3))
+    return [(i, part != i, part == i) for i in range(3)]
+
+
+_MODEL_SQL = f"""{B.PREDICTIONS}, d AS (SELECT id, day, truth / 1000 AS y, m3 / 1000 AS x, CAST(dayofyear(day) AS DOUBLE) AS z FROM pred)"""
+
+
+def _least_squares(name: str, rows: str) -> str:
+    """Coefficients of y ~ x + z, y ~ x and y ~ z per k of `rows` (k, x, z, y)."""
+    return f"""{name} AS (SELECT *, ay - b1 * ax - b2 * az AS b0, xy / xx AS x1, ay - xy / xx * ax AS x0, zy / zz AS z1, ay - zy / zz * az AS z0 FROM (
+      SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM (
+        SELECT k, avg(x) AS ax, avg(z) AS az, avg(y) AS ay, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy
+        FROM {rows} GROUP BY k)))"""
+
+
+_FOLDS_SQL = f"""{_MODEL_SQL}, g AS (SELECT unnest([0, 1, 2]) AS k), tr AS (SELECT k, x, z, y FROM d JOIN g ON id % 3 <> k), {_least_squares('c', 'tr')},
+    v AS (SELECT d.*, c.* EXCLUDE (ax, az, ay) FROM d JOIN c ON id % 3 = k)"""
+
+
+@query(
+    "cross_validate_linear",
+    "T01",
+    f"""WITH {_FOLDS_SQL} SELECT CAST(k AS INTEGER) AS fold, count(*) AS rows, {sql_rnd('sqrt(avg(power(y - (b0 + b1 * x + b2 * z), 2)))', 'rmse', 5)} FROM v GROUP BY 1""",
+)
+def cv_linear(t: Tables) -> DataFrame:
+    """Folds by key and plain least squares: fits, routing of rows and scores against the normal equations."""
+    _, scores = ML.cross_validate(_model_rows(t), ["x1", "doy"], "y", _keyed(), _plain)
+    return rounded(scores, ["fold", "rows"], 5)
+
+
+@query(
+    "hurdle_magnitude",
+    "T03",
+    f"""WITH {_MODEL_SQL}, p AS (SELECT id, x, z, greatest(y - 200, 0) AS y FROM d), g AS (SELECT unnest([0, 1, 2]) AS k),
+    tr AS (SELECT k, x, z, y FROM p JOIN g ON id % 3 <> k WHERE y > 0), {_least_squares('c', 'tr')}
+    SELECT id, CAST(k AS INTEGER) AS fold, {sql_rnd('b0 + b1 * x + b2 * z', 'magnitude', 5)} FROM p JOIN c ON id % 3 = k""",
+)
+def magnitude(t: Tables) -> DataFrame:
+    """The second stage of the hurdle: learnt from positive rows only, predicted for every row out of fold."""
+    rows = _model_rows(t).withColumn("y", F.greatest(F.col("y") - 200, F.lit(0.0)))
+    out = ML.fit_hurdle(rows, ["x1", "doy"], "y", _keyed(), regressor=_plain)
+    return out.select("id", "fold", rnd("magnitude", digits=5))
+
+
+@query(
+    "multi_seed_refit_linear",
+    "T04",
+    f"""WITH {_MODEL_SQL}, l AS (SELECT id, day, x, z, ln(1 + greatest(y, 0)) AS y, ln(1 + greatest(y, 0)) AS w FROM d),
+    tr AS (SELECT 0 AS k, x, z, y FROM l WHERE day < DATE '{B.CUT}'), {_least_squares('c', 'tr')},
+    o AS (SELECT sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy FROM tr),
+    q AS (SELECT id, b0 + b1 * x + b2 * z AS p1, (xy * ozz - zy * xz) / (oxx * ozz - xz * xz) * x + (zy * oxx - xy * xz) / (oxx * ozz - xz * xz) * z AS p2
+      FROM l, (SELECT b0, b1, b2 FROM c), (SELECT xx AS oxx, zz AS ozz, xz, xy, zy FROM o) WHERE day >= DATE '{B.CUT}')
+    SELECT id, {sql_rnd('greatest(exp((p1 + p2) / 2) - 1, 0)', 'prediction', 5)}, {sql_rnd('abs(p1 - p2) / sqrt(2)', 'seed_std', 5)} FROM q""",
+)
+def refits(t: Tables) -> DataFrame:
+    """Two different fits stand in for two seeds (with and without an intercept): their mean in log space and its spread."""
+    rows = _model_rows(t)
+    train, test = rows.filter(F.col("day") < B.CUT), rows.filter(F.col("day") >= B.CUT)
+    out, _ = ML.multi_seed_refit(train, test, ["x1", "doy"], "y", (1, 2), lambda s: _plain().setFitIntercept(s == 1))
+    return out.select("id", rnd("prediction", digits=5), rnd("seed_std", digits=5))
+
+
+@query("shuffled_labels", "T05", f"WITH {_MODEL_SQL} SELECT {sql_rnd('y', 'shuffled')}, count(*) AS times FROM d GROUP BY 1")
+def shuffled(t: Tables) -> DataFrame:
+    """The null importances' labels are the labels in another order: none is lost, none comes twice."""
+    done = ML.shuffle_label(_model_rows(t), "id", "y", 3, "_shuffled")
+    return done.groupBy(rnd("_shuffled", "shuffled")).agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(
+    "shift_verdict",
+    "D04",
+    f"""WITH {B.PREDICTIONS}, w AS (SELECT (day >= DATE '{B.CUT}')::INT AS y, (dayofyear(day) + 60 * (id % 7)) / 1000 AS s FROM pred),
+    r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM w),
+    a AS (SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1.0) / 2) / (sum(y)::DOUBLE * (count(*) - sum(y))) AS auc,
+      power(sum(s) FILTER (y = 0), 2) / sum(s * s) FILTER (y = 0) AS ess, count(*) FILTER (y = 0) AS n FROM r)
+    SELECT {sql_rnd('auc', 'auc')}, {sql_rnd('ess', 'ess')}, {sql_rnd('ess / n', 'ess_ratio')},
+      CASE WHEN auc < 0.6 THEN 'similar' WHEN auc < 0.8 THEN 'moderate shift' WHEN ess / n < 0.05 THEN 'severe shift, do not weight' ELSE 'severe shift, weights usable' END AS verdict FROM a""",
+)
+def verdict(t: Tables) -> DataFrame:
+    """What adversarial validation makes of out-of-fold probabilities, here given ones."""
+    s = (F.dayofyear("day") + 60 * F.pmod("id", F.lit(7))) / 1000
+    rows = B.predictions(t).select((F.col("day") >= F.lit(B.CUT).cast("date")).cast("int").alias("y"), s.alias("s"))
+    return rounded(ML.shift_verdict(rows, "y", "s"), ["verdict"])
+
+
+@query(
+    "ablation_verdict_linear",
+    "T06 T01",
+    f"""WITH {_FOLDS_SQL}, s AS (SELECT k, sqrt(avg(power(y - (b0 + b1 * x + b2 * z), 2))) AS f, sqrt(avg(power(y - (z0 + z1 * z), 2))) AS level, sqrt(avg(power(y - (x0 + x1 * x), 2))) AS calendar FROM v GROUP BY 1),
+    l AS (SELECT unnest(['level', 'calendar']) AS dropped, unnest([level - f, calendar - f]) AS d FROM s),
+    m AS (SELECT dropped, count(*) AS pairs, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se FROM l GROUP BY 1)
+    SELECT dropped, pairs, {sql_rnd('m', 'mean_delta', 4)}, {sql_rnd('se', 'se', 4)},
+      CASE WHEN m > greatest(2 * se, 0.01) THEN 'useful' WHEN m < -greatest(2 * se, 0.01) THEN 'harmful' ELSE 'undecided' END AS verdict FROM m""",
+)
+def ablation_linear(t: Tables) -> DataFrame:
+    """Paired deltas of three least-squares models over folds by key."""
+    scores = ML.ablation_scores(_model_rows(t), {"level": ["x1"], "calendar": ["doy"]}, "y", _keyed(), model=lambda s: _plain())
+    return rounded(ML.ablation_verdict(scores, 0.01), ["dropped", "pairs", "verdict"], 4)
+
+
 @query("cross_validate", "T01")
 def cv(t: Tables) -> DataFrame:
     rows, features = ML.with_missing_flags(_model_rows(t), ["x1", "x2", "doy"])

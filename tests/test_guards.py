@@ -54,8 +54,11 @@ def test_colliding_columns(spark):
     a = spark.sql("SELECT 1 AS k, 2 AS v")
     with pytest.raises(ValueError):
         J.attach_many_to_one(a, spark.sql("SELECT 1 AS k, 3 AS v"), ["k"])
+    out, rate = J.attach_many_to_one(a, spark.sql("SELECT 9 AS k, 3 AS w"), ["k"])
+    with pytest.raises(Exception, match="no row of the panel"):
+        out.collect()
     with pytest.raises(J.NoMatchError):
-        J.attach_many_to_one(a, spark.sql("SELECT 9 AS k, 3 AS w"), ["k"])
+        J.judge_match_rate(rate)
 
 
 def test_publication_contract(spark):

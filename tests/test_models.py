@@ -70,7 +70,7 @@ def test_two_way_effects(spark):
     a, b = rng.normal(0, 3, 12), rng.normal(0, 2, 20)
     rows = [(i, f"2024-01-{j + 1:02}", float(5 + a[i] + b[j] + rng.normal(0, 0.1))) for i in range(12) for j in range(20) if rng.random() < 0.8]
     pdf = pd.DataFrame(rows, columns=["e", "d", "v"])
-    got = A.two_way_effects(spark.createDataFrame(pdf).withColumn("d", F.to_date("d")), "e", "d", "v", rounds=60).orderBy("d").toPandas()
+    got = A.two_way_effects(spark.createDataFrame(pdf).withColumn("d", F.to_date("d")), "e", "d", "v").orderBy("d").toPandas()
     x = np.hstack([pd.get_dummies(pdf["e"]).to_numpy(float), pd.get_dummies(pdf["d"]).to_numpy(float)])
     coef = np.linalg.lstsq(x, pdf["v"].to_numpy(), rcond=None)[0][12:]
     assert np.allclose(got["day_effect"], coef - coef.mean(), atol=1e-4)
