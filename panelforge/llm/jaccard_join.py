@@ -4,8 +4,8 @@ Two sets x and y are linked when 100 * |x and y| >= percent * |x or y|. Then at
 shingles of x are shared, whatever y is.
 
 1. Counting. Each task cuts its documents into blocks and sends, per range of hash values, the shingles of the block with
-   their documents, as packed bytes, to the task that owns the range. That task sees which shingles occur in one document
-   only and returns a count per document. A document with more than |x| - T such shingles can be linked with nothing; this
+   their documents, as packed bytes, to the task that owns the range; a shingle that several of them have is sent once. That
+   task sees which shingles occur in one document only and returns a count per document. A document with more than |x| - T such shingles can be linked with nothing; this
    settles most of the corpus. Half of the hash values suffice for it (fewer are counted, so no link is lost).
 2. Classes. The remaining documents are read again; equal sets become one class, so a group of copies is one row from here
    on. Shingles are counted again among classes; only shared ones are kept. With m shared shingles, rarest first, some
@@ -34,6 +34,7 @@ gives an empty result. Other columns may have any name but those starting with `
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -111,34 +112,47 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-_BLOCK_SCHEMA = "block string, range int, size int, ids array<long>, counts array<int>, sets array<binary>, packed binary, often binary"
+#: Members of a block are numbered below this; it stands for "several of them" in what is sent to the ranges.
+SEVERAL = (1 << 16) - 1
+_BLOCK_SCHEMA = "block string, range int, size int, ids array<long>, counts array<int>, sets array<binary>, packed binary, often binary, times binary, members binary"
 _ARROW_BLOCK = pa.schema(
     [("block", pa.string()), ("range", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-     ("sets", pa.list_(pa.binary())), ("packed", pa.binary()), ("often", pa.binary())]
+     ("sets", pa.list_(pa.binary())), ("packed", pa.binary()), ("often", pa.binary()), ("times", pa.binary()), ("members", pa.binary())]
 )
 
 
-def _block_rows(name: str, tokens: np.ndarray, owner: np.ndarray, size: int, bits: int, ranges: int, lists: dict) -> pa.RecordBatch:
-    """A block as one row per range of hash values; the first also has what is known of its members."""
+def _block_rows(name: str, tokens: np.ndarray, owner: np.ndarray, size: int, bits: int, ranges: int, lists: dict, members: bool = False) -> pa.RecordBatch:
+    """A block as one row per range of hash values. A shingle that several members have is sent once, with their number, so
+    that a shingle found everywhere costs its owner an entry per block; with `members`, who has it stays in the row that also
+    holds what is known of the members, which goes by way of a range that depends on the block."""
     packed = np.sort((tokens << _DOC) | owner.astype(np.uint64))
-    edges = np.searchsorted(packed >> _DOC, np.array([(r << bits) // ranges for r in range(ranges + 1)], np.uint64))
-    rows = [
-        {"block": name, "range": r, "size": size, "packed": _pack(packed[edges[r] : edges[r + 1]])}
-        for r in range(ranges)
-        if r == 0 or edges[r] < edges[r + 1]
-    ]
-    rows[0] |= lists
+    token = packed >> _DOC
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    times = np.diff(first, append=len(token))
+    many = times > 1
+    sent = np.where(many, packed[first] | np.uint64(SEVERAL), packed[first])
+    edges = np.searchsorted(sent >> _DOC, np.array([(r << bits) // ranges for r in range(ranges + 1)], np.uint64))
+    home = zlib.crc32(name.encode()) % ranges
+    rows = []
+    for r in range(ranges):
+        i, j = edges[r], edges[r + 1]
+        if r == home or i < j:
+            rows.append({"block": name, "range": r, "size": size, "packed": _pack(sent[i:j]), "times": times[i:j][many[i:j]].astype(np.uint32).tobytes()})
+            if r == home:
+                rows[-1] |= lists
+                if members:
+                    rows[-1]["members"] = _pack(packed[np.repeat(many, times)])
     return pa.RecordBatch.from_pylist(rows, _ARROW_BLOCK)
 
 
 def _blocks(docs: DataFrame, width: int, ranges: int) -> DataFrame:
-    """`docs` (id, text). One row per block and range of hash values; the first range also lists the documents."""
+    """`docs` (id, text). One row per block and range of hash values; one of them also lists the documents."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(0)
-            for at, end, data, offsets in text_blocks(batch.column(1), rows=1 << 16):
+            for at, end, data, offsets in text_blocks(batch.column(1), rows=SEVERAL):
                 sets = shingle_sets(data, offsets, width)
                 name, number = f"{task}-{number}", number + 1
                 half = sets.tokens < np.uint64(1 << (BITS - 1))
@@ -161,11 +175,14 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], np.
         first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         packed = np.concatenate(parts)
         del parts
+        weight = np.ones(len(packed), np.uint32)
+        weight[(packed & np.uint64(SEVERAL)) == SEVERAL] = np.frombuffer(b"".join(r.pop("times") for r in rows), np.uint32)
         token = packed >> _DOC
         order = np.argsort(token, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) != 0, [True]])) if len(token) else np.zeros(1, np.int64)
         often = np.empty(len(token), np.uint32)
-        often[order] = np.repeat(np.diff(edge), np.diff(edge))
+        if len(token):
+            often[order] = np.repeat(np.add.reduceat(weight[order], edge[:-1]), np.diff(edge))
         yield rows, packed, first, often
 
 
@@ -247,11 +264,11 @@ def _set_blocks(sets: DataFrame, ranges: int) -> DataFrame:
             at = 0
             while at < len(names):
                 end = max(at + 1, int(np.searchsorted(first, first[at] + SOME_TOKENS, "right")) - 1)
-                end = min(end, at + (1 << 16), len(names))
+                end = min(end, at + SEVERAL, len(names))
                 name, number = f"{task}-{number}", number + 1
                 owner = np.repeat(np.arange(end - at), lengths[at:end])
                 lists = {"counts": sizes[at:end], "sets": names[at:end]}
-                yield _block_rows(name, flat[first[at] : first[end]], owner, end - at, BITS, ranges, lists)
+                yield _block_rows(name, flat[first[at] : first[end]], owner, end - at, BITS, ranges, lists, members=True)
                 at = end
 
     return sets.select("set", "n", "tokens").mapInArrow(cut, _BLOCK_SCHEMA)
@@ -270,6 +287,13 @@ def _by_rarity(percent: int):
             head = next(r for r in rows if r["sets"] is not None)
             packed = np.concatenate([_unpack(r["packed"]) for r in rows])
             often = np.concatenate([np.frombuffer(r["often"], np.uint32) for r in rows])
+            # shingles that several members have: one entry came back, the members themselves are in the head
+            many = (packed & np.uint64(SEVERAL)) == SEVERAL
+            members = _unpack(head["members"])
+            known = packed[many] >> _DOC
+            place = np.argsort(known)
+            at = place[np.searchsorted(known, members >> _DOC, sorter=place)] if len(members) else np.zeros(0, np.int64)
+            packed, often = np.concatenate([packed[~many], members]), np.concatenate([often[~many], often[many][at]])
             owner, token = (packed & np.uint64((1 << 16) - 1)).astype(np.int64), (packed >> _DOC).astype(np.int64)
             order = np.lexsort((token, often, owner))
             first = np.searchsorted(owner[order], np.arange(head["size"] + 1))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
-from panelforge.llm.jaccard_join import jaccard_components, jaccard_links, one_of_each, search_unit, unit_links
+from panelforge.llm.jaccard_join import BITS, SEVERAL, _block_rows, _unpack, count_documents, jaccard_components, jaccard_links, one_of_each, search_unit, unit_links
 from tests.llm.conftest import none_first
 
 WHITE = "[^\x20\x09-\x0d]+"
@@ -160,3 +161,31 @@ def test_unit_links_counts_every_pair(listed):
                 want[j] += copies[i]
     assert unit_links(tokens, sizes, copies, 80, listed)[1].tolist() == want.tolist()
     assert want.any() or listed in (0, 80)
+
+
+def test_a_shingle_in_every_document(spark):
+    """One line that all share, in blocks of many rows and of few: sent once a block, counted for every document."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+        rows.append((i, f"all of them begin like this here {own if i % 5 else 'and a few go on alike to the end of it'}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_links(docs, width=3, percent=90).collect()}
+    assert all(got[i] == (0 if i % 5 == 0 else i) for i in got)
+    slim = docs.select(F.col("doc_id").alias("id"), "text")
+    sizes = {r.id: (r.n, r.single) for r in count_documents(slim, 3).collect()}
+    for i, (n, single) in sizes.items():
+        assert single < n and (i % 5 or single == 0)
+
+
+def test_what_a_block_sends():
+    tokens = np.array([5, 5, 5, 9, 11, 11], np.uint64)
+    owner = np.array([0, 1, 2, 0, 1, 2])
+    batch = _block_rows("b", tokens, owner, 3, BITS, 1, {"sets": [b"x"] * 3, "counts": [2, 2, 2]}, members=True)
+    r = batch.to_pylist()[0]
+    sent = _unpack(r["packed"])
+    assert (sent >> np.uint64(64 - BITS)).tolist() == [5, 9, 11]
+    assert (sent & np.uint64(SEVERAL)).tolist() == [SEVERAL, 0, SEVERAL]
+    assert np.frombuffer(r["times"], np.uint32).tolist() == [3, 2]
+    assert len(_unpack(r["members"])) == 5
