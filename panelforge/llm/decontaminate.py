@@ -3,8 +3,8 @@
 Each task cuts its documents into shards of whole documents. For a shard it sorts the suffixes (word positions) by the
 words that follow, to the depth of the window, and binary-searches every suffix of every benchmark item in that order:
 one column of words narrows all searches at once. The range left at full depth is every verbatim occurrence, and such
-matches are followed word by word to their end. The depth at which a range dies is the length of the longest match of that
-suffix, and its places are the last range that lived; the deepest one of a document is its longest match.
+matches are followed word by word to their end. All places of a range match to the depth it has; the deepest range that a
+place of a document lies in, whichever suffix it belongs to, is the document's longest match.
 Suffixes whose first words (two, or as many as the shortest item has) begin no benchmark suffix can't be visited by a
 search that goes deeper, so they are not sorted in; documents without any match of two words are looked up word by word.
 
@@ -178,20 +178,25 @@ def _search_slice(shard: Words, row: np.ndarray, ends: np.ndarray, bench: Benchm
 
     n = len(bench.at)
     low, high, depth = np.zeros(n, np.int64), np.full(n, len(array)), np.zeros(n, np.int64)
-    best_low, best_high = low.copy(), low.copy()
+    deepest, owner = np.zeros(len(array), np.int64), np.zeros(len(array), np.int64)
     live = np.arange(n)
     for k in range(window):
         live = live[bench.left[live] > k]
-        low[live], high[live] = _narrow(suffixes[:, k], low[live], high[live], bench.suffix[live, k])
-        live = live[low[live] < high[live]]
-        depth[live] = k + 1
-        best_low[live], best_high[live] = low[live], high[live]
+        a, b = _narrow(suffixes[:, k], low[live], high[live], bench.suffix[live, k])
+        live, a, b = live[a < b], a[a < b], b[a < b]
+        low[live], high[live], depth[live] = a, b, k + 1
+        # ranges of one depth are the same or apart: all their places match so far, with the smallest id of those that do
+        order = np.lexsort((bench.rank[bench.item[live]], a))
+        starts, first = np.unique(a[order], return_index=True)
+        size = b[order[first]] - starts
+        covered = runs(starts, size)
+        deepest[covered], owner[covered] = k + 1, np.repeat(bench.item[live[order[first]]], size)
 
     # whole windows: every position left in the range, followed word by word to the end of the match
     starts_item = np.r_[True, bench.item[1:] != bench.item[:-1]]
     whole = np.flatnonzero((depth == window) | (starts_item & (depth == bench.left)))
-    count = best_high[whole] - best_low[whole]
-    places = array[runs(best_low[whole], count)]
+    count = high[whole] - low[whole]
+    places = array[runs(low[whole], count)]
     width, item = np.repeat(depth[whole], count), np.repeat(bench.item[whole], count)
     length, source = width.copy(), np.repeat(bench.at[whole], count)
     left = np.minimum(np.repeat(bench.left[whole], count), ends[places] - places) if len(places) else length
@@ -201,23 +206,11 @@ def _search_slice(shard: Words, row: np.ndarray, ends: np.ndarray, bench: Benchm
         length[going] += 1
         going = going[length[going] < left[going]]
 
-    # the depth of the deepest range over each suffix of the shard, and of those the first place of a document's deepest
-    deepest = np.zeros(len(array), np.int64)
-    for d in range(1, window + 1):
-        own = depth == d
-        edge = np.bincount(best_low[own], minlength=len(array) + 1) - np.bincount(best_high[own], minlength=len(array) + 1)
-        deepest[np.cumsum(edge[:-1]) > 0] = d
+    # the first place of the deepest ranges of every document
     some = np.flatnonzero(deepest)
     some = some[np.lexsort((array[some], -deepest[some], row[array[some]]))]
     some = some[np.r_[True, np.diff(row[array[some]]) != 0]] if len(some) else some
-    owner = np.zeros(len(some), np.int64)
-    for d in np.unique(deepest[some]).tolist():  # ranges of one depth are the same or apart
-        own = np.flatnonzero(depth == d)
-        own = own[np.lexsort((bench.rank[bench.item[own]], best_low[own]))]
-        starts, first = np.unique(best_low[own], return_index=True)
-        at = deepest[some] == d
-        owner[at] = bench.item[own[first[np.searchsorted(starts, some[at], "right") - 1]]]
-    return _Matches(places, width, item), _joined([_Matches(array[some], deepest[some], owner), _Matches(places, length, item)])
+    return _Matches(places, width, item), _joined([_Matches(array[some], deepest[some], owner[some]), _Matches(places, length, item)])
 
 
 def search_shard(shard: Words, slices: Iterable[Benchmark]) -> Found:
@@ -239,7 +232,7 @@ def search_shard(shard: Words, slices: Iterable[Benchmark]) -> Found:
             found.items[r].append(bench.ids[i])
 
         seen = np.zeros(n_rows, bool)
-        seen[row[matches.place]] = True
+        seen[row[matches.place[matches.length > 1]]] = True
         words = np.flatnonzero(~seen[row] & (found.longest[row] <= 1))
         at = np.minimum(np.searchsorted(bench.known, shard.hashes[words]), len(bench.known) - 1)
         single = bench.known[at] == shard.hashes[words]

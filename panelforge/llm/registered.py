@@ -64,7 +64,7 @@ place AS (
   FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
         FROM low, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
 occurs AS (SELECT doc_id, i, k, item FROM place JOIN win USING (k, words)),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS at FROM occurs) GROUP BY 1),
+hits AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS spot FROM occurs) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM occurs) GROUP BY 1),
 dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM low),
 iw AS (SELECT item, number, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM item),
@@ -74,11 +74,11 @@ runs AS (
         FROM dw JOIN iw USING (word))
   GROUP BY doc_id, item, number, j - i, run),
 longest AS (
-  SELECT doc_id, n, i - 1 AS at, item FROM runs
+  SELECT doc_id, n, i - 1 AS spot, item FROM runs
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i, item) = 1)
 SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated,
-       coalesce(longest.n, 0) AS longest, longest.at AS longest_at, longest.item AS longest_item
+       coalesce(longest.n, 0) AS longest, longest.spot AS longest_at, longest.item AS longest_item
 FROM low LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 

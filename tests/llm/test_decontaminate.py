@@ -112,6 +112,14 @@ def test_longest_matches_of_any_length(spark, messy, items, slice_bytes):
     assert {1, 2} < {r.longest for r in got}
 
 
+def test_a_deeper_match_elsewhere_hides_no_shallower_one(spark):
+    """Both documents lie in one shard: the search goes deeper for one of them, the other keeps what it has."""
+    docs = spark.createDataFrame([(1, "x a b y z"), (2, "q a b c d r"), (3, "a c"), (4, "d")], "doc_id long, text string").coalesce(1)
+    bench = [("i", "a b c d e"), ("j", "k a b")]
+    got = contamination(docs, spark.createDataFrame(bench, "item_id string, text string")).select("doc_id", "longest", "longest_at", "longest_item")
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1, "i"), (2, 4, 1, "i"), (3, 1, 0, "i"), (4, 1, 0, "i")]
+
+
 @pytest.mark.parametrize("slice_bytes", [1, 150])
 def test_slices_are_united_before_counting(spark, messy, items, slice_bytes):
     bench = spark.createDataFrame(items, "item_id string, text string")
