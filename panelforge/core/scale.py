@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 
 def range_buckets(spark: SparkSession) -> int:
-    """Ranges for ordered work: as many as shuffle partitions, so that a cluster sized for its data cuts it finely."""
+    """Ranges for ordered work: as many as shuffle partitions, so that a cluster sized for its data cuts it finely. 4096 is
+    what the two rounds of comparisons in `bucket_of` can hold in one compiled method; a range is ordered by an external
+    sort, so more rows in it cost time, not memory."""
     return max(64, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 

@@ -101,7 +101,7 @@ def _brute_knn(pdf, k, km):
     return sorted(rows)
 
 
-def test_nearest_neighbours_with_a_crowded_place(spark, monkeypatch):
+def test_nearest_neighbours_with_a_crowded_place(spark):
     """A third of the keys share one spot, others lie near a pole, on the date line, or alone."""
     rng = np.random.default_rng(5)
     pts = [(i, 38.0, 27.0) for i in range(30)]
@@ -109,8 +109,7 @@ def test_nearest_neighbours_with_a_crowded_place(spark, monkeypatch):
     pts += [(200 + i, rng.uniform(36, 42), rng.uniform(26, 45)) for i in range(25)]
     pts += [(300, 10.0, 179.9), (301, 10.1, -179.9), (302, 89.9, 10.0), (303, 89.9, -170.0), (304, -45.0, 0.0)]
     pdf = pd.DataFrame(pts, columns=["key", "lat", "lon"])
-    monkeypatch.setattr(SP, "CROWD", 5)
-    got = SP.nearest_neighbours(spark.createDataFrame(pdf), "key", k=3, max_distance_km=120.0)
+    got = SP.nearest_neighbours(spark.createDataFrame(pdf), "key", k=3, max_distance_km=120.0, crowd=5)
     rows = sorted((r["key"], r["neighbour"], r["neighbour_rank"]) for r in got.collect())
     assert rows == _brute_knn(pdf, 3, 120.0)
 
