@@ -247,3 +247,24 @@ SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children,
 FROM full_n v JOIN below b ON b.p = v.p AND b.depth = v.depth
 LEFT JOIN n AS u ON u.p = v.up AND u.depth = v.depth - 1
 """
+
+
+ORACLES["op1_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM w
+  UNION SELECT both_ways.b, reached.root FROM reached JOIN both_ways ON both_ways.a = reached.node),
+c AS (SELECT node, min(root) AS component_id FROM reached GROUP BY 1),
+l AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(l.n, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.node = w.doc_id LEFT JOIN l ON l.a = w.doc_id
+"""

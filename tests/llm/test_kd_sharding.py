@@ -2,8 +2,9 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from panelforge.llm.kd_sharding import kd_shards
+from panelforge.llm.kd_sharding import _orders, kd_shards, points, tree
 
 
 def check(docs, shards):
@@ -51,3 +52,31 @@ def test_target_bytes_and_limits(documents, nothing):
         kd_shards(documents, 12)
     again = [r.shard for r in kd_shards(documents, 4).orderBy("doc_id").collect()]
     assert again == [r.shard for r in kd_shards(documents.repartition(5), 4).orderBy("doc_id").collect()]
+
+
+def grown(rows, levels, node=0):
+    """The same tree by sorting: {row: leaf}. `rows` are (key, size, orders)."""
+    if not levels or not rows:
+        return {key: node << levels for key, _, _ in rows}
+    spans = [(max(r[2][d] for r in rows) >> 24) - (min(r[2][d] for r in rows) >> 24) for d in range(len(rows[0][2]))]
+    dim = spans.index(max(spans))
+    aim, before = sum(r[1] for r in rows) / 2, 0
+    for value in sorted({r[2][dim] for r in rows}):
+        held = sum(r[1] for r in rows if r[2][dim] == value)
+        if before + held >= aim:
+            break
+        before += held
+    cut = value + (before + held - aim < aim - before)
+    sides = [[r for r in rows if (r[2][dim] >= cut) == right] for right in (False, True)]
+    return grown(sides[0], levels - 1, 2 * node) | grown(sides[1], levels - 1, 2 * node + 1)
+
+
+@pytest.mark.parametrize("levels", [1, 3, 5])
+def test_the_tree_by_sorting(documents, messy, levels):
+    """Weighted medians found by counting cells are those of sorted rows, leaf by leaf."""
+    for docs in (documents, messy):
+        rows = _orders(points(docs, "doc_id", "text", "source"), F.lit(500.0)).cache()
+        held = rows.select("id", "crc", "member", "size", "at").collect()
+        want = grown([((r.id, r.crc, r.member), r.size, list(r["at"])) for r in held], levels)
+        got = tree(rows, levels).select("id", "crc", "member", "node").collect()
+        assert len(got) == len(held) and all(want[r.id, r.crc, r.member] == r.node for r in got)
