@@ -17,18 +17,31 @@ from panelforge.llm.language_id import accepted
 from panelforge.llm.mixing import mixed_rows
 
 
+#: Rows of text in one Arrow batch. At Spark's 10,000, a batch of web texts is tens of megabytes, held by the JVM and by the
+#: Python worker of every running task.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For this session from here on, as a stage's rows are computed when they are written."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the declared language is `lang`, the host is `source`."""
+    _small_batches(spark)
     return accepted(docs, declared=F.col("lang"), host=F.col("source"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    _small_batches(spark)
     return one_of_each(docs, width=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    _small_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
