@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.exprs import null_if_any_null, require_columns, safe_div, time_order
-from panelforge.core.scale import average_rank, cut_lineage, day_table, exact_quantiles, join_checked, salted_join
+from panelforge.core.scale import average_rank, cut_lineage, day_table, exact_quantiles, join_checked
 
 _SIMPLE = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
@@ -442,51 +442,56 @@ def load_transfer_study(
 
     One event per (location, first day of new entities). Settled members were there more than `window` days before;
     their mean levels in the `window` days before and after the event are summed, and the log ratio is compared with the
-    same ratio of the entities that exist since the first day. Rows meet events through time slots as long as the window:
-    a row is paired with at most 3 * window event days, whatever the size of the location.
+    same ratio of the entities that exist since the first day. A member's two means change only on days when one of its
+    rows enters or leaves a window, so they are worked out there, once per stretch of days between two changes, and the
+    stretches are added up per location and day before anything is shuffled: a member never meets single events.
+    `salts` is no longer needed and kept for callers.
     """
     day = F.to_date(time)
-    rows = df.filter(F.col(value).isNotNull()).groupBy(entity, location, day.alias("_day")).agg(F.sum(value).alias("_v"))
+    valid = df.filter(F.col(value).isNotNull())
+    rows = valid.groupBy(entity, location, day.alias("_day")).agg(F.sum(value).alias("_v"))
     first = rows.groupBy(entity, location).agg(F.min("_day").alias("_first"))
-    lo = rows.agg(F.min("_day").alias("b")).scalar()
-    hi = rows.agg(F.max("_day").alias("b")).scalar()
+    lo = valid.agg(F.min(day).alias("b")).scalar()
+    hi = valid.agg(F.max(day).alias("b")).scalar()
     births = (
         first.withColumns({"_lo": lo, "_hi": hi})
         .filter((F.date_sub("_first", window) >= F.col("_lo")) & (F.date_add("_first", window) <= F.col("_hi")))
         .groupBy(location, F.col("_first").alias("birth_day"))
         .agg(F.count(F.lit(1)).alias("n_new"))
     )
-    first_days = rows.join(first, [entity, location])
-    # a row meets the events of its own and the two neighbouring windows; rows of a crowded location are spread
-    slot = F.floor(F.datediff("_day", F.lit("1970-01-01").cast("date")) / window)
-    event_slot = F.floor(F.datediff("birth_day", F.lit("1970-01-01").cast("date")) / window)
-    asked = births.select(
-        location, "birth_day", "n_new", F.explode(F.sequence(event_slot - 1, event_slot + 1)).alias("_slot")
-    )
-    met = (
-        salted_join(first_days.withColumn("_slot", slot), asked, [location, "_slot"], salts)
-        .withColumn("_off", F.datediff("_day", "birth_day"))
-        .filter((F.abs("_off") <= window) & (F.col("_off") != 0) & (F.col("_first") < F.date_sub("birth_day", window)))
-    )
-    before, after = F.col("_off") < 0, F.col("_off") > 0
-    per_member = met.groupBy(location, "birth_day", entity).agg(
-        F.max("n_new").alias("n_new"),
-        F.count_if(before).alias("_nb"),
-        F.count_if(after).alias("_na"),
-        F.avg(F.when(before, F.col("_v"))).alias("_b"),
-        F.avg(F.when(after, F.col("_v"))).alias("_a"),
-    )
-    events = (
-        per_member.filter((F.col("_nb") >= min_days) & (F.col("_na") >= min_days))
-        .groupBy(location, "birth_day")
-        .agg(
-            F.max("n_new").alias("n_new"),
-            F.count(F.lit(1)).alias("n_settled"),
-            F.sum("_b").alias("before_total"),
-            F.sum("_a").alias("after_total"),
-        )
-        .filter(F.col("before_total") > 0)
+    # the days of a row and those on which it enters or leaves the window after or before an event
+    known = rows.filter(F.col(entity).isNotNull() & F.col(location).isNotNull() & F.col("_day").isNotNull())
+    at = F.unix_date("_day")
+    changes = [F.struct((at + k).alias("_at"), F.lit(None).cast("double").alias("_v"), F.lit(0).alias("_n")) for k in (-window, 1, window + 1)]
+    itself = F.struct(at.alias("_at"), F.col("_v").cast("double").alias("_v"), F.lit(1).alias("_n"))
+    marks = known.select(entity, location, F.inline(F.array(itself, *changes)))
+    marks = marks.groupBy(entity, location, "_at").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
+    # one partition holds a member's marks, at most four per calendar day
+    member = Window.partitionBy(entity, location).orderBy("_at")
+    before, after = member.rangeBetween(-window, -1), member.rangeBetween(1, window)
+    seen = F.min(F.when(F.col("_n") > 0, F.col("_at"))).over(Window.partitionBy(entity, location))
+    stretches = marks.select(
+        location,
+        "_at",
+        F.lead("_at").over(member).alias("_next"),
+        seen.alias("_first"),
+        F.sum("_n").over(before).alias("_nb"),
+        F.sum("_n").over(after).alias("_na"),
+        F.avg("_v").over(before).alias("_b"),
+        F.avg("_v").over(after).alias("_a"),
+    ).fillna(0, ["_nb", "_na"])
+    settled = stretches.filter(
+        (F.col("_nb") >= min_days) & (F.col("_na") >= min_days) & (F.col("_nb") + F.col("_na") > 0) & (F.col("_at") > F.col("_first") + window)
+    ).withColumns({"_from": F.col("_at"), "_to": F.least(F.col("_next") - 1, F.unix_date(hi) - window)})
+    totals = (
+        settled.filter(F.col("_from") <= F.col("_to"))
+        .select(location, "_b", "_a", F.explode(F.sequence("_from", "_to")).alias("_on"))
+        .groupBy(location, "_on")
+        .agg(F.count(F.lit(1)).alias("n_settled"), F.sum("_b").alias("before_total"), F.sum("_a").alias("after_total"))
+        .select(location, F.date_from_unix_date("_on").alias("birth_day"), "n_settled", "before_total", "after_total")
     )
+    # one row per location and birth day, asked for twice below
+    events = cut_lineage(births.join(totals, [location, "birth_day"]).filter(F.col("before_total") > 0))
     # control: entities present since the first day, one total per calendar day
     always = first.withColumn("_lo", lo).filter(F.col("_first") == F.col("_lo")).select(entity, location)
     control = rows.join(always, [entity, location], "left_semi").groupBy("_day").agg(F.sum("_v").alias("_c"))
