@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import aggregates as A
+from panelforge.operators import spatial as SP
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -63,3 +64,28 @@ def test_event_study_adds_up_stretches(spark, monkeypatch, window, least):
     assert got == study(rows, window, least)
     # members and events meet once, after the members of a location were added up
     assert plan(asked[0]).count("Join") == 1
+
+
+def test_pairs_are_not_broadcast_or_merged_into_few_tasks(spark):
+    rng = random.Random(2)
+    points = spark.createDataFrame([(i, rng.uniform(38, 40), rng.uniform(30, 33)) for i in range(300)], "k int, lat double, lon double")
+    sites = points.filter("k < 40").withColumnRenamed("k", "s")
+    pairs = SP.distance_pairs(sites, points, "s", "k", 60.0)
+    all_pairs = sites.select("s", F.col("lat").alias("a"), F.col("lon").alias("o")).crossJoin(points).filter(SP.haversine_km(F.col("a"), F.col("o"), F.col("lat"), F.col("lon")) <= 60.0)
+    assert sorted(pairs.select("s", "k").collect()) == sorted(all_pairs.select("s", "k").collect())
+    ran = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in ran and "SortMergeJoin" in ran
+    assert pairs.rdd.getNumPartitions() >= 64
+
+
+def test_intensities_leave_the_cover_where_it_is(spark, monkeypatch):
+    rng = random.Random(3)
+    joined = []
+    join = SP.spread_join
+    monkeypatch.setattr(SP, "spread_join", lambda *a: joined.append(join(*a)) or joined[-1])
+    events = spark.createDataFrame([(rng.uniform(38, 40), rng.uniform(30, 33), DAY0, 1.0) for _ in range(400)], "lat double, lon double, day date, w double")
+    sites = spark.createDataFrame([(i, rng.uniform(38, 40), rng.uniform(30, 33)) for i in range(20)], "k int, lat double, lon double")
+    out = SP.daily_point_intensity(events, sites, "k", "day", (25, 50), "w")
+    out.collect()
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in joined]
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
