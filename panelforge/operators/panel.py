@@ -13,6 +13,9 @@ from panelforge.core.exprs import require_columns, safe_div
 Day = str | date | Column
 
 
+#: Rows of a dense panel in one task, about, so that a task's sorts and windows don't grow with the table.
+TASK_ROWS = 1 << 18
+
 FREQUENCIES = ("hour", "day", "week", "month")
 
 
@@ -76,7 +79,8 @@ def densify_panel(
 
     Cells are summed first (map-side combine, so a hot entity costs one row per step after it). The missing steps
     then come from exploding the gap to the next seen one inside each entity: one shuffle by entity, no grid join, and the
-    result is already partitioned and sorted for the windows that follow. `firsts` maps a column to the column whose
+    result is already partitioned for the windows that follow. One pass over the log finds the bounds and about how many
+    rows the grid has, which sets the number of partitions. `firsts` maps a column to the column whose
     smallest value picks the row it is taken from. `fill` None keeps absent measures NULL.
     """
     require_columns(df, [*entity, time, *sums])
@@ -85,14 +89,19 @@ def densify_panel(
     for k in entity:
         valid = valid.filter(F.col(k).isNotNull())
     valid = valid.withColumn(time, step_number(time, freq))
-    lo = _bound(valid, F.min(time), start)
-    hi = _bound(valid, F.max(time), end)
-    lo, hi = (b if given is None else step_number(b, freq) for b, given in ((lo, start), (hi, end)))
+    ends = (F.min(time) if start is None else F.max(step_number(_bound(valid, F.min(time), start), freq)),
+            F.max(time) if end is None else F.max(step_number(_bound(valid, F.max(time), end), freq)))
+    grid = valid.agg(ends[0].alias("lo"), ends[1].alias("hi"), F.approx_count_distinct(F.struct(*entity)).alias("n")).first()
+    lo, hi = (F.lit(b).cast("long") for b in (grid.lo, grid.hi))
+    cells_of_grid = 0 if grid.lo is None or grid.hi is None else grid.n * max(grid.hi - grid.lo + 1, 0)
     inside = valid.withColumn("_lo", lo).withColumn("_hi", hi).filter(F.col(time).between(F.col("_lo"), F.col("_hi")))
     aggs = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums]
     aggs += [F.min_by(c, o).alias(c) for c, o in firsts.items()]
     cells = inside.groupBy(*entity, time).agg(*aggs, F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
 
+    # by number: adaptive execution would merge partitions by the bytes of the seen cells, and a task then hold all the rows
+    # that come of them
+    cells = cells.repartition(1 + cells_of_grid // TASK_ROWS, *entity)
     w = Window.partitionBy(*entity).orderBy(time)
     is_first = F.lag(time).over(w).isNull()
     until = F.coalesce(F.lead(time).over(w) - 1, F.col("_hi"))

@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import aggregates as A
+from panelforge.functions import transforms as TR
+from panelforge.operators import panel as P
 from panelforge.operators import spatial as SP
+from panelforge.operators import windows as W
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -89,3 +92,52 @@ def test_intensities_leave_the_cover_where_it_is(spark, monkeypatch):
     out.collect()
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in joined]
     assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_the_first_radius_leaves_few_places_in_a_cell(spark):
+    places = spark.range(4000).select((F.lit(36.0) + F.col("id") % 80 / 40).alias("p_lat"), (F.lit(26.0) + F.floor(F.col("id") / 80) / 25).alias("p_lon"), F.col("id").alias("k"))
+    asked = []
+    start = SP._start_radius
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(SP, "_start_radius", lambda df, km, crowd: asked.append((crowd, start(df, km, crowd))) or asked[-1][1])
+        SP.nearest_neighbours(places.withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"}), "k", k=3, max_distance_km=120.0)
+    crowd, radius = asked[0]
+    cells = places.withColumns(SP.point_cell("p_lat", "p_lon", radius)).groupBy("_band", "_cell").count()
+    assert crowd <= 64 and cells.agg(F.max("count")).first()[0] <= crowd
+
+
+def test_a_dense_panel_has_as_many_partitions_as_its_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_ROWS", 1000)
+    rows = spark.range(400).select((F.col("id") % 100).alias("e"), F.date_add(F.lit(DAY0), (F.col("id") * 7 % 90).cast("int")).alias("d"), F.lit(1.0).alias("v"))
+    dense = P.densify_panel(rows, ["e"], "d", ["v"])
+    n = dense.count()
+    assert n == 100 * 90 and dense.agg(F.sum("v")).first()[0] == 400.0
+    out = W.consecutive_extreme_days(dense, "v", ["e"], "d", 1.0, above=False)
+    assert 8 <= out.rdd.getNumPartitions() <= 12
+
+
+@pytest.mark.parametrize("horizon", [1, 7, 45])
+def test_months_back_without_a_join(spark, horizon):
+    rng = random.Random(horizon)
+    rows = [(e, DAY0 + dt.timedelta(days=d), rng.choice([None, 0.0, 1.0, 2.5])) for e in (1, 2, None) for d in range(150) if rng.random() < 0.7]
+    rows += rows[:3]
+    out = A.previous_month_features(spark.createDataFrame(rows, "e int, d date, v double"), "v", ["e"], "d", horizon)
+    assert "Join" not in plan(out)
+    p = f"v_{'' if horizon == 1 else f'h{horizon}_'}month"
+    for r in out.collect():
+        at = r.d - dt.timedelta(days=horizon - 1)
+        y, m = divmod(at.year * 12 + at.month - 2, 12)
+        month = [(d, v) for e, d, v in rows if r.e is not None and e == r.e and (d.year, d.month - 1) == (y, m)]
+        known = [v for _, v in month if v is not None]
+        same = [v for d, v in month if d.day == r.d.day and v is not None]
+        want = (sum(known), sum(known) / len(known) if known else None, max(known, default=None), sum(v > 0 for v in known), sum(v == 0 for v in known)) if month else (None,) * 5
+        got = tuple(r[f"{p}_{k}"] for k in ("total", "mean", "max", "event_days", "empty_days"))
+        assert [x if x is None else round(x, 9) for x in got] == [x if x is None else round(x, 9) for x in want]
+        assert r[f"{p}_same_day"] == (sum(same) if same else None)
+
+
+def test_a_group_with_all_rows_is_spread(spark):
+    df = spark.range(1000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    out = TR.soften_outliers(df, "v", ["g"], "soft")
+    assert "_salt" in plan(out) and out.count() == 1000
+    assert out.agg(F.max("soft")).first()[0] == 999.0
