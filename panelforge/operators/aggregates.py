@@ -110,35 +110,38 @@ def previous_month_features(
     df: DataFrame, value: str, entity: Sequence[str], time: str, horizon: int, prefix: str | None = None
 ) -> DataFrame:
     """Total, mean, maximum, event and empty days of the last calendar month that ends at least `horizon` days back, and
-    its value on the same day of month. A month has at most 31 day totals, so they travel as a map in one join."""
+    its value on the same day of month. Months are reached by range frames over the month number inside each entity, so
+    the rows are neither joined nor moved again."""
     if horizon < 1:
         raise ValueError("horizon must be >= 1")
     p = f"{prefix or value}_{'' if horizon == 1 else f'h{horizon}_'}month"
     day = F.to_date(time)
-    keys = [*entity, "_month"]
-    rows = df.filter(F.col(time).isNotNull()).select(
-        *entity, month_index(day).alias("_month"), F.dayofmonth(day).alias("_dom"), F.col(value).cast("double").alias("_v")
+    back = month_index(day) - month_index(F.date_sub(day, horizon - 1)) + 1
+    rows = df.withColumns(
+        {"_month": month_index(day), "_dom": F.dayofmonth(day), "_back": back, "_v": F.col(value).cast("double")}
     )
-    per_day = rows.groupBy(*keys, "_dom").agg(
-        F.sum("_v").alias("_sum"),
-        F.count("_v").alias("_n"),
-        F.max("_v").alias("_max"),
-        F.count_if(F.col("_v") > 0).alias("_events"),
-        F.count_if(F.col("_v") == 0).alias("_empty"),
-    )
-    monthly = per_day.groupBy(*keys).agg(
-        F.coalesce(F.sum("_sum"), F.lit(0.0)).alias(f"{p}_total"),
-        safe_div(F.sum("_sum"), F.sum("_n")).alias(f"{p}_mean"),
-        F.max("_max").alias(f"{p}_max"),
-        F.sum("_events").alias(f"{p}_event_days"),
-        F.sum("_empty").alias(f"{p}_empty_days"),
-        F.map_from_entries(F.collect_list(F.struct("_dom", "_sum"))).alias("_by_dom"),
-    )
-    asked = df.withColumn("_month", month_index(F.date_sub(day, horizon - 1)) - 1)
-    out = asked.join(monthly, keys, "left")
-    return out.withColumn(
-        f"{p}_same_day", null_if_any_null(entity, F.try_element_at("_by_dom", F.dayofmonth(day)))
-    ).drop("_month", "_by_dom")
+    v = F.col("_v")
+    by_month = Window.partitionBy(*entity).orderBy("_month")
+    by_dom = Window.partitionBy(*entity, "_dom").orderBy("_month")
+    # months between a row's own and the one it asks for: as many as `horizon` - 1 days can pass, and one more
+    asked = range(1, 3 + (horizon - 2) // 28) if horizon > 1 else range(1, 2)
+
+    def at(value_of) -> Column:
+        return null_if_any_null(entity, F.coalesce(*[F.when(F.col("_back") == k, value_of(k)) for k in asked]))
+
+    def month(agg: Column):
+        return lambda k: agg.over(by_month.rangeBetween(-k, -k))
+
+    seen = month(F.count(F.lit(1)))
+    new = {
+        f"{p}_total": at(lambda k: F.when(seen(k) > 0, F.coalesce(month(F.sum(v))(k), F.lit(0.0)))),
+        f"{p}_mean": at(lambda k: safe_div(month(F.sum(v))(k), month(F.count(v))(k))),
+        f"{p}_max": at(month(F.max(v))),
+        f"{p}_event_days": at(lambda k: F.when(seen(k) > 0, month(F.count(F.when(v > 0, 1)))(k))),
+        f"{p}_empty_days": at(lambda k: F.when(seen(k) > 0, month(F.count(F.when(v == 0, 1)))(k))),
+        f"{p}_same_day": at(lambda k: F.sum(v).over(by_dom.rangeBetween(-k, -k))),
+    }
+    return rows.withColumns(new).drop("_month", "_dom", "_back", "_v")
 
 
 def mass_event_features(
