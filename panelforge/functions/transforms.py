@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.core.scale import exact_quantiles, join_checked
+from panelforge.core.scale import exact_quantiles, salted_join
 
 
 def _c(x: str | Column) -> Column:
@@ -89,7 +89,8 @@ def soften_outliers(
     q = exact_quantiles(df, value, {"_q1": 0.25, "_q3": 0.75}, list(keys))
     ceiling = F.col("_q3") + F.lit(iqr_factor) * (F.col("_q3") - F.col("_q1"))
     if group:
-        joined = join_checked(df, q.withColumn("_cap", ceiling).drop("_q1", "_q3"), list(keys))
+        # a few groups may hold all rows: each is spread over tasks, and its one ceiling repeated for them
+        joined = salted_join(df, q.withColumn("_cap", ceiling).drop("_q1", "_q3"), list(keys), 32, "left")
     else:
         joined = df.withColumn("_cap", q.select(ceiling.alias("c")).scalar())
     y = F.col(value)
