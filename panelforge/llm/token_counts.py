@@ -7,7 +7,9 @@ scan from left to right with a look-ahead far below the margin, and words are en
 start on both chunks are what the whole text would give. If no such place exists (one endless word, say) the overlap is
 doubled, and once it would reach back to the last splice the two chunks become one; in the end that is the whole text.
 
-Texts up to `chunk` characters are encoded as they are, in small batches. Memory: one batch, or two chunks.
+Texts up to `chunk` characters are encoded in small batches. Where the tokenizer file says that no token reaches over a
+plain space (`parts_at_spaces`), the pieces that repeat in a batch are encoded once and their counts kept, and what is left
+of a text is encoded as one; other files get the texts as they are. Memory: one batch and `KNOWN` pieces, or two chunks.
 
 Defined cases: NULL and empty texts have 0 bytes and 0 tokens; repeated rows get a row each; an empty table gives an
 empty result. Special strings inside texts count as the library counts them by default; no begin, end or other special
@@ -16,6 +18,8 @@ token is added; truncation and padding of the file are switched off. Other colum
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -28,6 +32,11 @@ OVERLAP = 1_024
 MARGIN = 128
 AGREE = 4
 BATCH_CHARS = 1 << 18
+KNOWN = 1 << 18
+PIECE_CHARS = 64
+
+#: Split patterns whose matches hold no white space and look at nothing around them.
+SPACELESS = frozenset({r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
 
 #: Tokens of a piece of text in order: id, start and end in the piece, and whether a word starts here.
 Token = tuple[int, int, int, bool]
@@ -57,6 +66,60 @@ def counter(tokenizer: Any) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(e) for e in tokenizer.encode(texts, num_threads=1)]
 
 
+def parts_at_spaces(tokenizer: Any) -> bool:
+    """Whether a text has the tokens of its parts between plain spaces: steps that work character by character (NFC joins
+    nothing to a space), words without white space, each encoded alone, and special strings without one. Only steps known
+    to be so count; any other file is encoded whole."""
+    if not hasattr(tokenizer, "encode_batch_fast"):
+        return False
+    file = json.loads(tokenizer.to_str())
+
+    def steps(name: str, inner: str) -> list[dict]:
+        step = file.get(name)
+        return [] if step is None else step[inner] if step["type"] == "Sequence" else [step]
+
+    def plain(step: dict) -> bool:
+        if step["type"] == "Replace":
+            return step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        return step["type"] in ("NFC", "Lowercase")
+
+    words = steps("pre_tokenizer", "pretokenizers")
+    return (
+        all(plain(x) for x in steps("normalizer", "normalizers"))
+        and [x["type"] for x in words] == ["Split", "ByteLevel"]
+        and words[0]["pattern"].get("Regex") in SPACELESS
+        and (words[0]["behavior"], words[0]["invert"]) == ("Removed", True)
+        and not words[1]["add_prefix_space"]
+        and not words[1]["use_regex"]
+        and file["model"]["type"] == "BPE"
+        and not file["model"]["dropout"]
+        and not any(
+            " " in a["content"] or a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in file["added_tokens"]
+        )
+    )
+
+
+def piecewise(count: Callable[[list[str]], list[int]], known: int = KNOWN) -> Callable[[list[str]], list[int]]:
+    """Counts of whole texts from their parts between plain spaces. Parts that repeat in a batch are encoded once and
+    remembered, at most `known` of them; the rest of a text is encoded as one."""
+    counts: dict[str, int] = {}
+
+    def counted(texts: list[str]) -> list[int]:
+        parts = [t.split(" ") for t in texts]
+        seen: Counter[str] = Counter()
+        for p in parts:
+            seen.update(p)
+        new = [w for w, n in seen.items() if n > 1 and w not in counts and len(w) <= PIECE_CHARS]
+        if len(counts) + len(new) > known:
+            counts.clear()
+            new = [w for w, n in seen.items() if n > 1 and len(w) <= PIECE_CHARS][:known]
+        counts.update(zip(new, count(new)))
+        rest = [" ".join([w for w in p if w not in counts]) for p in parts]
+        return [n + sum([counts[w] for w in p if w in counts]) for n, p in zip(count(rest), parts)]
+
+    return counted
+
+
 def encoder(tokenizer: Any) -> Encode | None:
     """Tokens with offsets, or None where the library gives no words to splice at."""
     if not hasattr(tokenizer, "encode_batch_fast"):
@@ -159,6 +222,8 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         many, one = counter(tokenizer), encoder(tokenizer)
+        if parts_at_spaces(tokenizer):
+            many = piecewise(many)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
