@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.exprs import safe_div
-from panelforge.core.scale import bucket_of, cut_lineage, day_table, exact_quantiles, join_checked, range_buckets
+from panelforge.core.scale import bucket_of, cut_lineage, day_table, exact_quantiles, join_checked, range_buckets, written
 from panelforge.operators.aggregates import two_way_effects
 from panelforge.operators.metrics import metric
 
@@ -369,14 +369,17 @@ def group_effects(df: DataFrame, group: str, residual: str, k: float = 200.0) ->
     )
 
 
-def _entity_mean(df: DataFrame, entity: str, value: str) -> DataFrame:
-    return df.join(df.groupBy(entity).agg(F.avg(value).alias("_tm")), entity)
+def _entity_mean(rows: DataFrame, entity: str, value: str) -> DataFrame:
+    """Rows with their entity's mean. `rows` are read twice, so callers write them first: otherwise a task computes its input
+    twice in one go, four times when two of these follow each other, and holds the sorts and maps of all copies at once."""
+    return rows.join(rows.groupBy(entity).agg(F.avg(value).alias("_tm")), entity)
 
 
 def shrink_between(df: DataFrame, entity: str, value: str, out: str, beta: float) -> DataFrame:
     """Entity means move towards the overall mean; deviations inside the entity stay."""
-    mean = df.agg(F.avg(value).alias("m")).scalar()
-    j = _entity_mean(df, entity, value).withColumn("_m", mean)
+    rows = written(df, "entity-rows")
+    mean = rows.agg(F.avg(value).alias("m")).scalar()
+    j = _entity_mean(rows, entity, value).withColumn("_m", mean)
     return j.withColumn(
         out, F.col("_m") + F.lit(beta) * (F.col("_tm") - F.col("_m")) + (F.col(value) - F.col("_tm"))
     ).drop("_m", "_tm")
@@ -384,7 +387,7 @@ def shrink_between(df: DataFrame, entity: str, value: str, out: str, beta: float
 
 def shrink_within(df: DataFrame, entity: str, value: str, out: str, beta: float) -> DataFrame:
     """Rows move towards their entity's mean."""
-    j = _entity_mean(df, entity, value)
+    j = _entity_mean(written(df, "entity-rows"), entity, value)
     return j.withColumn(out, F.col("_tm") + F.lit(beta) * (F.col(value) - F.col("_tm"))).drop("_tm")
 
 
