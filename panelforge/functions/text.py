@@ -1,10 +1,15 @@
-"""Locale-correct text keys, key alignment pieces and the reason taxonomy, all as built-in expressions."""
+"""Locale-correct text keys, key alignment pieces and the reason taxonomy, as built-in expressions; only the keywords of the
+taxonomy are looked for with Arrow's matcher."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.exprs import safe_div
@@ -205,22 +210,45 @@ REASON_FAMILIES: tuple[tuple[str, int, bool, tuple[str, ...]], ...] = (
     ("BILINMEYEN", 99, True, ("bilinmeyen", "belirsiz", "tespit edilemedi", "girilmemis", "girilmemistir")),
 )
 OTHER_REASON = ("DIGER", 0, True)
+#: Texts that are matched, and the open ones of them copied, together.
+SOME_TEXTS = 500
+
+
+def _plain_letters(text: Column) -> Column:
+    """`_folded`, which of ASCII text leaves the lower-case letters."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(_folded(text))
+
+
+def _spaced(text: Column) -> Column:
+    return F.concat(F.lit(" "), _collapse(text, PUNCTUATION), F.lit(" "))
 
 
 def reason_text(x: str | Column) -> Column:
     """Join key with punctuation as spaces and one space on both sides, so that keywords can end at a word."""
-    return F.concat(F.lit(" "), _collapse(_folded(x), PUNCTUATION), F.lit(" "))
+    return _spaced(_plain_letters(_c(x)))
 
 
 def reason_code(text: Column) -> Column:
-    """Code of the first family, in priority order, with a keyword in a `reason_text`; 0 when none matches."""
-    out = F.when(F.trim(text) == "", F.lit(OTHER_REASON[1]))
-    for _, code, _, words in REASON_FAMILIES:
-        hit = text.contains(words[0])
-        for w in words[1:]:
-            hit = hit | text.contains(w)
-        out = out.when(hit, F.lit(code))
-    return out.otherwise(F.lit(OTHER_REASON[1]))
+    """Code of the first family, in priority order, with a keyword in a `reason_text`; 0 when none matches. One pattern of all
+    keywords finds the texts that have any; they are read once per family until they have a code."""
+    families = [(code, "|".join(re.escape(w) for w in words)) for _, code, _, words in REASON_FAMILIES]
+    every, other = "|".join(pattern for _, pattern in families), OTHER_REASON[1]
+
+    @F.arrow_udf("int")
+    def code_of(texts: pa.Array) -> pa.Array:
+        codes = np.full(len(texts), other, dtype=np.int32)
+        for at in range(0, len(texts), SOME_TEXTS):
+            some = texts.slice(at, SOME_TEXTS)
+            rows = np.flatnonzero(pc.fill_null(pc.match_substring_regex(some, every), False))
+            for code, pattern in families:
+                if len(rows) == 0:
+                    break
+                found = np.asarray(pc.match_substring_regex(some.take(rows), pattern))
+                codes[at + rows[found]] = code
+                rows = rows[~found]
+        return pa.array(codes)
+
+    return code_of(text)
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -233,8 +261,9 @@ def classified_texts(df: DataFrame, column: str) -> DataFrame:
     they are shuffled, and the shuffle deals the texts out evenly, whatever the files they come from; the keyword chain,
     which costs far more than moving a text, runs behind it. NULL counts as empty."""
     texts = df.select(F.coalesce(_c(column), F.lit("")).alias("_text")).groupBy("_text").agg(F.count(F.lit(1)).alias("_rows"))
-    # the folded text is a column of its own so that it is built once, not once per keyword
-    return texts.withColumn("_folded", reason_text(F.col("_text"))).withColumn("_code", reason_code(F.col("_folded"))).drop("_folded")
+    # the steps of `reason_text`, each a column of its own so that it is built once and not wherever the next step names it
+    folded = texts.withColumn("_folded", _plain_letters(F.col("_text"))).withColumn("_spaced", _spaced(F.col("_folded")))
+    return folded.withColumn("_code", reason_code(F.col("_spaced"))).drop("_folded", "_spaced")
 
 
 def _reason_lookups(code: Column) -> tuple[Column, Column]:
@@ -268,7 +297,8 @@ def reason_family_report(df: DataFrame, column: str) -> DataFrame:
         .groupBy("reason_family")
         .agg(F.sum("_rows").alias("rows"), F.max("fault").alias("fault"))
     )
-    total = counts.agg(F.sum("rows").alias("n")).scalar()
+    # over one row per family: a second aggregate would classify every text again
+    total = F.sum("rows").over(Window.partitionBy(F.lit(0)))
     return counts.withColumn("_n", total).select(
         "reason_family", "rows", "fault", F.round(safe_div(F.col("rows") * 100, "_n"), 2).alias("percent")
     )
