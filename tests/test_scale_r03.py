@@ -43,3 +43,37 @@ def test_every_keyword_has_its_first_family(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
     got = df.select("i", TX.reason_code(F.col("t")).alias("c")).orderBy("i").collect()
     assert [r.c for r in got] == [first(t) for t in texts]
+
+
+def test_folds_share_the_passes_of_their_climbs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    y = rng.normal(50, 9, 900)
+    x = np.stack([y + rng.normal(0, s, 900) for s in (3.0, 3.2, 5.0)])
+    fold = np.arange(900) % 4
+    rows = [(*map(float, x[:, i]), float(y[i]), int(fold[i])) for i in range(900)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1.0, 0)], "a double, b double, c double, y double, f int")
+    passes = []
+    before = BL.absolute_errors
+    monkeypatch.setattr(BL, "absolute_errors", lambda *args: passes.append(len(args[-1])) or before(*args))
+    got = {r["fold"]: r for r in BL.nested_blend(df, ["a", "b", "c"], "y", "f").collect()}
+    assert sorted(got) == [1, 2, 3] and sum(r["rows"] for r in got.values()) == 675
+    monkeypatch.undo()
+    alone = 0
+    for f, r in got.items():
+        calls = []
+        monkeypatch.setattr(BL, "absolute_errors", lambda *args, calls=calls: calls.append(1) or before(*args))
+        w = BL.hill_climb_weights(df.filter(F.col("f") < f), ["a", "b", "c"], "y", "mae")
+        monkeypatch.undo()
+        alone += len(calls)
+        mine = fold == f
+        weights = np.array([w[m] for m in "abc"])
+        np.testing.assert_allclose([r[f"weight_{m}"] for m in "abc"], weights)
+        assert r["blend"] == pytest.approx(np.abs(y - weights @ x)[mine].mean())
+    assert len(passes) < alone
+
+
+def test_absolute_errors_by_fold(spark):
+    rows = [(1.0, 2.0, 5.0, None), (2.0, 0.0, 1.0, "x"), (4.0, 4.0, 4.0, "x")]
+    df = spark.createDataFrame(rows, "a double, b double, y double, f string")
+    got = BL.absolute_errors(df, ["a", "b"], "y", "f", np.array([[1.0, 0.0], [0.5, 0.5]]))
+    assert {f: (s.tolist(), n) for f, (s, n) in got.items()} == {None: ([4.0, 3.5], 1), "x": ([1.0, 0.0], 2)}
