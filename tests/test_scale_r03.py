@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 import panelforge.functions.text as TX
 import panelforge.operators.blend as BL
-import panelforge.operators.ml as ML
 import panelforge.operators.postprocess as PP
 
 
