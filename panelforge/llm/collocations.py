@@ -19,6 +19,7 @@ What keeps it bounded:
 * A prefix that begins at least 1/HOT of all words has its stripe dealt out by next word. There are at most HOT of these, so
   the list that tasks get is bounded.
 * Only extensions that reach `min_count` leave their owner. From there on joins of Spark work on phrases that do.
+* A task holds one small Arrow batch, the words of one block of text and at most SOME_WORDS words or SOME_ENTRIES entries.
 
 Words and phrases are known by 64-bit hashes until the end. Passes are written to the shared folder one after the other, so
 a lost executor costs its tasks only.
@@ -30,13 +31,14 @@ are read.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.scale import written
@@ -45,11 +47,13 @@ from panelforge.llm.words import byte_table, mix, rows_of, text_blocks, words_of
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 WORDS = byte_table(" \t" + BREAKS)
 HOT = 1024
-#: Bytes of text counted at once, words or entries of stripes combined in a task before they are sent, and entries, about,
-#: for one owner.
-BLOCK = 8 << 20
-SOME_WORDS = 500_000
-SOME_ENTRIES = 2_000_000
+#: Words, and entries of stripes, combined in a task before they are sent; entries, about, for one owner.
+SOME_WORDS = 200_000
+SOME_ENTRIES = 500_000
+OWNED = 1_000_000
+#: Rows and bytes of one Arrow batch, which the JVM and the Python worker of every running task hold. At Spark's 10,000 rows, a
+#: batch of web texts, or of packed stripes, is tens of megabytes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 SEGMENT = 1 << 16
 #: Exact: the products have 38 digits at most.
 SCORE = "cast((1000BD * cast(a AS decimal(17,0)) * cast(n AS decimal(17,0))) div (cast(l AS decimal(17,0)) * cast(r AS decimal(17,0))) AS long)"
@@ -68,24 +72,43 @@ def follow(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(prefix * _CHAIN + word)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the passes that run inside; afterwards the session has its own settings again."""
+    own = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in own.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def _words(texts: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
     """(lang, word, n) of words that reach `min_count`, with their hash and id, and (lang, n) of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: defaultdict[str, Counter] = defaultdict(Counter)
 
         def rows() -> pa.RecordBatch:
-            langs, words = zip(*seen, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array([w.decode() for w in words]), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
+            langs, words, counts = ([lang for lang, own in seen.items() for _ in own], [w.decode() for own in seen.values() for w in own], [n for own in seen.values() for n in own.values()])
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
 
+        held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = text.as_py().encode().translate(_PLAIN).split()
-                for w, n in Counter(words).items():
-                    seen[lang, w] += n
-                if len(seen) > SOME_WORDS:
+                own = seen[lang]
+                held -= len(own)
+                own.update(text.as_py().encode().translate(_PLAIN).split())
+                held += len(own)
+                if held + len(seen) > SOME_WORDS:
                     yield rows()
-                    seen.clear()
+                    held = 0
         if seen:
             yield rows()
 
@@ -207,22 +230,29 @@ def _stripes(texts: DataFrame, length: int, min_count: int, bitmap: np.ndarray,
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            columns = list(map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            return combined(*columns)
+
         for batch in batches:
             salts = {v: _salt(v) for v in batch.column(0).unique().to_pylist()}
             salt = np.array([salts[v] for v in batch.column(0).to_pylist()], np.uint64)
-            for at, end, data, offsets in text_blocks(batch.column(1), limit=BLOCK):
+            for at, end, data, offsets in text_blocks(batch.column(1)):
                 prefix, after = entries_of(data, offsets, salt[at:end], length, shared.value[0])
                 held.append(combined(prefix, after, np.ones(len(prefix), np.int64)))
                 if sum(len(x[0]) for x in held) > SOME_ENTRIES:
-                    held = [combined(*map(np.concatenate, zip(*held, strict=True)))]
+                    held.append(taken())
                     if 2 * len(held[0][0]) > SOME_ENTRIES:
                         yield parts(*held.pop())
-        if held and any(len(x[0]) for x in held):
-            yield parts(*combined(*map(np.concatenate, zip(*held, strict=True))))
+        if any(len(x[0]) for x in held):
+            yield parts(*taken())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[dict]) -> pa.RecordBatch:
-            size, prefixes, after, n = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in (("sizes", np.uint32), ("prefixes", np.uint64), ("after", np.uint64), ("counts", np.int64)))
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            prefixes, size, after, n = (np.frombuffer(b"".join(packed), t) for packed, t in zip(zip(*rows, strict=True), (np.uint64, np.uint32, np.uint64, np.int64), strict=True))
+            rows.clear()
             prefix, after, n = combined(np.repeat(prefixes, size), after, n)
             first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
             total = np.add.reduceat(n, first)
@@ -233,12 +263,11 @@ def _stripes(texts: DataFrame, length: int, min_count: int, bitmap: np.ndarray,
 
         now, rows = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if rows and r["owner"] != now:
+            for owner, *packed in zip(*(c.to_pylist() if k == 0 else c for k, c in enumerate(batch.columns)), strict=True):
+                if rows and owner != now:
                     yield done(rows)
-                    rows = []
-                now = r["owner"]
-                rows.append(r)
+                now = owner
+                rows.append(tuple(x.as_buffer() for x in packed))
         if rows:
             yield done(rows)
 
@@ -276,11 +305,16 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, la
 
     phrases (lang, words, id, a): words are hashes. totals (id, f): counts of all parts, from the prefix totals. longer (id, f):
     the most frequent phrase one word longer, at either end. vocabulary and sizes as from the word count."""
+    with _small_batches(docs.sparkSession):
+        return _frequent_phrases(docs, min_count, longest, lang_col, text_col, filter_bits)
+
+
+def _frequent_phrases(docs: DataFrame, min_count: int, longest: int, lang_col: str, text_col: str, filter_bits: int) -> dict[str, DataFrame]:
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
     vocabulary, sizes = _words(texts, min_count)
     every = sizes.agg(F.sum("n")).first()[0] or 0
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // SOME_ENTRIES + 1)
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // OWNED + 1)
     known = vocabulary.select("lang", F.array("hash").alias("words"), "id", F.col("n").alias("a"))
     phrases, totals, longer = [], [], []
     for length in range(1, longest):

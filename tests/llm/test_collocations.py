@@ -117,3 +117,58 @@ def test_hot_prefix_is_dealt_out(spark):
 def test_long_text(spark):
     rows = [("en", "alpha beta gamma, " * 100_000)]
     assert np.array_equal(sorted(map(tuple, collocations(table(spark, rows)).collect())), by_brute_force(rows, 100, 5, 2000, 100))
+
+
+class _Passes:
+    """Takes the functions that the passes hand to tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.functions = spark, []
+
+    def mapInArrow(self, function, schema):
+        self.functions.append(function)
+        raise NotImplementedError
+
+
+def test_tasks_hold_little(spark):
+    """Of 8 MB of text, counting words and sending stripes hold a block and some words or entries at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from panelforge.llm import collocations as module
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400_000)]
+    texts = [" ".join(rng.choices(words, k=1500)) for _ in range(900)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 300), pa.array(texts[i : i + 300])], ["lang", "text"]) for i in (0, 300, 600)]
+    passes = _Passes(spark)
+    with pytest.raises(NotImplementedError):
+        module._words(passes, 2)
+    with pytest.raises(NotImplementedError):
+        module._stripes(passes, 2, 2, np.full(1 << 10, 255, np.uint8), np.zeros(0, np.uint64), 4)
+    for function, most in zip(passes.functions, (40e6, 130e6), strict=True):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in function(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
+def test_small_batches(spark):
+    """Passes get their rows in small Arrow batches; afterwards the session has its own settings again."""
+    import pyarrow as pa
+
+    from panelforge.llm import collocations as module
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    before = {k: spark.conf.get(k, None) for k in module.BATCHES}
+    long = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 8000).alias("text"))
+    with module._small_batches(spark):
+        got = long.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 5000 and max(r.rows for r in got) <= 2000 and max(r.bytes for r in got) < 12 << 20
+    assert collocations(table(spark, [("en", "a b c. " * 100)])).count() > 0
+    assert {k: spark.conf.get(k, None) for k in module.BATCHES} == before
