@@ -45,6 +45,8 @@ STRENGTH = 5.0
 FLAT = 0.2
 _BITS = 16
 UNKNOWN = "und"
+#: Bytes of text scored at once. Its trigrams take some fifty times as much, in every running task.
+SCORED_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -136,7 +138,7 @@ def fit_texts(rows: DataFrame, sample_rows: int, min_rows: int) -> Model:
         total = {k: np.zeros(1 << _BITS, np.int64) for k in languages}
         for b in batches:
             names = b.column(0).to_pylist()
-            for at, _, data, offsets in text_blocks(b.column(1)):
+            for at, _, data, offsets in text_blocks(b.column(1), SCORED_BYTES):
                 keys, first = _trigrams(data, offsets)
                 for i in range(len(first) - 1):
                     total[names[at + i]] += np.bincount(keys[first[i] : first[i + 1]], minlength=1 << _BITS)
@@ -163,7 +165,7 @@ def with_likelihoods(rows: DataFrame, text_col: str, model: Model, keep: list[st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in text_blocks(batch.column(at_text)):
+            for at, end, data, offsets in text_blocks(batch.column(at_text), SCORED_BYTES):
                 values = likelihoods(data, offsets, sent.value)
                 lists = pa.array([None if np.isnan(v[0]) else v for v in values], pa.list_(pa.float64()))
                 part = batch.slice(at, end - at)
@@ -264,6 +266,17 @@ def fused(
     return _posterior(text + np.log(prior) + declared + suffix)
 
 
+_EVIDENCE = ("_lid_p_declared", "_lid_p_suffix", "_lid_c_domain", "_lid_c_host")
+
+
+def _with_evidence(rows: DataFrame, fitted: Fitted) -> DataFrame:
+    """Adds what the tables say of each row's declaration, suffix, domain and host; zeros where they say nothing."""
+    none = F.array(*[F.lit(0.0)] * (len(fitted.model.languages) + 1))
+    rows = rows.join(fitted.declared, "_lid_declared", "left").join(fitted.suffix, "_lid_suffix", "left")
+    rows = rows.join(fitted.domains, "_lid_domain", "left").join(fitted.hosts, "_lid_host", "left")
+    return rows.withColumns({c: F.coalesce(c, none) for c in _EVIDENCE})
+
+
 def fuse(rows: DataFrame, fitted: Fitted | None, threshold: float) -> DataFrame:
     """Adds `_lid_lang` (NULL if rejected), `_lid_confidence` and `_lid_rejected` to rows with evidence columns."""
     if fitted is None:
@@ -281,16 +294,37 @@ def fuse(rows: DataFrame, fitted: Fitted | None, threshold: float) -> DataFrame:
         return pd.DataFrame({"name": [names[i] for i in p.argmax(axis=1)], "confidence": p.max(axis=1)})
 
     none = F.array(*[F.lit(0.0)] * len(names))
-    rows = rows.join(fitted.declared, "_lid_declared", "left").join(fitted.suffix, "_lid_suffix", "left")
-    rows = rows.join(fitted.domains, "_lid_domain", "left").join(fitted.hosts, "_lid_host", "left")
-    evidence = [F.coalesce(c, none) for c in ("_lid_p_declared", "_lid_p_suffix", "_lid_c_domain", "_lid_c_host")]
     known = F.col("_lid_text").isNotNull()
-    rows = rows.withColumn("_lid_best", best(F.coalesce("_lid_text", none), known, *evidence))
+    rows = _with_evidence(rows, fitted).withColumn("_lid_best", best(F.coalesce("_lid_text", none), known, *_EVIDENCE))
     name, confidence = F.col("_lid_best.name"), F.col("_lid_best.confidence")
     rejected = ~known | (name == UNKNOWN) | (confidence < threshold)
     return rows.withColumns({"_lid_lang": F.when(~rejected, name), "_lid_confidence": confidence, "_lid_rejected": rejected})
 
 
+def _not_rejected(rows: DataFrame, text_col: str, fitted: Fitted, threshold: float, keep: list[str]) -> DataFrame:
+    """The kept columns of the rows that `fuse` would not reject. Texts are scored and fused in one pass, so that a task has
+    one Python worker, which is sent every text once."""
+    sent = rows.sparkSession.sparkContext.broadcast(fitted.model)
+    corpus = np.array(fitted.corpus)
+    und = len(fitted.model.languages)
+    at_text = keep.index(text_col)
+    rows = _with_evidence(rows, fitted).select(*[F.col(f"`{k}`") for k in keep], *_EVIDENCE)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in text_blocks(batch.column(at_text), SCORED_BYTES):
+                part = batch.slice(at, end - at)
+                text = likelihoods(data, offsets, sent.value)
+                known = ~np.isnan(text[:, 0])
+                evidence = [c.flatten().to_numpy().reshape(text.shape) for c in part.columns[len(keep) :]]
+                p = fused(np.where(known[:, None], text, 0.0), known, *evidence, corpus)
+                fine = known & (p.argmax(axis=1) != und) & (p.max(axis=1) >= threshold)
+                if fine.any():
+                    yield part.select(range(len(keep))).filter(pa.array(fine))
+
+    return rows.mapInArrow(decide, rows.select(*[F.col(f"`{k}`") for k in keep]).schema)
+
+
 def identify(
     docs: DataFrame,
     declared: Column | None = None,
@@ -330,5 +364,4 @@ def accepted(
         return docs.limit(0)
     known = F.col("_lid_declared").isin(fitted.model.languages)
     prepared = prepared.withColumn("_lid_declared", F.when(known, F.col("_lid_declared")).when(F.col("_lid_declared").isNotNull(), "other"))
-    rows = with_likelihoods(prepared, "_lid_body", fitted.model, [*docs.columns, *_KEYS])
-    return fuse(rows, fitted, threshold).filter(~F.col("_lid_rejected")).select(*docs.columns)
+    return _not_rejected(prepared, text_col, fitted, threshold, docs.columns)

@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.llm import language_id
 from panelforge.llm.language_id import accepted, fit, fuse, host_of, identify, markup_language, page_text, suffix_of, _prepare
 from panelforge.llm.registered import QUERIES
 
@@ -33,6 +36,24 @@ def test_without_any_evidence(spark, messy, nothing):
     assert accepted(nothing, F.col("lang")).count() == 0
 
 
+def test_accepted_reads_texts_in_one_python_worker(spark, messy):
+    """Every document that `identify` does not reject, and one step in Python, so that a task keeps one worker."""
+    evidence = F.col("lang"), None, F.col("source")
+    kept = accepted(messy, *evidence)
+    assert len(re.findall(r"MapInArrow|ArrowEvalPython", kept._jdf.queryExecution().optimizedPlan().toString())) == 1
+    got = identify(messy.filter("doc_id != 78"), *evidence).filter("not rejected").select("doc_id")
+    same = accepted(messy.filter("doc_id != 78"), *evidence)
+    assert same.count() > 50 and sorted(map(str, same.select("doc_id").collect())) == sorted(map(str, got.collect()))
+    assert kept.exceptAll(messy).count() == 0
+
+
+def test_blocks_of_any_size_give_the_same_documents(spark, messy, monkeypatch):
+    evidence = F.col("lang"), None, F.col("source")
+    few = accepted(messy, *evidence).collect()
+    monkeypatch.setattr(language_id, "SCORED_BYTES", 100)
+    assert sorted(map(str, accepted(messy, *evidence).collect())) == sorted(map(str, few))
+
+
 def test_markup_and_address(spark):
     rows = [
         ('<!DOCTYPE html><HTML class="a" lang="de-AT"><p>', "https://user@www.Example.DE:80/fr/x"),
