@@ -248,7 +248,7 @@ def reason_code(text: Column) -> Column:
                 rows = rows[~found]
         return pa.array(codes)
 
-    return code_of(text)
+    return F.when(F.trim(text) == "", F.lit(other)).otherwise(code_of(text))  # blank texts need no Python
 
 
 def _text_key(text: Column) -> list[Column]:
